@@ -19,7 +19,6 @@ from clonara.operators.ranks import top_k
 from clonara.operators.sampling import first_repertoires
 
 SEQ = ["dataset", "junction_aa"]
-_ONE = F.lit(1)
 
 
 def presence(df: DataFrame, *extra: str) -> DataFrame:
@@ -37,7 +36,7 @@ def _per_sequence(present: DataFrame) -> DataFrame:
 
 def public_sequences(df: DataFrame, min_individuals: int = 2) -> DataFrame:
     """Sequences found in at least ``min_individuals`` repertoires of a dataset."""
-    return (presence(df).groupBy(*SEQ).agg(F.count(_ONE).alias("n_repertoires"))
+    return (presence(df).groupBy(*SEQ).agg(F.count(F.lit(1)).alias("n_repertoires"))
             .where(F.col("n_repertoires") >= min_individuals))
 
 
@@ -74,7 +73,7 @@ class PublicClones:
         n_public, unique = F.count_if(public), F.count("junction_aa")
         zero = lambda c: F.coalesce(c, F.lit(0.0))
         return marked.groupBy(*REP).agg(
-            n_public.alias("n_public"), (n_public / F.greatest(unique, _ONE)).alias("frac_public"),
+            n_public.alias("n_public"), (n_public / F.greatest(unique, F.lit(1))).alias("frac_public"),
             F.count_if(e > self.threshold).alias("n_disease_enriched"), zero(F.avg(e)).alias("avg_disease_enrichment"),
             zero(F.max(e)).alias("max_disease_enrichment"),
             (zero(F.sum(F.when(public, F.col("t")))) / F.greatest(zero(F.sum("t")), F.lit(1.0))).alias("public_template_fraction"))
@@ -87,7 +86,7 @@ class PublicClones:
     def stats(self) -> DataFrame:
         e = F.col("enrichment")
         return self.table.groupBy("dataset").agg(
-            F.count(_ONE).alias("n_public"), F.count_if(e > self.threshold).alias("n_disease_enriched"),
+            F.count(F.lit(1)).alias("n_public"), F.count_if(e > self.threshold).alias("n_disease_enriched"),
             F.count_if(e < 1 - self.threshold).alias("n_healthy_enriched"))
 
 
@@ -109,8 +108,8 @@ def class_counts(df: DataFrame, metadata: DataFrame, max_files: int | None, excl
 
 
 def _with_frequencies(counts: DataFrame) -> DataFrame:
-    return (counts.withColumn("pos_freq", F.col("pos") / F.greatest(F.col("n_pos"), _ONE))
-            .withColumn("neg_freq", F.col("neg") / F.greatest(F.col("n_neg"), _ONE)))
+    return (counts.withColumn("pos_freq", F.col("pos") / F.greatest(F.col("n_pos"), F.lit(1)))
+            .withColumn("neg_freq", F.col("neg") / F.greatest(F.col("n_neg"), F.lit(1))))
 
 
 def _log_ratio() -> Column:
@@ -248,15 +247,15 @@ def miner_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 def clonotype_counts(df: DataFrame, threshold: int = 5) -> DataFrame:
     """Distinct and frequent sequences of each class, counting rows."""
     counts = (df.where(F.col("junction_aa").isNotNull()).groupBy("dataset", "label_positive", "junction_aa")
-              .agg(F.count(_ONE).alias("n")))
+              .agg(F.count(F.lit(1)).alias("n")))
     return counts.groupBy("dataset", "label_positive").agg(
-        F.count(_ONE).alias("n_unique"), F.count_if(F.col("n") >= threshold).alias("n_frequent"), F.sum("n").alias("n_rows"))
+        F.count(F.lit(1)).alias("n_unique"), F.count_if(F.col("n") >= threshold).alias("n_frequent"), F.sum("n").alias("n_rows"))
 
 
 def clonotype_top(df: DataFrame, threshold: int = 5, k: int = 20) -> DataFrame:
     """Most frequent sequences of each class."""
     counts = (df.where(F.col("junction_aa").isNotNull()).groupBy("dataset", "label_positive", "junction_aa")
-              .agg(F.count(_ONE).alias("n")).where(F.col("n") >= threshold))
+              .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold))
     return top_k(counts, ["dataset", "label_positive"], [F.desc("n"), F.asc("junction_aa")], k)
 
 
