@@ -1,4 +1,4 @@
-"""Fisher's exact test as a column expression.
+"""Fisher's exact test with built-in expressions.
 
 Only counts matter, so callers evaluate it once per distinct table and join back.
 """
@@ -7,29 +7,33 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
-def fisher(a: Column, c: Column, n_pos: Column, n_neg: Column, limit: int, alternative: str = "two-sided") -> tuple[Column, Column]:
-    """(odds ratio, p value) of the table [[a, n_pos-a], [c, n_neg-c]].
+def with_fisher(tables: DataFrame, limit: int, alternative: str = "two-sided") -> DataFrame:
+    """Add ``odds_ratio`` and ``p_value`` of [[pos, n_pos-pos], [neg, n_neg-neg]].
 
     ``limit`` bounds n_pos + n_neg; log-factorials up to it travel as one literal array.
     An empty margin has no odds ratio and p = 1.
     """
-    table = F.lit([math.lgamma(i + 1.0) for i in range(limit + 1)])
-    lf = lambda x: F.get(table, x.cast("int"))
-    choose = lambda n, x: lf(n) - lf(x) - lf(n - x)
-    hits = a + c
-    log_p = lambda x: choose(n_pos, x) + choose(n_neg, hits - x) - choose(n_pos + n_neg, hits)
-    lo = F.greatest(F.lit(0).cast("bigint"), hits - n_neg)
+    facts = F.lit([math.lgamma(i + 1.0) for i in range(limit + 1)])
+    lf = lambda x: F.get(facts, x.cast("int"))
+    a, c, n_pos, n_neg = F.col("pos"), F.col("neg"), F.col("n_pos"), F.col("n_neg")
+    b, d, hits = n_pos - a, n_neg - c, a + c
+    # log P(x) = base - the four factorials that change with x
+    base = lf(n_pos) + lf(n_neg) + lf(hits) + lf(b + d) - lf(n_pos + n_neg)
+    log_p = lambda x: F.col("_base") - lf(x) - lf(n_pos - x) - lf(hits - x) - lf(n_neg - hits + x)
     hi = F.least(n_pos, hits)
     if alternative == "greater":
-        values, keep = F.sequence(a, hi), (lambda x: F.lit(True))
+        terms = F.transform(F.sequence(a, hi), log_p)
     else:
-        values, keep = F.sequence(lo, hi), (lambda x: log_p(x) <= log_p(a) + math.log1p(1e-7))
-    p = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.when(keep(x), F.exp(log_p(x))).otherwise(F.lit(0.0)))
-    b, d = n_pos - a, n_neg - c
+        lo = F.greatest(F.lit(0).cast("bigint"), hits - n_neg)
+        terms = F.filter(F.transform(F.sequence(lo, hi), log_p), lambda v: v <= F.col("_seen") + math.log1p(1e-7))
+    p = F.aggregate("_terms", F.lit(0.0), lambda acc, v: acc + F.exp(v))
     empty = (n_pos == 0) | (n_neg == 0) | (hits == 0) | (b + d == 0)
     odds = (F.when(empty, F.lit(float("nan"))).when((b > 0) & (c > 0), a * d / F.nullif(b * c, F.lit(0)))
             .otherwise(F.lit(float("inf"))))
-    return odds, F.when(empty, F.lit(1.0)).otherwise(F.least(p, F.lit(1.0)))
+    return (tables.withColumn("_base", base).withColumn("_seen", log_p(a)).withColumn("_terms", terms)
+            .withColumn("odds_ratio", odds)
+            .withColumn("p_value", F.when(empty, F.lit(1.0)).otherwise(F.least(p, F.lit(1.0))))
+            .drop("_base", "_seen", "_terms"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clonara.constants import (MINE_ENRICH, MINE_ENRICH_DEFAULT, MINE_MIN_FREQ, MINE_MIN_FREQ_DEFAULT, MINE_TOP_N,
                                MINE_TOP_N_DEFAULT, REP)
-from clonara.functions.fisher import fisher
+from clonara.functions.fisher import with_fisher
 from clonara.functions.text import alpha_seq, dataset_id
 from clonara.operators.ranks import top_k
 from clonara.operators.sampling import first_repertoires
@@ -147,9 +147,7 @@ def mine_by_dataset(df: DataFrame, metadata: DataFrame, max_files: int = 30) ->
 def _tested(counts: DataFrame, limit: int, alternative: str) -> DataFrame:
     """Add ``odds_ratio`` and ``p_value``, evaluated once per distinct table."""
     table = ["pos", "neg", "n_pos", "n_neg"]
-    odds, p = fisher(F.col("pos"), F.col("neg"), F.col("n_pos"), F.col("n_neg"), limit, alternative)
-    tests = counts.select(*table).distinct().withColumn("odds_ratio", odds).withColumn("p_value", p)
-    return counts.join(tests, table)
+    return counts.join(with_fisher(counts.select(*table).distinct(), limit, alternative), table)
 
 
 def mine_fisher(df: DataFrame, metadata: DataFrame, max_files: int = 40, p_threshold: float = 0.01,
