@@ -84,11 +84,11 @@ def _(t):
 
 
 @query("rank_v9", f"""WITH {fisher_cte()}, {_WSQL}, {_files('pf_', 50)}, {_files('nf_', 30, 'NOT label_positive')},
-p AS (SELECT dataset, junction_aa, count(*) AS p FROM pf_ WHERE length(junction_aa) >= 8 GROUP BY ALL),
+pc AS (SELECT dataset, junction_aa, count(*) AS p FROM pf_ WHERE length(junction_aa) >= 8 GROUP BY ALL),
 q AS (SELECT dataset, junction_aa, count(*) AS q FROM nf_ WHERE junction_aa IS NOT NULL GROUP BY ALL),
-u AS (SELECT dataset, junction_aa FROM p UNION SELECT dataset, junction_aa FROM mined WHERE direction = 'positive'),
+u AS (SELECT dataset, junction_aa FROM pc UNION SELECT dataset, junction_aa FROM mined WHERE direction = 'positive'),
 {_score('g', 'u', (3, 4), False)}, sc AS (SELECT dataset, junction_aa, CASE WHEN direction = 'positive' THEN 2 * score ELSE 0 END
-  + coalesce((p - coalesce(q, 0)) / (p + coalesce(q, 0) + 1), 0) + 0.1::DOUBLE * coalesce(ks, 0) AS score FROM u LEFT JOIN p USING (dataset, junction_aa)
+  + coalesce((p - coalesce(q, 0)) / (p + coalesce(q, 0) + 1), 0) + 0.1::DOUBLE * coalesce(ks, 0) AS score FROM u LEFT JOIN pc USING (dataset, junction_aa)
   LEFT JOIN q USING (dataset, junction_aa) LEFT JOIN g USING (dataset, junction_aa) LEFT JOIN mined USING (dataset, junction_aa)) {_top(50000)}""")
 def _(t):
     r, m = t.rearrangements, t.metadata
@@ -240,9 +240,9 @@ def _(t):
 
 @query("sequence_rows", f"""WITH {fisher_cte()}, {_LOOK}, k AS (SELECT dataset, junction_aa, row_number() OVER (PARTITION BY dataset ORDER BY {_ORDER})::INT AS rank FROM mined),
 g AS (SELECT dataset, unnest(range(1, 101))::INT AS rank FROM (SELECT DISTINCT dataset FROM metadata)),
-f AS (SELECT g.dataset, g.rank, k.junction_aa, v_call, j_call FROM g LEFT JOIN k USING (dataset, rank) LEFT JOIN vj ON vj.dataset = k.dataset AND vj.junction_aa = k.junction_aa)
+row_ AS (SELECT g.dataset, g.rank, k.junction_aa, v_call, j_call FROM g LEFT JOIN k USING (dataset, rank) LEFT JOIN vj ON vj.dataset = k.dataset AND vj.junction_aa = k.junction_aa)
 SELECT dataset || '_seq_top_' || rank AS ID, dataset, -999.0::DOUBLE AS label_positive_probability, coalesce(junction_aa, 'CASSXXXXF') AS junction_aa,
-coalesce(nullif(v_call, ''), '-999.0') AS v_call, coalesce(nullif(j_call, ''), '-999.0') AS j_call FROM f""")
+coalesce(nullif(v_call, ''), '-999.0') AS v_call, coalesce(nullif(j_call, ''), '-999.0') AS j_call FROM row_""")
 def _(t):
     r, m = t.rearrangements, t.metadata
     mined = clonotypes.mine_fisher(r, m)

@@ -288,8 +288,8 @@ def _(t):
     return rounded(reports.metadata_summary(t.metadata))
 
 
-_TOP = """(SELECT dataset, repertoire_id, {c} AS g, count(*) AS n FROM rearrangements WHERE {c} IS NOT NULL GROUP BY dataset, repertoire_id, {c}
-QUALIFY row_number() OVER (PARTITION BY dataset, repertoire_id ORDER BY n DESC, {c}) = 1)"""
+_TOP = """(SELECT * FROM (SELECT dataset, repertoire_id, {c} AS g, count(*) AS n FROM rearrangements WHERE {c} IS NOT NULL GROUP BY dataset, repertoire_id, {c})
+QUALIFY row_number() OVER (PARTITION BY dataset, repertoire_id ORDER BY n DESC, g) = 1)"""
 _STATS = f"""st AS (SELECT dataset, repertoire_id, count(*) AS n_sequences, count(DISTINCT junction_aa) AS unique_junctions, count(DISTINCT v_call) AS unique_v_genes,
   count(DISTINCT j_call) AS unique_j_genes, avg(length(junction_aa)) AS mean_cdr3_length, quantile_cont(length(junction_aa), 0.5)::DOUBLE AS median_cdr3_length,
   avg(templates) AS mean_templates, quantile_cont(templates, 0.5)::DOUBLE AS median_templates,
