@@ -119,3 +119,26 @@ def encode_kmers(c, k: int = 3) -> Column:
 
     windows = F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), index)
     return F.when(F.length(c) >= k, windows).otherwise(F.array().cast("array<bigint>"))
+
+
+def metadata_features(metadata, number: str = "dataset_id"):
+    """Sex for all; race and run bucket only for dataset 7, HLA typing only for dataset 8.
+
+    The run bucket uses a fixed checksum, so it is the same in every run.
+    """
+    have = set(metadata.columns)
+    n = F.col(number)
+    flag = lambda cond: F.when(cond, F.lit(1.0)).otherwise(F.lit(0.0))
+    cells = []
+    if "sex" in have:
+        cells.append(("meta_sex_male", F.lit(True), flag(F.upper("sex").isin("M", "MALE"))))
+    if "race" in have:
+        cells.append(("meta_race_white", n == 7, flag(F.contains(F.lower("race"), F.lit("white")))))
+    if "sequencing_run_id" in have:
+        run = F.coalesce("sequencing_run_id", F.lit("nan"))
+        cells.append(("meta_run_hash", n == 7, F.pmod(F.crc32(run.cast("binary")), F.lit(100)) / 100.0))
+    for hla in ("A", "B", "C", "DRB1"):
+        if hla in have:
+            cells.append((f"meta_hla_{hla}", n == 8, flag(F.col(hla).isNotNull())))
+    listed = F.array(*[F.struct(F.lit(f).alias("feature"), when.alias("on"), v.alias("value")) for f, when, v in cells])
+    return metadata.select("dataset", "repertoire_id", F.inline(listed)).where("on").drop("on")
