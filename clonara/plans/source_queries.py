@@ -83,9 +83,9 @@ def _(t):
 
 
 @query("missing_files", """SELECT dataset, repertoire_id, filename FROM metadata WHERE repertoire_id NOT IN
-(SELECT repertoire_id FROM rearrangements WHERE junction_aa LIKE 'CASSA%')""")
+(SELECT repertoire_id FROM rearrangements WHERE junction_aa LIKE 'CASSADED%')""")
 def _(t):
-    rows = t.rearrangements.where(F.col("junction_aa").startswith("CASSA")).select(*REP, *_COLUMNS)
+    rows = t.rearrangements.where(F.col("junction_aa").startswith("CASSADED")).select(*REP, *_COLUMNS)
     root = _once(t, "partial", lambda p: stores.save_repertoires(rows, p))
     return repertoires.missing_files(t.metadata, repertoires.list_files(t.spark, root))
 
@@ -185,11 +185,11 @@ def _(t):
 
 # ---- scalar rules ------------------------------------------------------------------
 
-_S = "(SELECT DISTINCT junction_aa FROM rearrangements)"
+_S = "(SELECT DISTINCT junction_aa FROM rearrangements WHERE junction_aa IS NOT NULL)"
 
 
 def _seqs(t):
-    return t.rearrangements.select("junction_aa").distinct()
+    return t.rearrangements.where(F.col("junction_aa").isNotNull()).select("junction_aa").distinct()
 
 
 @query("valid_aa", f"SELECT junction_aa, regexp_matches(junction_aa, '^[{AMINO_ACIDS}]+$') AS ok FROM {_S}")

@@ -29,7 +29,7 @@ def _canon(pdf: pd.DataFrame) -> pd.DataFrame:
     for c in pdf.columns:
         col = pdf[c]
         if col.dtype == object or str(col.dtype) in ("str", "string"):
-            pdf[c] = col.map(lambda v: "\0" if v is None or v is pd.NA or (isinstance(v, float) and np.isnan(v))
+            pdf[c] = col.map(lambda v: "<null>" if v is None or v is pd.NA or (isinstance(v, float) and np.isnan(v))
                              else repr([x for x in v]) if isinstance(v, (list, np.ndarray)) else str(v))
     if len(pdf):
         pdf = pdf.sort_values(list(pdf.columns), kind="mergesort")
