@@ -131,36 +131,37 @@ def repertoire_basics(df: DataFrame, count_col: str | None = "templates") -> Dat
         F.stddev_samp(l).alias("len_std"), F.max(l).cast("bigint").alias("len_max"))
 
 
-def _with_letter_counts(df: DataFrame) -> DataFrame:
-    """Occurrences of each amino acid in an alphabetic sequence, by length differences."""
-    s = F.when(alpha_seq("junction_aa"), F.col("junction_aa"))
-    counts = F.array(*[F.length(s) - F.length(F.replace(s, F.lit(a), F.lit(""))) for a in AMINO_ACIDS])
-    known = F.length(s) - F.length(F.translate(s, AMINO_ACIDS, ""))
-    return df.select(*REP, counts.alias("_n"), F.nullif(known, F.lit(0)).alias("_known"))
+def _codes(df: DataFrame) -> DataFrame:
+    """Character codes of each alphabetic sequence (null for others)."""
+    letters = F.split(F.when(alpha_seq("junction_aa"), F.col("junction_aa")), "")
+    return df.select(*REP, F.transform(letters, lambda c: F.ascii(c)).alias("_codes"))
 
 
-def _mean_of(values: dict[str, float]) -> Column:
-    terms = [F.get("_n", F.lit(AMINO_ACIDS.index(a))) * F.lit(float(v)) for a, v in values.items() if v]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return total / F.col("_known")
+def _sum_of(values: dict[str, float]) -> Column:
+    """Sum of a per-letter value, read from a table by character code; unknown letters add nothing."""
+    table = F.lit([float(values.get(chr(i), 0.0)) for i in range(128)])
+    return F.aggregate("_codes", F.lit(0.0), lambda acc, c: acc + F.coalesce(F.get(table, c), F.lit(0.0)))
+
+
+def _letter_means(df: DataFrame, properties: dict[str, dict[str, float]]) -> DataFrame:
+    """Mean of each property over the known letters of a sequence; null when there is none."""
+    known = F.nullif(_sum_of(dict.fromkeys(AMINO_ACIDS, 1.0)), F.lit(0.0))
+    sums = _codes(df).select(*REP, known.alias("_known"), *[_sum_of(v).alias(f"_{n}") for n, v in properties.items()])
+    return sums.select(*REP, *[(F.col(f"_{n}") / F.col("_known")).alias(n) for n in properties])
 
 
 def physchem(df: DataFrame) -> DataFrame:
     """Mean and deviation over sequences of mean hydropathy and volume, and mean charge."""
-    per_seq = _with_letter_counts(df.where(alpha_seq("junction_aa"))).where(F.col("_known") > 0).select(
-        *REP, _mean_of(HYDROPATHY).alias("h"), _mean_of(VOLUME).alias("v"), _mean_of(CHARGE).alias("c"))
+    per_seq = _letter_means(df, {"h": HYDROPATHY, "v": VOLUME, "c": CHARGE})
     return per_seq.groupBy(*REP).agg(
         F.avg("h").alias("phys_hydro_mean"), F.stddev_pop("h").alias("phys_hydro_std"), F.avg("v").alias("phys_vol_mean"),
-        F.stddev_pop("v").alias("phys_vol_std"), F.avg("c").alias("phys_charge_mean"))
+        F.stddev_pop("v").alias("phys_vol_std"), F.avg("c").alias("phys_charge_mean")).where(F.col("phys_hydro_mean").isNotNull())
 
 
 def atchley(df: DataFrame) -> DataFrame:
     """Five factor means per sequence, summarised per repertoire; empty has only mean and deviation."""
     factors = {n: {a: f[i] for a, f in ATCHLEY.items()} for i, n in enumerate(ATCHLEY_NAMES)}
-    per_seq = _with_letter_counts(df).select(
-        *REP, *[_mean_of(f).alias(n) for n, f in factors.items()])
+    per_seq = _letter_means(df, factors)
     aggs = []
     for n in ATCHLEY_NAMES:
         aggs += [F.avg(n).alias(f"atchley_{n}_mean"), F.stddev_pop(n).alias(f"atchley_{n}_std"),

@@ -229,7 +229,7 @@ class SparseLogistic:
         train, self.scaler = scaled(train)
         train = materialize(stratified_folds(train, self.folds, self.seed), "folds")
         n, k = train.count(), len(fold_values(train))
-        lr = LogisticRegression(elasticNetParam=1.0, standardization=False, maxIter=1000)
+        lr = LogisticRegression(elasticNetParam=1.0, standardization=False, maxIter=1000, tol=1e-4)
         # CV fits see (k-1)/k of the rows; the penalty is per row
         grid = {c: 1.0 / (c * n * (k - 1) / k) for c in self.c_values}
         maps = ParamGridBuilder().addGrid(lr.regParam, list(grid.values())).build()

@@ -135,7 +135,7 @@ def _counts(t):
             .agg(F.count(F.lit(1)).cast("double").alias("value")))
 
 
-@query("save_tsv")
+@query("save_tsv", """SELECT dataset, repertoire_id, junction_aa, v_call, j_call, CAST(templates AS VARCHAR) AS templates FROM rearrangements""")
 def _(t):
     rows = t.rearrangements.select(*REP, *_COLUMNS)
     path = _once(t, "sink", lambda p: stores.save_table(rows, p))
@@ -164,7 +164,8 @@ def _(t):
     return stores.FeatureStore(t.spark, path).pending(t.metadata)
 
 
-@query("feature_cache")
+@query("feature_cache", """SELECT dataset, repertoire_id, 'v_' || upper(split_part(split_part(v_call, '*', 1), '-', 1)) AS feature, count(*)::DOUBLE AS value
+FROM rearrangements WHERE v_call IS NOT NULL GROUP BY ALL""")
 def _(t):
     path = _once(t, "cache", lambda p: None)
     return stores.cached_table(t.spark, path, lambda: _counts(t))

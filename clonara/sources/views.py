@@ -69,6 +69,10 @@ VIEWS = {
     "embedding_bags": (EMBEDDING_BAGS, EMBEDDING_BAGS),
 }
 
+# large tables behind views, and the columns the views read
+_SPREAD = {"lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"],
+           "documents": ["doc_id", "source", "lang", "text"]}
+
 
 class Tables:
     """Base tables and derived views of one data folder, read lazily."""
@@ -79,10 +83,20 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def _wide(self, name: str) -> DataFrame:
+        """The columns a view reads; a table in fewer files than there are cores is dealt out first.
+
+        A file with one row group cannot be split, and windows over its strings would then
+        run on one core. On a cluster a large table has many files and stays as it is.
+        """
+        df = self.base(name).select(*_SPREAD[name])
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
     def _view(self, name: str) -> DataFrame:
         text = VIEWS[name][0]
-        bases = re.findall(r"(?<!\{)\{(\w+)\}", text)
-        return self.spark.sql(text, **{b: self.base(b) for b in set(bases)})
+        bases = set(re.findall(r"(?<!\{)\{(\w+)\}", text))
+        return self.spark.sql(text, **{b: self._wide(b) if b in _SPREAD else self.base(b) for b in bases})
 
     @cached_property
     def rearrangements(self) -> DataFrame:
