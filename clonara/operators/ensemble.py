@@ -50,7 +50,7 @@ class Stacking:
             self.fold_models[name] = [models[f] for f in sorted(models)]
             self.cv_scores[name] = roc_auc(stacked.withColumn("p", F.col(name)), ["fold"]).agg(F.avg("auc")).first()[0]
         n = stacked.count()
-        meta = self.meta or LogisticRegression(regParam=1.0 / max(n, 1), standardization=False, maxIter=1000)
+        meta = self.meta or LogisticRegression(family="binomial", regParam=1.0 / max(n, 1), standardization=False, maxIter=1000)
         self.meta_model = meta.copy({meta.featuresCol: "_meta"}).fit(_with_meta(stacked, list(self.learners)))
         return self
 
@@ -95,7 +95,7 @@ class RidgeStack:
         return {"xgboost": GBTClassifier(maxIter=self.rounds, maxDepth=5, stepSize=0.1, seed=self.seed),
                 "lightgbm": GBTClassifier(maxIter=self.rounds, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=self.seed),
                 "catboost": RandomForestClassifier(numTrees=self.rounds, maxDepth=6, seed=self.seed),
-                "logreg": LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (0.1 * max(n, 1)), standardization=False, maxIter=1000)}
+                "logreg": LogisticRegression(family="binomial", elasticNetParam=1.0, regParam=1.0 / (0.1 * max(n, 1)), standardization=False, maxIter=1000)}
 
     def _fit_bases(self, data: DataFrame):
         flat, scaler = scaled(data)

@@ -217,6 +217,7 @@ class SparseLogistic:
     best_c: float | None = None
     cv_score: float | None = None
     holdout_score: float | None = None
+    prior: float | None = None
     model: Model | None = field(default=None, repr=False)
     scaler: Model | None = field(default=None, repr=False)
 
@@ -228,8 +229,15 @@ class SparseLogistic:
         train = split.where(~F.col("holdout")).drop("holdout")
         train, self.scaler = scaled(train)
         train = materialize(stratified_folds(train, self.folds, self.seed), "folds")
-        n, k = train.count(), len(fold_values(train))
-        lr = LogisticRegression(elasticNetParam=1.0, standardization=False, maxIter=1000, tol=1e-4)
+        count = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
+        n, k = sum(count.values()), len(fold_values(train))
+        lr = LogisticRegression(family="binomial", elasticNetParam=1.0, standardization=False, maxIter=1000, tol=1e-4)
+        if min(count.get(0.0, 0), count.get(1.0, 0)) < 2:
+            # too few of a class to tune; with one class only its share is left to predict
+            self.best_c = self.c_values[0]
+            self.prior = count.get(1.0, 0) / max(n, 1)
+            self.model = lr.copy({lr.regParam: 1.0 / (self.best_c * n)}).fit(train) if 0 < self.prior < 1 else None
+            return self
         # CV fits see (k-1)/k of the rows; the penalty is per row
         grid = {c: 1.0 / (c * n * (k - 1) / k) for c in self.c_values}
         maps = ParamGridBuilder().addGrid(lr.regParam, list(grid.values())).build()
@@ -237,7 +245,7 @@ class SparseLogistic:
             evaluator = BinaryClassificationEvaluator(numBins=0)
         else:
             evaluator = MulticlassClassificationEvaluator(metricName="weightedRecall", weightCol="_balance")
-            share = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
+            share = count
             train = train.withColumn("_balance", F.when(F.col("label") == 1.0, F.lit(1.0 / share.get(1.0, 1))).otherwise(F.lit(1.0 / share.get(0.0, 1))))
         cv = CrossValidator(estimator=lr, estimatorParamMaps=maps, evaluator=evaluator, numFolds=k, foldCol="fold", parallelism=2).fit(train)
         best = max(range(len(maps)), key=lambda i: cv.avgMetrics[i])
@@ -251,6 +259,8 @@ class SparseLogistic:
         return self
 
     def predict(self, data: DataFrame, name: str = "p") -> DataFrame:
+        if self.model is None:
+            return data.withColumn(name, F.lit(self.prior))
         return probability(self.model.transform(scaled(data, self.scaler)[0]), name)
 
     def predict_label(self, data: DataFrame) -> DataFrame:
@@ -322,7 +332,7 @@ def stacked_weights(oof: DataFrame, names: list[str]) -> list[float]:
     from pyspark.ml.feature import VectorAssembler
 
     rows = VectorAssembler(inputCols=names, outputCol="_meta").transform(oof)
-    coef = LogisticRegression(featuresCol="_meta", maxIter=2000, regParam=1.0 / max(rows.count(), 1)).fit(rows).coefficients
+    coef = LogisticRegression(family="binomial", featuresCol="_meta", maxIter=2000, regParam=1.0 / max(rows.count(), 1)).fit(rows).coefficients
     clipped = [max(float(c), 0.0) for c in coef]
     total = sum(clipped)
     return [c / total for c in clipped] if total > 0 else [1.0 / len(names)] * len(names)
@@ -337,8 +347,8 @@ def best_model(data: DataFrame, size: int, folds: int = 5, rounds: int = 100, se
     rows, scaler = scaled(data)
     rows = materialize(stratified_folds(rows, folds, seed), "folds")
     n = rows.count()
-    options = {"logistic": LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=2000),
-               "logistic_l1": LogisticRegression(regParam=1.0 / (0.1 * n), elasticNetParam=1.0, standardization=False, maxIter=2000),
+    options = {"logistic": LogisticRegression(family="binomial", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=2000),
+               "logistic_l1": LogisticRegression(family="binomial", regParam=1.0 / (0.1 * n), elasticNetParam=1.0, standardization=False, maxIter=2000),
                "perceptron": multilayer_perceptron(size, rounds=rounds, seed=seed)}
     scores = {name: mean_fold_score(out_of_fold(e, rows)[0]) for name, e in options.items()}
     chosen = max(scores, key=lambda k: scores[k] if scores[k] is not None else -1.0)

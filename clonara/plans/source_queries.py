@@ -135,7 +135,7 @@ def _counts(t):
             .agg(F.count(F.lit(1)).cast("double").alias("value")))
 
 
-@query("save_tsv", """SELECT dataset, repertoire_id, junction_aa, v_call, j_call, CAST(templates AS VARCHAR) AS templates FROM rearrangements""")
+@query("save_tsv", """SELECT dataset, repertoire_id, junction_aa, v_call, nullif(j_call, '') AS j_call, CAST(templates AS VARCHAR) AS templates FROM rearrangements""")
 def _(t):
     rows = t.rearrangements.select(*REP, *_COLUMNS)
     path = _once(t, "sink", lambda p: stores.save_table(rows, p))
