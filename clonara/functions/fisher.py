@@ -1,6 +1,6 @@
-"""Fisher's exact test with built-in expressions.
+"""Fisher's exact test with built-in expressions, row by row.
 
-Only counts matter, so callers evaluate it once per distinct table and join back.
+Callers filter by frequency first, so only sequences shared by several repertoires are tested.
 """
 
 from __future__ import annotations

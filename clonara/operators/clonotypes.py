@@ -144,12 +144,6 @@ def mine_by_dataset(df: DataFrame, metadata: DataFrame, max_files: int = 30) ->
     return ranked.where(F.col("_r") <= _by_dataset(MINE_TOP_N, MINE_TOP_N_DEFAULT)).drop("_r")
 
 
-def _tested(counts: DataFrame, limit: int, alternative: str) -> DataFrame:
-    """Add ``odds_ratio`` and ``p_value``, evaluated once per distinct table."""
-    table = ["pos", "neg", "n_pos", "n_neg"]
-    return counts.join(with_fisher(counts.select(*table).distinct(), limit, alternative), table)
-
-
 def mine_fisher(df: DataFrame, metadata: DataFrame, max_files: int = 40, p_threshold: float = 0.01,
                 min_freq: float = 0.10, top_n: int | None = 2500, exclude_fold: DataFrame | None = None) -> DataFrame:
     """Sequences whose presence differs between classes, in either direction."""
@@ -157,7 +151,7 @@ def mine_fisher(df: DataFrame, metadata: DataFrame, max_files: int = 40, p_thres
     counts = (_with_frequencies(class_counts(df, metadata, max_files, exclude_fold))
               .where((F.length("junction_aa") >= 8) & (F.col("n_pos") > 0) & ((pf >= min_freq) | (nf >= min_freq))))
     score = -F.log10(F.col("p_value") + 1e-10) * F.signum(F.ln(F.col("odds_ratio") + 1e-10))
-    kept = (_tested(counts, 2 * max_files, "two-sided").where(F.col("p_value") < p_threshold)
+    kept = (with_fisher(counts, 2 * max_files).where(F.col("p_value") < p_threshold)
             .select(*SEQ, score.alias("score"), "p_value", "odds_ratio", "pos_freq", "neg_freq",
                     F.when(F.col("odds_ratio") > 1, "positive").otherwise("negative").alias("direction")))
     order = [F.desc(F.round(F.abs("score"), 9)), F.asc("junction_aa")]
@@ -171,7 +165,7 @@ def mine_fisher_greater(df: DataFrame, metadata: DataFrame, max_files: int = 50,
     counts = (_with_frequencies(class_counts(df, metadata, max_files))
               .where((F.col("pos") > 0) & (pf >= min_freq) & ((nf <= 0) | (pf > nf * enrichment))))
     significant = F.col("p_value") < p_threshold
-    kept = _tested(counts, 2 * max_files, "greater").select(
+    kept = with_fisher(counts, 2 * max_files, "greater").select(
         *SEQ, (_log_ratio() + F.when(significant, 1.0).otherwise(0.0)).alias("score"), "pos_freq", "neg_freq", "p_value",
         significant.alias("significant"))
     return top_k(kept, ["dataset"], [F.desc(F.round("score", 9)), F.asc("junction_aa")], top_n, salt_on=SEQ)

@@ -14,6 +14,9 @@ from clonara.constants import AMINO_ACIDS, REP
 from clonara.functions.text import STRICT, alpha_seq, loose_aa
 from clonara.operators.ranks import densify, top_k
 
+# a k-mer list of at most this many rows (some tens of bytes each) may be broadcast
+BROADCAST_ROWS = 200_000
+
 
 def windows(seq: Column, k: int) -> Column:
     """All windows of length ``k`` as an array; null when the sequence is too short."""
@@ -102,14 +105,20 @@ def index_vocabulary(vocabulary: DataFrame) -> DataFrame:
         (F.col("offset") + F.col("rank") - 1).alias("index"))
 
 
-def vocabulary_transform(df: DataFrame, vocabulary: DataFrame, repertoires: DataFrame | None = None,
-                         once_per_row: bool = True) -> DataFrame:
+def vocabulary_transform(df: DataFrame, vocabulary: DataFrame, ks, repertoires: DataFrame | None = None,
+                         once_per_row: bool = True, size: int | None = None) -> DataFrame:
     """Shares over the vocabulary only; k-mers a repertoire lacks are zero.
 
-    With ``repertoires`` the result is dense, otherwise only non-zero rows are kept.
+    ``size`` is an upper bound on the vocabulary. A bounded one is broadcast and drops
+    other windows before they are counted; otherwise windows are counted first. With
+    ``repertoires`` the result is dense, else only non-zero rows are kept.
     """
-    ks = [r.k for r in vocabulary.select("k").distinct().orderBy("k").collect()]
-    counts = kmer_counts(df, ks, once_per_row=once_per_row).join(vocabulary.select("k", "kmer"), ["k", "kmer"])
+    listed = vocabulary.select("k", "kmer")
+    if size is not None and size <= BROADCAST_ROWS:
+        windows_ = explode_kmers(df.select(*REP, "junction_aa"), ks, once_per_row=once_per_row)
+        counts = windows_.join(F.broadcast(listed), ["k", "kmer"]).groupBy(*REP, "k", "kmer").agg(F.count(F.lit(1)).alias("count"))
+    else:
+        counts = kmer_counts(df, ks, once_per_row=once_per_row).join(listed, ["k", "kmer"])
     total = F.sum("count").over(Window.partitionBy(*REP, "k"))
     shares = counts.select(*REP, "k", "kmer", (F.col("count") / total).alias("value"))
     return shares if repertoires is None else densify(shares, repertoires, vocabulary, REP, ["k", "kmer"])
@@ -124,15 +133,18 @@ class KmerFeaturizer:
     once_per_row: bool = True
     vocabulary: DataFrame | None = field(default=None, repr=False)
 
+    @property
+    def ks(self) -> list[int]:
+        return list(range(self.k_range[0], self.k_range[1] + 1))
+
     def fit(self, df: DataFrame) -> "KmerFeaturizer":
-        ks = range(self.k_range[0], self.k_range[1] + 1)
-        self.vocabulary = learn_vocabulary(df, ks, self.per_k, self.once_per_row)
+        self.vocabulary = learn_vocabulary(df, self.ks, self.per_k, self.once_per_row)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         if self.vocabulary is None:
             raise ValueError("call fit first")
-        return vocabulary_transform(df, self.vocabulary, once_per_row=self.once_per_row)
+        return vocabulary_transform(df, self.vocabulary, self.ks, once_per_row=self.once_per_row, size=self.per_k * len(self.ks))
 
     def feature_names(self) -> DataFrame:
         return index_vocabulary(self.vocabulary)
@@ -179,9 +191,10 @@ def global_kmers(df: DataFrame, k: int = 3, keep: int = 64, weight: str | None =
     rows = df.where(F.col("junction_aa").isNotNull())
     pooled = explode_kmers(rows.select("junction_aa"), k).groupBy("kmer").agg(F.count(F.lit(1)).alias("c"))
     best = pooled.orderBy(F.desc("c"), "kmer").limit(keep).select("kmer")
+    only = F.broadcast(best) if keep <= BROADCAST_ROWS else best
     w = F.col(weight) if weight else F.lit(1.0)
     # An absent weight adds nothing, as a summed missing value.
-    inside = (explode_kmers(rows.select(*REP, "junction_aa", w.alias("w")), k, once_per_row=True)
+    inside = (explode_kmers(rows.select(*REP, "junction_aa", w.alias("w")), k, once_per_row=True).join(only, "kmer")
               .groupBy(*REP, "kmer").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("value")))
     return densify(inside, df.select(*REP).distinct(), best, REP, ["kmer"])
 

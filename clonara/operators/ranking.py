@@ -1,8 +1,8 @@
 """Ranking of the sequences that explain the label.
 
 k-mer weights come as (k, kmer, weight) rows. Sequences are made distinct before their
-windows are exploded, and all windows of a sequence come from one row, so the sum over
-windows folds inside the task that exploded them.
+windows are exploded, and all windows of a sequence come from one row, so their sum folds
+inside the task that exploded them.
 """
 
 from __future__ import annotations
@@ -35,11 +35,23 @@ def _ranked(scored: DataFrame, k: int, *ties: str) -> DataFrame:
     return top_k(scored, ["dataset"], order, k, rank="rank", salt_on=["dataset", *names])
 
 
-def kmer_scores(seqs: DataFrame, weights: DataFrame, ks: list[int], once: bool) -> DataFrame:
-    """Sum of window weights of each distinct sequence; sequences without any are absent."""
-    distinct = seqs.select(*SEQ).where(F.col("junction_aa").isNotNull()).distinct()
-    hits = explode_kmers(distinct, ks, once_per_row=once).join(weights.select("k", "kmer", "weight"), ["k", "kmer"])
-    return hits.groupBy(*SEQ).agg(F.sum("weight").alias("kmer_score"))
+def with_kmer_score(seqs: DataFrame, weights: DataFrame, ks: list[int], once: bool) -> DataFrame:
+    """Add the sum of window weights (zero without any) to rows with distinct keys.
+
+    Windows are exploded from the rows themselves and folded back by all columns, so the
+    rows are computed once and never joined with themselves.
+    """
+    s = F.col("junction_aa")
+
+    def listed(k: int) -> Column:
+        found = F.array_distinct(windows(s, k)) if once else windows(s, k)
+        return F.coalesce(F.transform(found, lambda w: F.struct(F.lit(k).alias("k"), w.alias("kmer"))),
+                          F.array().cast("array<struct<k:int,kmer:string>>"))
+
+    keep = seqs.columns
+    exploded = seqs.withColumn("_w", F.explode_outer(F.concat(*[listed(k) for k in ks]))).select(*keep, "_w.k", "_w.kmer")
+    joined = exploded.join(weights.select("k", "kmer", "weight"), ["k", "kmer"], "left")
+    return joined.groupBy(*keep).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("kmer_score"))
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
@@ -60,8 +72,8 @@ def rank_clone_scores(df: DataFrame, metadata: DataFrame, mined: DataFrame, k: i
 def rank_gain(df: DataFrame, metadata: DataFrame, mined: DataFrame, weights: DataFrame, k: int = 50000, files: int = 50) -> DataFrame:
     """Twice the mined score plus, per occurrence in positive repertoires, the k-mer gains."""
     seen = _occurrences(_rows_of(df, metadata, True, files).where(valid_aa("junction_aa")))
-    gains = kmer_scores(seen, weights, [3, 4], once=False)
-    scored = (seen.join(gains, SEQ, "left").join(mined.select(*SEQ, "score"), SEQ, "full")
+    gains = with_kmer_score(seen, weights, [3, 4], once=False)
+    scored = (gains.join(mined.select(*SEQ, "score"), SEQ, "full")
               .where(valid_aa("junction_aa"))
               .select(*SEQ, (2 * _zero("score") + F.coalesce("n", F.lit(0)) * _zero("kmer_score")).alias("score")))
     return _ranked(scored, k)
@@ -71,9 +83,9 @@ def rank_gain_bonus(df: DataFrame, metadata: DataFrame, mined: DataFrame, weight
     """Mined score, two more when significant, plus k-mer gains; invalid sequences leave after the cut."""
     seen = _occurrences(_rows_of(df, metadata, True, files).where(alpha_seq("junction_aa")))
     pooled = weights.groupBy("kmer").agg(F.sum("weight").alias("weight")).withColumn("k", F.length("kmer"))
-    gains = kmer_scores(seen, pooled, [3, 4], once=False)
+    gains = with_kmer_score(seen, pooled, [3, 4], once=False)
     base = F.col("score") + F.when(F.col("significant"), 2.0).otherwise(0.0)
-    scored = (seen.join(gains, SEQ, "left").join(mined.select(*SEQ, base.alias("base")), SEQ, "full")
+    scored = (gains.join(mined.select(*SEQ, base.alias("base")), SEQ, "full")
               .select(*SEQ, (_zero("base") + F.coalesce("n", F.lit(0)) * _zero("kmer_score")).alias("score")))
     return _ranked(scored, k).where(valid_aa("junction_aa"))
 
@@ -87,7 +99,7 @@ def rank_difference(df: DataFrame, metadata: DataFrame, mined: DataFrame, weight
     diff = pos.join(neg, SEQ, "left").select(*SEQ, ((F.col("p") - q) / (F.col("p") + q + 1)).alias("diff"))
     base = mined.where(F.col("direction") == "positive").select(*SEQ, (2 * F.col("score")).alias("base"))
     both = diff.join(base, SEQ, "full")
-    scored = both.join(kmer_scores(both, weights, [3, 4], once=False), SEQ, "left").select(
+    scored = with_kmer_score(both, weights, [3, 4], once=False).select(
         *SEQ, (_zero("base") + _zero("diff") + 0.1 * _zero("kmer_score")).alias("score"))
     return _ranked(scored, k)
 
@@ -112,8 +124,7 @@ def distinct_rearrangements(df: DataFrame) -> DataFrame:
 
 
 def _rank_triples(df: DataFrame, weights: DataFrame, ks: list[int], once: bool, k: int) -> DataFrame:
-    triples = distinct_rearrangements(df)
-    scored = triples.join(kmer_scores(df, weights, ks, once), SEQ, "left").select(*TRIPLE, _zero("kmer_score").alias("score"))
+    scored = with_kmer_score(distinct_rearrangements(df), weights, ks, once).select(*TRIPLE, F.col("kmer_score").alias("score"))
     return _ranked(scored, k, "junction_aa", "v_call", "j_call")
 
 
@@ -192,10 +203,10 @@ def vj_lookup(seqs: DataFrame, df: DataFrame, metadata: DataFrame, pos_files: in
     pos = first_repertoires(metadata.where("label_positive").select(*REP), pos_files, by_label=False).withColumn("late", F.lit(0))
     some = first_repertoires(metadata.select(*REP), any_files, by_label=False).withColumn("late", F.lit(1))
     files = pos.unionByName(some).groupBy(*REP).agg(F.min("late").alias("late"))
-    rows = (df.where((F.col("v_call") != "") & F.col("junction_aa").isNotNull()).select(*TRIPLE, "repertoire_id", "row_order")
-            .join(files, REP).join(seqs.select(*SEQ), SEQ, "left_semi"))
+    rows = df.where((F.col("v_call") != "") & F.col("junction_aa").isNotNull()).select(*TRIPLE, "repertoire_id", "row_order").join(files, REP)
+    # fold to one row per sequence before the join, so a frequent sequence stays spread out
     found = rows.groupBy(*SEQ).agg(F.min(F.struct("late", "repertoire_id", "row_order", "v_call", "j_call")).alias("o"))
-    return found.select(*SEQ, F.col("o.v_call").alias("v_call"), F.col("o.j_call").alias("j_call"))
+    return found.join(seqs.select(*SEQ), SEQ, "left_semi").select(*SEQ, F.col("o.v_call").alias("v_call"), F.col("o.j_call").alias("j_call"))
 
 
 def pad_top_k(ranked: DataFrame, datasets: DataFrame, k: int = 50000) -> DataFrame:

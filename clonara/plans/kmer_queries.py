@@ -115,7 +115,7 @@ SELECT r.dataset, r.repertoire_id, v.k, v.kmer, round(coalesce(s.x, 0.0::DOUBLE)
 LEFT JOIN s ON s.dataset = r.dataset AND s.repertoire_id = r.repertoire_id AND s.k = v.k AND s.kmer = v.kmer""")
 def _(t):
     r = t.rearrangements
-    out = kmers.vocabulary_transform(r, kmers.learn_vocabulary(r, (3, 4), 50), r.select(*REP).distinct())
+    out = kmers.vocabulary_transform(r, kmers.learn_vocabulary(r, (3, 4), 50), (3, 4), r.select(*REP).distinct(), size=100)
     return out.withColumn("value", F.round("value", 6))
 
 

@@ -69,8 +69,8 @@ VIEWS = {
     "embedding_bags": (EMBEDDING_BAGS, EMBEDDING_BAGS),
 }
 
-# large tables behind views, and the columns the views read
-_SPREAD = {"lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"],
+# large tables behind views: the bag column, and the others the views read
+_SPREAD = {"lineitem": ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"],
            "documents": ["doc_id", "source", "lang", "text"]}
 
 
@@ -87,11 +87,13 @@ class Tables:
         """The columns a view reads; a table in fewer files than there are cores is dealt out first.
 
         A file with one row group cannot be split, and windows over its strings would then
-        run on one core. On a cluster a large table has many files and stays as it is.
+        run on one core. Rows of a bag stay together, as they are in repertoire files. On a
+        cluster a large table has many files and stays as it is.
         """
-        df = self.base(name).select(*_SPREAD[name])
+        bag, *others = _SPREAD[name]
+        df = self.base(name).select(bag, *others)
         cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+        return df.repartition(cores, bag) if len(df.inputFiles()) < cores else df
 
     def _view(self, name: str) -> DataFrame:
         text = VIEWS[name][0]

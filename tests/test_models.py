@@ -8,6 +8,7 @@ from clonara.constants import REP
 from clonara.operators import ensemble, evaluate, model
 from clonara.plans.catalogue import QUERIES
 from clonara.plans.model_queries import training
+from clonara.session import materialize
 from conftest import SF
 
 
@@ -57,7 +58,7 @@ def test_probabilities(spark, tables, name):
 
 
 def test_predictor_writes_a_full_submission(spark, tables):
-    out = QUERIES["predictor"](spark, SF)
+    out = materialize(QUERIES["predictor"](spark, SF))
     n = tables.metadata.select("dataset").distinct().count()
     assert out.where("label_positive_probability <> -999").count() == tables.metadata.count()
     assert out.where("label_positive_probability = -999").count() == 2000 * n
