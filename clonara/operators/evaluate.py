@@ -39,6 +39,12 @@ def balanced_accuracy(df: DataFrame, group: list[str], label: str = "label_posit
     return df.groupBy(*group).agg(((recall(hit, y) + recall(~hit, ~y)) / 2).alias("balanced_accuracy"))
 
 
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation as an aggregate; missing when either side is constant."""
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
+
+
 def jaccard(a: DataFrame, b: DataFrame, on: list[str], group: list[str]) -> DataFrame:
     """Overlap over union of two sets per group."""
     sides = a.select(*on, F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(*on, F.lit(0).alias("x"), F.lit(1).alias("y")))

@@ -7,26 +7,32 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _SALTS = 64
+# above this Spark no longer cuts each map task to the first k rows of a group
 _WIDE = 1000
 
 
+def _salt_rounds(df: DataFrame) -> list[int]:
+    """Sub-groups per round: as many as shuffle partitions on a cluster, then few."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return [partitions, _SALTS] if partitions > 4 * _SALTS else [_SALTS]
 
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str | None = None,
           salt_on: list[str] | None = None) -> DataFrame:
     """First ``k`` rows per group; ``order`` must break every tie.
 
-    Spark cuts each map task to ``k`` rows per group before the shuffle. For a large ``k``
-    that still sends tasks*k rows of one group to one reducer, so a first round ranks
-    inside salted sub-groups and only 64*k rows per group meet in the last round.
+    For a small ``k`` Spark cuts every map task to ``k`` rows per group before the
+    shuffle. For a large one rows are first ranked inside salted sub-groups, so a group
+    of any size is sorted by many tasks and at most 64*k of its rows meet in the last one.
     """
     name = rank or "_rank"
     if k >= _WIDE:
-        salt = F.pmod(F.xxhash64(*(salt_on or df.columns)), F.lit(_SALTS))
-        w = Window.partitionBy(*group, "_salt").orderBy(*order)
-        df = (df.withColumn("_salt", salt).withColumn("_pre", F.row_number().over(w))
-              .where(F.col("_pre") <= k).drop("_salt", "_pre"))
-    w = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
+        for salts in _salt_rounds(df):
+            salt = F.pmod(F.xxhash64(*(salt_on or df.columns)), F.lit(salts))
+            w = Window.partitionBy(*group, "_salt").orderBy(*order)
+            df = (df.withColumn("_salt", salt).withColumn("_pre", F.row_number().over(w))
+                  .where(F.col("_pre") <= k).drop("_salt", "_pre"))
+    w = Window.partitionBy(*group).orderBy(*order)
     out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
     return out if rank else out.drop(name)
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clonara.constants import EXPECTED_ROWS, REP, SENTINEL_PROBABILITY, SEQUENCES_PER_DATASET, SUBMISSION_COLUMNS
+from clonara.operators.evaluate import correlation
 from clonara.operators.ranks import top_k
 
 
@@ -73,7 +74,7 @@ def prediction_agreement(pairs: DataFrame, group: list[str], a: str = "p_a", b:
     n = F.count(F.lit(1))
     hi_a, hi_b = x > 0.5, y > 0.5
     return pairs.groupBy(*group).agg(
-        n.alias("n"), F.corr(a, b).alias("correlation"), F.avg(F.abs(x - y)).alias("mae"),
+        n.alias("n"), correlation(a, b).alias("correlation"), F.avg(F.abs(x - y)).alias("mae"),
         (F.count_if(hi_a == hi_b) / n).alias("agreement"), F.count_if(hi_a != hi_b).alias("disagreements"),
         F.count_if(hi_a & ~hi_b).alias("only_a"), F.count_if(~hi_a & hi_b).alias("only_b"))
 

@@ -139,13 +139,13 @@ def _(t):
     return rounded(model.seed_average(runs))
 
 
-@query("blend_weights", """WITH c AS (SELECT dataset, 'a' AS model, corr(p_a, label_positive::INT) AS c FROM predictions GROUP BY ALL
-  UNION ALL SELECT dataset, 'b', corr(p_b, label_positive::INT) FROM predictions GROUP BY ALL)
+@query("blend_weights", """WITH c AS (SELECT dataset, 'a' AS model, coalesce(nullif(corr(p_a, label_positive::INT), 'nan'::DOUBLE), 0) AS c FROM predictions GROUP BY ALL
+  UNION ALL SELECT dataset, 'b', coalesce(nullif(corr(p_b, label_positive::INT), 'nan'::DOUBLE), 0) FROM predictions GROUP BY ALL)
 SELECT dataset, model, round(CASE WHEN sum(greatest(c, 0)) OVER w > 0 THEN greatest(c, 0) / sum(greatest(c, 0)) OVER w ELSE 1 / count(*) OVER w END, 6) AS weight
 FROM c WINDOW w AS (PARTITION BY dataset)""")
 def _(t):
     y = F.col("label_positive").cast("double")
-    c = both_models(t).groupBy("dataset", "model").agg(F.corr("p", y).alias("coefficient"))
+    c = both_models(t).groupBy("dataset", "model").agg(F.coalesce(evaluate.correlation("p", y), F.lit(0.0)).alias("coefficient"))
     return rounded(model.blend_weights(c, ["dataset"]))
 
 

@@ -76,8 +76,12 @@ class RepertoirePredictor:
 def run_all(rows: DataFrame, metadata: DataFrame, test_rows: DataFrame, test_repertoires: DataFrame, routes: DataFrame, make, k: int = 50000) -> DataFrame:
     """One predictor per train dataset; its test datasets scored, its sequences ranked, all in one submission.
 
-    ``routes`` holds (test, train); ``make()`` gives a fresh predictor. The loop is over datasets, not data.
+    ``routes`` holds (test, train); ``make()`` gives a fresh predictor. The loop is over datasets, not data:
+    rows are parsed once into Parquet by dataset, and each turn reads its own partition and columns.
     """
+    needed = ["dataset", "repertoire_id", "junction_aa", "v_call", "j_call", "templates"]
+    rows = materialize(rows.select(*needed, *[c for c in ("row_order",) if c in rows.columns]), "rows", "dataset")
+    test_rows = materialize(test_rows.select(*needed), "test_rows", "dataset")
     predictions, sequences = [], []
     pairs = [(r.test, r.train) for r in routes.select("test", "train").collect()]
     for name in sorted(r.dataset for r in metadata.select("dataset").distinct().collect()):

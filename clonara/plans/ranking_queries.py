@@ -148,7 +148,7 @@ def _(t):
 
 
 @query("rank_quota_sizes", f"""WITH {_WSQL}, q AS (SELECT dataset, label_positive, count(*) AS n FROM rearrangements r WHERE EXISTS (SELECT 1 FROM imp
-  WHERE k = 3 AND weight >= 80 AND contains(r.junction_aa, imp.kmer)) GROUP BY ALL), p AS (SELECT dataset, least(1400, max(n) FILTER (label_positive)) AS tp FROM q GROUP BY ALL)
+  WHERE k = 3 AND weight >= 80 AND contains(r.junction_aa, imp.kmer)) GROUP BY ALL), p AS (SELECT dataset, least(1400, coalesce(max(n) FILTER (label_positive), 0)) AS tp FROM q GROUP BY ALL)
 SELECT dataset, label_positive, CASE WHEN label_positive THEN least(1400, n) ELSE least(2000 - tp, n) END AS n FROM q JOIN p USING (dataset)""")
 def _(t):
     important = weights(t, (3,)).where(F.col("weight") >= 80)

@@ -280,7 +280,7 @@ def _(t):
   count(*) FILTER (NOT label_positive)::DOUBLE AS negative, 100 * count(*) FILTER (label_positive) / count(*) AS positive_pct,
   100 * count(*) FILTER (NOT label_positive) / count(*) AS negative_pct, avg(age) AS age_mean, stddev_samp(age) AS age_std, min(age)::DOUBLE AS age_min,
   max(age)::DOUBLE AS age_max, count(DISTINCT sequencing_run_id)::DOUBLE AS batches FROM metadata GROUP BY ALL)
-SELECT dataset, 'cohort' AS field, item, round(value, 6) AS value FROM (UNPIVOT n ON COLUMNS(* EXCLUDE dataset) INTO NAME item VALUE value)
+SELECT dataset, 'cohort' AS field, item, round(value, 6) AS value FROM n UNPIVOT INCLUDE NULLS (value FOR item IN (n, positive, negative, positive_pct, negative_pct, age_mean, age_std, age_min, age_max, batches))
 UNION ALL SELECT dataset, 'sex', sex, count(*)::DOUBLE FROM metadata WHERE sex IS NOT NULL GROUP BY ALL
 UNION ALL SELECT dataset, 'race', race, count(*)::DOUBLE FROM metadata WHERE race IS NOT NULL GROUP BY ALL
 UNION ALL SELECT dataset, 'sequencing_run_id', sequencing_run_id, count(*)::DOUBLE FROM metadata GROUP BY ALL""")

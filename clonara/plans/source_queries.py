@@ -111,7 +111,7 @@ def _(t):
 _PAIR = f"""a AS (SELECT dataset AS train, {_NUM} AS n FROM (SELECT DISTINCT dataset FROM metadata)), b AS (SELECT dataset AS test, {_NUM} AS n FROM (SELECT DISTINCT dataset FROM predictions))"""
 
 
-@query("dataset_pairs", f"""WITH {_PAIR} SELECT train, n AS dataset_id, string_agg(test, ',' ORDER BY test) AS tests FROM a LEFT JOIN b USING (n) GROUP BY ALL""")
+@query("dataset_pairs", f"""WITH {_PAIR} SELECT train, n AS dataset_id, coalesce(string_agg(test, ',' ORDER BY test), '') AS tests FROM a LEFT JOIN b USING (n) GROUP BY ALL""")
 def _(t):
     return repertoires.dataset_pairs(_names(t), _names(t, "test")).withColumn("tests", F.array_join("tests", ","))
 

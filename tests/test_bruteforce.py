@@ -57,10 +57,13 @@ def test_weighted_sample_prefers_weight(spark):
     assert sampling.weighted_sample(none, 20, ["junction_aa"]).count() == 20
 
 
-@pytest.mark.parametrize("k", [7, 1000])
-def test_top_k_matches_a_full_sort(spark, k):
+@pytest.mark.parametrize("k,partitions", [(7, 4), (1000, 4), (1000, 300)])
+def test_top_k_matches_a_full_sort(spark, k, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     df = spark.range(5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 101).alias("v"), "id")
     got = {(r.g, r.id): r.r for r in ranks.top_k(df, ["g"], [F.desc("v"), F.asc("id")], k, rank="r").collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     groups = defaultdict(list)
     for i in range(5000):
         groups[i % 3].append((-(i * 7919 % 101), i))
