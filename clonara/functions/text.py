@@ -89,7 +89,7 @@ def missing_to_null(c) -> Column:
 def dataset_id(c) -> Column:
     """First all-digit part of a dataset name, one when there is none."""
     digits = F.regexp_extract(_col(c), r"(^|[_ ])([0-9]+)([_ ]|$)", 2)
-    return F.coalesce(F.nullif(digits, F.lit("")).cast("int"), F.lit(1))
+    return F.coalesce(F.nullif(digits, F.lit("")).try_cast("int"), F.lit(1))
 
 
 def encode_tokens(c, max_len: int = 20) -> Column:
