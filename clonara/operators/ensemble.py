@@ -79,6 +79,18 @@ class Stacking:
         return spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
+def default_learners(rounds: int = 50, seed: int = 42) -> dict[str, Estimator]:
+    """Two boosted-tree variants and a random forest."""
+    return {"xgboost": GBTClassifier(maxIter=rounds, maxDepth=5, stepSize=0.1, seed=seed),
+            "lightgbm": GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=seed),
+            "catboost": RandomForestClassifier(numTrees=rounds, maxDepth=6, seed=seed)}
+
+
+def quick_stack(train: DataFrame, test: DataFrame, folds: int = 5, rounds: int = 50) -> DataFrame:
+    """Stack the default learners on ``train`` and score ``test``."""
+    return Stacking(default_learners(rounds), folds=folds).fit(train).predict(test)
+
+
 @dataclass
 class RidgeStack:
     """Three tree learners and an L1 logistic, blended by ridge regression on a hold-out."""
@@ -92,9 +104,7 @@ class RidgeStack:
     meta_model: Model | None = field(default=None, repr=False)
 
     def _learners(self, n: int) -> dict[str, Estimator]:
-        return {"xgboost": GBTClassifier(maxIter=self.rounds, maxDepth=5, stepSize=0.1, seed=self.seed),
-                "lightgbm": GBTClassifier(maxIter=self.rounds, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=self.seed),
-                "catboost": RandomForestClassifier(numTrees=self.rounds, maxDepth=6, seed=self.seed),
+        return {**default_learners(self.rounds, self.seed),
                 "logreg": LogisticRegression(family="binomial", elasticNetParam=1.0, regParam=1.0 / (0.1 * max(n, 1)), standardization=False, maxIter=1000)}
 
     def _fit_bases(self, data: DataFrame):

@@ -1,6 +1,6 @@
 """Ranking of the sequences that explain the label.
 
-k-mer weights come as (k, kmer, weight) rows. Sequences are made distinct before their
+k-mer weights come as (k, kmer, weight) rows, with a dataset when each has its own. Sequences are made distinct before their
 windows are exploded, and all windows of a sequence come from one row, so their sum folds
 inside the task that exploded them.
 """
@@ -50,7 +50,8 @@ def with_kmer_score(seqs: DataFrame, weights: DataFrame, ks: list[int], once: bo
 
     keep = seqs.columns
     exploded = seqs.withColumn("_w", F.explode_outer(F.concat(*[listed(k) for k in ks]))).select(*keep, "_w.k", "_w.kmer")
-    joined = exploded.join(weights.select("k", "kmer", "weight"), ["k", "kmer"], "left")
+    on = [c for c in ("dataset", "k", "kmer") if c in weights.columns]
+    joined = exploded.join(weights.select(*on, "weight"), on, "left")
     return joined.groupBy(*keep).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("kmer_score"))
 
 

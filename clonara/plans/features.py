@@ -1,36 +1,103 @@
-"""All features of a repertoire as one long table."""
+"""Feature sets: named lists of parts, each part one long table."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 from clonara.constants import REP
-from clonara.functions.text import finite, metadata_features
+from clonara.functions.text import dataset_id, finite, metadata_features
 from clonara.operators import align, clonotypes, diversity, genes, kmers, lengths
 
 
-def long_table(wide: DataFrame) -> DataFrame:
-    """Numeric columns of one row per repertoire as (feature, value) rows."""
+def long_table(wide: DataFrame, prefix: str = "") -> DataFrame:
+    """Numeric columns of one row per repertoire as (feature, value) rows; missing ones are left out."""
     names = [c for c in wide.columns if c not in REP]
-    cells = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])
-    return wide.select(*REP, F.inline(cells))
+    cells = F.array(*[F.struct(F.lit(prefix + n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])
+    return wide.select(*REP, F.inline(cells)).where(F.col("value").isNotNull())
+
+
+@dataclass
+class Source:
+    """What parts read: rows, mined sequences, metadata and the k-mer lengths."""
+
+    rows: DataFrame
+    mined: DataFrame | None = None
+    metadata: DataFrame | None = None
+    ks: tuple[int, ...] = (3, 4)
+
+
+def _metadata(s: Source) -> DataFrame | None:
+    if s.metadata is None:
+        return None
+    return metadata_features(s.metadata.withColumn("_number", dataset_id("dataset")), "_number")
+
+
+def _hits(operator) -> Callable[[Source], DataFrame | None]:
+    return lambda s: None if s.mined is None else long_table(operator(s.rows, s.mined))
+
+
+def _wide(operator, prefix: str = "") -> Callable[[Source], DataFrame]:
+    return lambda s: long_table(operator(s.rows), prefix)
+
+
+def _hashed(s: Source) -> DataFrame:
+    stats = kmers.hashed_statistics(s.rows, s.ks)
+    cells = F.array(*[F.struct(F.lit(n).alias("stat"), F.col(n).alias("value")) for n in ("mean", "std", "max")])
+    name = F.concat_ws("_", F.lit("hash"), F.col("k"), F.col("bucket"), F.col("stat"))
+    return stats.select(*REP, "k", "bucket", F.inline(cells)).select(*REP, name.alias("feature"), "value")
 
 
-def extract_features(rows: DataFrame, mined: DataFrame | None = None, metadata: DataFrame | None = None, ks=(3, 4)) -> DataFrame:
-    """k-mers, end motifs, chemistry, families, lengths, diversity, metadata and mined-sequence hits."""
-    parts = [kmers.kmer_frequencies(rows, ks), kmers.positional_kmers(rows), long_table(lengths.physchem(rows)), genes.family_usage(rows),
-             long_table(lengths.length_stats(rows)), long_table(diversity.richness(rows)), long_table(diversity.clone_size(rows))]
-    if metadata is not None:
-        from clonara.functions.text import dataset_id
+PARTS: dict[str, Callable[[Source], DataFrame | None]] = {
+    "kmer_shares": lambda s: kmers.kmer_frequencies(s.rows, s.ks),
+    "kmer_shares_raw": lambda s: kmers.kmer_frequencies(s.rows, s.ks, valid_only=False, prefix="k{k}_"),
+    "kmer_counts": lambda s: kmers.kmer_multiscale(s.rows, s.ks),
+    "kmer_hashes": _hashed,
+    "ends": lambda s: kmers.positional_kmers(s.rows),
+    "chemistry": _wide(lengths.physchem),
+    "atchley": _wide(lengths.atchley),
+    "families": lambda s: genes.family_usage(s.rows),
+    "family_pairs": lambda s: genes.family_pairs(s.rows),
+    "families_known": lambda s: genes.family_pair_usage(s.rows),
+    "calls": lambda s: genes.raw_usage(s.rows),
+    "calls_50": lambda s: genes.raw_usage_pairs(s.rows),
+    "calls_only": lambda s: genes.top_calls(s.rows),
+    "lengths": _wide(lengths.length_stats),
+    "length_shares": _wide(lengths.length_distribution),
+    "length_shape": _wide(lengths.length_shape),
+    "lengths_all": _wide(lengths.length_stats_full),
+    "sequence_stats": lambda s: lengths.sequence_stats(s.rows),
+    "richness": _wide(diversity.richness),
+    "clone_size": _wide(diversity.clone_size),
+    "clone_size_more": _wide(diversity.clone_size_extended, "div_"),
+    "sequence_diversity": _wide(diversity.sequence_diversity),
+    "sequence_clonality": _wide(diversity.sequence_clonality),
+    "sequence_clonality_more": _wide(diversity.sequence_clonality_cumulative),
+    "metadata": _metadata,
+    "hits": _hits(clonotypes.public_hits),
+    "hits_signed": _hits(clonotypes.public_hits_signed),
+    "hits_significant": _hits(clonotypes.public_hits_significant),
+}
 
-        parts.append(metadata_features(metadata.withColumn("_number", dataset_id("dataset")), "_number"))
-    if mined is not None:
-        parts.append(long_table(clonotypes.public_hits(rows, mined)))
-    return align.union_all(parts).select(*REP, "feature", finite("value").alias("value"))
+_BASE = ["kmer_shares", "ends", "chemistry", "families", "lengths", "richness", "clone_size", "metadata"]
+SETS: dict[str, list[str]] = {
+    "base": [*_BASE, "hits"],
+    "significant": [*_BASE, "hits_significant"],
+    "extended": ["kmer_shares", "ends", "atchley", "chemistry", "families", "lengths", "richness", "clone_size_more", "metadata", "hits_signed"],
+    "pairs": ["kmer_shares", "ends", "chemistry", "families", "family_pairs", "length_shares", "richness", "clone_size", "metadata", "hits"],
+    "counts": ["kmer_counts", "calls", "sequence_clonality", "length_shape"],
+    "stacked": ["kmer_counts", "families_known", "sequence_diversity", "lengths_all"],
+    "usage": ["kmer_counts", "calls_50", "sequence_clonality_more"],
+    "simple": ["kmer_shares_raw", "calls_only", "lengths_all"],
+    "hashed": ["kmer_hashes", "sequence_stats"],
+}
 
 
-def extract_counts(rows: DataFrame, ks=(3, 4, 5)) -> DataFrame:
-    """The other feature set: raw multi-scale counts, raw gene usage, clonality and length shape."""
-    parts = [kmers.kmer_multiscale(rows, ks), genes.raw_usage(rows), long_table(diversity.sequence_clonality(rows)),
-             long_table(lengths.length_shape(rows))]
-    return align.union_all(parts).select(*REP, "feature", finite("value").alias("value"))
+def extract_features(rows: DataFrame, mined: DataFrame | None = None, metadata: DataFrame | None = None, ks=(3, 4),
+                     feature_set: str = "base") -> DataFrame:
+    """(dataset, repertoire_id, feature, value) of a named set; every value is finite."""
+    source = Source(rows, mined, metadata, tuple(ks))
+    parts = [PARTS[name](source) for name in SETS[feature_set]]
+    return align.union_all([p for p in parts if p is not None]).select(*REP, "feature", finite("value").alias("value"))

@@ -4,9 +4,9 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import functions as F
 
 from clonara.constants import REP
-from clonara.operators import diversity, ensemble, evaluate, genes, kmers, lengths, model
+from clonara.operators import clonotypes, diversity, ensemble, evaluate, genes, kmers, lengths, model
 from clonara.operators.align import union_all
-from clonara.plans.features import extract_counts, extract_features, long_table
+from clonara.plans.features import extract_features, long_table
 from clonara.plans.predictor import RepertoirePredictor, run_all
 from clonara.plans.profile_queries import rounded
 from clonara.plans.registry import query
@@ -52,14 +52,24 @@ def _scores(df):
 
 @query("extract_features")
 def _(t):
-    from clonara.operators.clonotypes import mine_enriched
+    return rounded(extract_features(t.rearrangements, clonotypes.mine_enriched(t.rearrangements, t.metadata), t.metadata))
 
-    return rounded(extract_features(t.rearrangements, mine_enriched(t.rearrangements, t.metadata), t.metadata))
 
+def _set_query(feature_set, mine=None, ks=(3, 4)):
+    @query(f"extract_{feature_set}")
+    def _(t):
+        mined = mine(t.rearrangements, t.metadata) if mine else None
+        return rounded(extract_features(t.rearrangements, mined, t.metadata, ks, feature_set))
 
-@query("extract_counts")
-def _(t):
-    return rounded(extract_counts(t.rearrangements))
+
+_set_query("significant", clonotypes.mine_fisher_greater)
+_set_query("extended", clonotypes.mine_fisher)
+_set_query("pairs", clonotypes.mine_by_dataset)
+_set_query("counts", ks=(3, 4, 5))
+_set_query("stacked", ks=(3, 4, 5))
+_set_query("usage", ks=(3, 4, 5))
+_set_query("simple", ks=(3,))
+_set_query("hashed")
 
 
 _VCOUNT = """f AS (SELECT dataset, repertoire_id, 'v_' || v_call AS feature, count(*)::DOUBLE AS value FROM rearrangements WHERE v_call IS NOT NULL GROUP BY ALL),

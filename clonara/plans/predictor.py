@@ -15,7 +15,10 @@ from clonara.session import materialize
 
 @dataclass
 class RepertoirePredictor:
-    """``learner`` needs ``fit(data)`` and ``predict(data)``; boosted trees by default."""
+    """``learner`` needs ``fit(data)`` and ``predict(data)``; boosted trees by default.
+
+    ``mine`` may be replaced in a subclass when the feature set reads another miner's columns.
+    """
 
     learner: object = field(default_factory=model.BoostedEnsemble)
     max_features: int = 500
@@ -26,16 +29,23 @@ class RepertoirePredictor:
     enrichment: float = 5.0
     top_n: int = 2000
     ks: tuple[int, ...] = (3, 4)
+    feature_set: str = "base"
     space: model.FeatureSpace | None = field(default=None, repr=False)
     mined: DataFrame | None = field(default=None, repr=False)
     gains: DataFrame | None = field(default=None, repr=False)
     rows: DataFrame | None = field(default=None, repr=False)
     metadata: DataFrame | None = field(default=None, repr=False)
 
+    def mine(self, rows: DataFrame, metadata: DataFrame) -> DataFrame:
+        return clonotypes.mine_enriched(rows, metadata, self.max_files, self.min_freq, self.enrichment, self.top_n)
+
     def fit(self, rows: DataFrame, metadata: DataFrame) -> "RepertoirePredictor":
+        """Mine, extract and fit on the rows of one training dataset."""
         self.rows, self.metadata = rows, metadata
-        self.mined = materialize(clonotypes.mine_enriched(rows, metadata, self.max_files, self.min_freq, self.enrichment, self.top_n), "mined")
-        features = materialize(extract_features(rows, self.mined, metadata, self.ks), "features")
+        self.mined = materialize(self.mine(rows, metadata), "mined")
+        return self.fit_features(materialize(extract_features(rows, self.mined, metadata, self.ks, self.feature_set), "features"), metadata)
+
+    def fit_features(self, features: DataFrame, metadata: DataFrame) -> "RepertoirePredictor":
         labels = metadata.select(*REP, "label_positive")
         wide = model.FeatureSpace.of(model.select_variance(features, labels, self.candidates))
         data = materialize(model.labelled(wide.vectors(features, labels)), "candidates")
@@ -45,20 +55,22 @@ class RepertoirePredictor:
         self.learner.fit(materialize(fitted, "training"))
         return self
 
-    def predict_proba(self, rows: DataFrame, repertoires: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
-        """Output rows with a probability for every listed repertoire (dataset, repertoire_id)."""
+    def predict_features(self, features: DataFrame, repertoires: DataFrame) -> DataFrame:
+        """Output rows with a probability for every listed repertoire."""
         if self.space is None:
             raise ValueError("call fit first")
-        # the mined list belongs to the training dataset and is applied to every dataset scored
-        features = extract_features(rows, self._mined_for(repertoires), metadata, self.ks)
         scored = self.learner.predict(self.space.vectors(features, repertoires.select(*REP)))
         ids = repertoires.select(F.col("repertoire_id").alias("ID"), "dataset")
         out = default_score(ids, scored.select(F.col("repertoire_id").alias("ID"), "p"))
         return align.submission_rows(out, F.col("p"))
 
-    def _mined_for(self, repertoires: DataFrame) -> DataFrame:
+    def predict_proba(self, rows: DataFrame, repertoires: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+        """Score repertoires of any dataset with the sequences mined in training."""
+        if self.mined is None:
+            raise ValueError("call fit first")
         names = [r.dataset for r in repertoires.select("dataset").distinct().collect()]
-        return self.mined.withColumn("dataset", F.explode(F.array(*[F.lit(n) for n in names])))
+        mined = self.mined.withColumn("dataset", F.explode(F.array(*[F.lit(n) for n in names])))
+        return self.predict_features(extract_features(rows, mined, metadata, self.ks, self.feature_set), repertoires)
 
     def kmer_weights(self) -> DataFrame:
         """Gain of the selected k-mer features."""
@@ -68,28 +80,37 @@ class RepertoirePredictor:
 
     def identify_associated_sequences(self, k: int = 50000) -> DataFrame:
         """Exactly ``k`` ranked output rows for the training dataset."""
-        ranked = ranking.rank_gain(self.rows, self.metadata, self.mined, self.kmer_weights(), k)
-        calls = ranking.vj_lookup(ranked, self.rows, self.metadata)
-        return ranking.repair_sequences(ranking.sequence_rows(ranked, calls, self.metadata, k))
+        return ranked_rows(self.rows, self.metadata, self.mined, self.kmer_weights(), k)
+
+
+def ranked_rows(rows: DataFrame, metadata: DataFrame, mined: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    ranked = ranking.rank_gain(rows, metadata, mined, weights, k)
+    calls = ranking.vj_lookup(ranked, rows, metadata)
+    return ranking.repair_sequences(ranking.sequence_rows(ranked, calls, metadata, k))
 
 
 def run_all(rows: DataFrame, metadata: DataFrame, test_rows: DataFrame, test_repertoires: DataFrame, routes: DataFrame, make, k: int = 50000) -> DataFrame:
-    """One predictor per train dataset; its test datasets scored, its sequences ranked, all in one submission.
+    """Fit every train dataset, score its test datasets, rank its sequences: one submission.
 
-    ``routes`` holds (test, train); ``make()`` gives a fresh predictor. The loop is over datasets, not data:
-    rows are parsed once into Parquet by dataset, and each turn reads its own partition and columns.
+    ``routes`` holds (test, train); ``make()`` gives a fresh predictor. Mining, features and
+    ranking run once over all datasets, as everything is keyed by dataset. Only the fits loop.
     """
     needed = ["dataset", "repertoire_id", "junction_aa", "v_call", "j_call", "templates"]
-    rows = materialize(rows.select(*needed, *[c for c in ("row_order",) if c in rows.columns]), "rows", "dataset")
+    rows = materialize(rows.select(*needed, "row_order"), "rows", "dataset")
     test_rows = materialize(test_rows.select(*needed), "test_rows", "dataset")
-    predictions, sequences = [], []
-    pairs = [(r.test, r.train) for r in routes.select("test", "train").collect()]
+    settings = make()
+    mined = materialize(settings.mine(rows, metadata), "mined")
+    known = routes.select("test", F.col("train").alias("dataset"))
+    routed = mined.join(known, "dataset").drop("dataset").withColumnRenamed("test", "dataset")
+    train_features = materialize(extract_features(rows, mined, metadata, settings.ks, settings.feature_set), "features", "dataset")
+    test_features = materialize(extract_features(test_rows, routed, None, settings.ks, settings.feature_set), "test_features", "dataset")
+    predictions, weights = [], []
+    pairs = [(r.test, r.train) for r in known.select("test", F.col("dataset").alias("train")).collect()]
     for name in sorted(r.dataset for r in metadata.select("dataset").distinct().collect()):
         mine = F.col("dataset") == name
-        predictor = make().fit(rows.where(mine), metadata.where(mine))
-        tests = [t for t, train in pairs if train == name]
-        if tests:
-            of = F.col("dataset").isin(tests)
-            predictions.append(predictor.predict_proba(test_rows.where(of), test_repertoires.where(of)))
-        sequences.append(predictor.identify_associated_sequences(k))
-    return align.build_submission(align.union_all(predictions), align.union_all(sequences))
+        predictor = make().fit_features(train_features.where(mine), metadata.where(mine))
+        weights.append(predictor.kmer_weights().withColumn("dataset", F.lit(name)))
+        of = F.col("dataset").isin([t for t, train in pairs if train == name])
+        predictions.append(predictor.predict_features(test_features.where(of), test_repertoires.where(of)))
+    sequences = ranked_rows(rows, metadata, mined, align.union_all(weights), k)
+    return align.build_submission(align.union_all(predictions), sequences)

@@ -45,6 +45,19 @@ def test_equal_weights_when_no_coefficient_is_positive(spark):
     assert {r.model: r.weight for r in model.blend_weights(c).collect()} == {"a": 0.5, "b": 0.5}
 
 
+def test_feature_sets_are_finite_and_unique(tables):
+    from clonara.operators import clonotypes
+    from clonara.plans.features import SETS, extract_features
+
+    mined = {"significant": clonotypes.mine_fisher_greater, "extended": clonotypes.mine_fisher}
+    for name in SETS:
+        m = mined.get(name, clonotypes.mine_enriched)(tables.rearrangements, tables.metadata)
+        f = extract_features(tables.rearrangements, m, tables.metadata, (3,), name)
+        n, distinct, bad = f.select(F.count("*"), F.count_distinct("dataset", "repertoire_id", "feature"),
+                                    F.count_if(F.isnan("value") | F.col("value").isNull())).first()
+        assert n == distinct and bad == 0, name
+
+
 def test_stacking_rejects_one_class(tables):
     data, _ = training(tables)
     with pytest.raises(ValueError):
