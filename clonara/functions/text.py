@@ -82,7 +82,8 @@ def missing_to_null(c) -> Column:
     """The usual CSV spellings of a missing value, all as null."""
     c = _col(c)
     # Spellings read as missing.
-    names = ["", "#N/A", "#NA", "-NaN", "-nan", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+    names = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+             "NaN", "None", "n/a", "nan", "null"]
     return F.when(~c.isin(names), c)
 
 

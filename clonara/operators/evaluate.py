@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from clonara.operators.ranks import counts_below, unit_bin
 
 _EPS = 2.220446049250313e-16
-_BINS = 1024
 
 
 def roc_auc(df: DataFrame, group: list[str], label: str = "label_positive", score: str = "p") -> DataFrame:
@@ -16,13 +17,8 @@ def roc_auc(df: DataFrame, group: list[str], label: str = "label_positive", scor
     """
     y = F.col(label).cast("boolean")
     hist = df.groupBy(*group, F.col(score).alias("s")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-    hist = hist.withColumn("bin", F.floor(F.least(F.greatest(F.col("s"), F.lit(0.0)), F.lit(1.0)) * _BINS))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    bins = hist.groupBy(*group, "bin").agg(F.sum("neg").alias("n"))
-    lower = bins.select(*group, "bin", F.coalesce(F.sum("n").over(before(Window.partitionBy(*group).orderBy("bin"))), F.lit(0)).alias("lower"))
-    inside = F.coalesce(F.sum("neg").over(before(Window.partitionBy(*group, "bin").orderBy("s"))), F.lit(0))
-    ranked = hist.withColumn("inside", inside).join(lower, [*group, "bin"])
-    wins = F.sum(F.col("pos") * (F.col("lower") + F.col("inside") + F.col("neg") / 2.0))
+    ranked = counts_below(hist, group, "s", ["neg"], unit_bin("s"))
+    wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     return ranked.groupBy(*group).agg((wins / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 

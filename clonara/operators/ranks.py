@@ -53,6 +53,52 @@ def dense_numbers(df: DataFrame, group: list[str], bucket: Column, order: list[C
             .withColumn(name, F.col("_in") + F.col("_start")).drop("_in", "_start", "_bucket"))
 
 
+def counts_below(hist: DataFrame, group: list[str], value: str, counts: list[str], bin_: Column) -> DataFrame:
+    """Add ``<c>_below`` (rows with a smaller value) and ``<c>_total`` to a histogram of distinct values.
+
+    ``bin_`` is an integer that grows with the value. Counts below are those of lower bins
+    plus those below inside the own bin, so no task sorts all values of a group.
+    """
+    hist = hist.withColumn("_bin", bin_)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    whole, lower = Window.partitionBy(*group), before(Window.partitionBy(*group).orderBy("_bin"))
+    bins = hist.groupBy(*group, "_bin").agg(*[F.sum(c).alias(c) for c in counts])
+    starts = bins.select(*group, "_bin", *[zero(F.sum(c).over(lower)).alias(f"_{c}_start") for c in counts],
+                         *[F.sum(c).over(whole).alias(f"{c}_total") for c in counts])
+    inside = before(Window.partitionBy(*group, "_bin").orderBy(value))
+    ranked = hist.select("*", *[zero(F.sum(c).over(inside)).alias(f"_{c}_in") for c in counts]).join(starts, [*group, "_bin"])
+    for c in counts:
+        ranked = ranked.withColumn(f"{c}_below", F.col(f"_{c}_in") + F.col(f"_{c}_start"))
+    return ranked.drop("_bin", *[f"_{c}_in" for c in counts], *[f"_{c}_start" for c in counts])
+
+
+def quantiles(df: DataFrame, group: list[str], value: str, wanted: dict[str, float], bin_: Column) -> DataFrame:
+    """Exact quantiles per group with linear interpolation, over distinct values in bins."""
+    hist = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("c"))
+    ranked = counts_below(hist, group, value, ["c"], bin_)
+    aggs = []
+    for name, q in wanted.items():
+        at = q * (F.col("c_total") - 1)
+        for side, index in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            here = (F.col("c_below") <= index) & (index < F.col("c_below") + F.col("c"))
+            aggs.append(F.max(F.when(here, F.col(value))).cast("double").alias(f"_{name}_{side}"))
+        aggs.append(F.first(at - F.floor(at)).alias(f"_{name}_part"))
+    out = ranked.groupBy(*group).agg(*aggs)
+    mix = lambda n: F.col(f"_{n}_lo") + F.col(f"_{n}_part") * (F.col(f"_{n}_hi") - F.col(f"_{n}_lo"))
+    return out.select(*group, *[mix(n).alias(n) for n in wanted])
+
+
+def unit_bin(value: str) -> Column:
+    """Bin of a probability; values outside [0, 1] go to the ends."""
+    return F.floor(F.least(F.greatest(F.col(value), F.lit(0.0)), F.lit(1.0)) * 1024)
+
+
+def log_bin(value: str) -> Column:
+    """Bin of a positive size, 32 per doubling."""
+    return F.floor(F.log2(F.greatest(F.col(value), F.lit(1))) * 32)
+
+
 def densify(values: DataFrame, keys: DataFrame, vocabulary: DataFrame, on: list[str], item: list[str],
             value: str = "value") -> DataFrame:
     """One row per key and vocabulary item, absent values as zero.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clonara.constants import EXPECTED_ROWS, REP, SENTINEL_PROBABILITY, SEQUENCES_PER_DATASET, SUBMISSION_COLUMNS
 from clonara.operators.evaluate import correlation
-from clonara.operators.ranks import top_k
+from clonara.operators.ranks import log_bin, quantiles, top_k, unit_bin
 
 
 def _long(df: DataFrame, keys: list[str], names: list[str], label: str = "measure") -> DataFrame:
@@ -60,12 +60,11 @@ def prediction_distribution(df: DataFrame, group: list[str], p: str = "p") -> Da
     """Moments, quartiles and the strong and uncertain bands."""
     c, n = F.col(p), F.count(p)
     bands = {"near_zero": c < 0.1, "near_half": (c >= 0.4) & (c <= 0.6), "near_one": c > 0.9}
-    q = lambda x: F.percentile(p, F.lit(x))
-    out = [n.alias("n"), F.avg(p).alias("mean"), F.stddev_samp(p).alias("std"), F.min(p).alias("min"), q(0.25).alias("p25"),
-           q(0.5).alias("median"), q(0.75).alias("p75"), F.max(p).alias("max")]
+    out = [n.alias("n"), F.avg(p).alias("mean"), F.stddev_samp(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max")]
     for name, cond in bands.items():
         out += [F.count_if(cond).alias(name), (100 * F.count_if(cond) / F.nullif(n, F.lit(0))).alias(f"{name}_pct")]
-    return df.groupBy(*group).agg(*out)
+    quartiles = quantiles(df, group, p, {"p25": 0.25, "median": 0.5, "p75": 0.75}, unit_bin(p))
+    return df.groupBy(*group).agg(*out).join(quartiles, group)
 
 
 def prediction_agreement(pairs: DataFrame, group: list[str], a: str = "p_a", b: str = "p_b") -> DataFrame:
@@ -261,10 +260,12 @@ def batch_chi2(metadata: DataFrame, batch: str = "sequencing_run_id") -> DataFra
 def dataset_comparison(df: DataFrame, metadata: DataFrame) -> DataFrame:
     """Repertoires, positives, rate and typical size of each dataset."""
     sizes = df.groupBy(*REP).agg(F.count(F.lit(1)).alias("size"))
-    return metadata.select(*REP, "label_positive").join(sizes, REP, "left").groupBy("dataset").agg(
+    sized = metadata.select(*REP, "label_positive").join(sizes, REP, "left")
+    median = quantiles(sized, ["dataset"], "size", {"median_repertoire_size": 0.5}, log_bin("size"))
+    return sized.groupBy("dataset").agg(
         F.count(F.lit(1)).alias("n_repertoires"), F.count_if("label_positive").alias("n_positive"),
         (F.count_if("label_positive") / F.count(F.lit(1))).alias("positive_rate"),
-        F.avg("size").alias("mean_repertoire_size"), F.percentile("size", F.lit(0.5)).alias("median_repertoire_size"))
+        F.avg("size").alias("mean_repertoire_size")).join(median, "dataset", "left")
 
 
 def dataset_vs_others(comparison: DataFrame) -> DataFrame:

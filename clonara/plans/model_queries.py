@@ -9,7 +9,7 @@ from clonara.operators.align import union_all
 from clonara.plans.features import extract_features, long_table
 from clonara.plans.predictor import RepertoirePredictor, run_all
 from clonara.plans.profile_queries import rounded
-from clonara.plans.registry import query
+from clonara.plans.registry import ORACLES, query
 from clonara.plans.report_queries import both_models
 from clonara.session import materialize
 from clonara.sources import repertoires
@@ -50,24 +50,37 @@ def _scores(df):
 # ---- feature tables ----------------------------------------------------------------
 
 
-@query("extract_features")
+def _union_sql(long, wide, more=()):
+    """SQL: the twins of a set's parts under each other."""
+    keys = "(dataset, repertoire_id)"
+    parts = [f"SELECT dataset, repertoire_id, feature, value FROM ({ORACLES[n]})" for n in long]
+    parts += [f"SELECT dataset, repertoire_id, feature, value FROM (UNPIVOT (SELECT dataset, repertoire_id, COLUMNS(* EXCLUDE {keys})::DOUBLE FROM ({ORACLES[n]})) "
+              f"ON COLUMNS(* EXCLUDE {keys}) INTO NAME feature VALUE value)" for n in wide]
+    return " UNION ALL ".join([*parts, *more])
+
+
+_SEX = "SELECT dataset, repertoire_id, 'meta_sex_male' AS feature, CASE WHEN upper(sex) IN ('M', 'MALE') THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM metadata"
+_BASE = (["kmer_freq", "kmer_positional", "family_usage"], ["physchem", "length_stats", "richness", "clone_size"])
+
+
+@query("extract_features", _union_sql(_BASE[0], [*_BASE[1], "public_hits"], [_SEX]))
 def _(t):
     return rounded(extract_features(t.rearrangements, clonotypes.mine_enriched(t.rearrangements, t.metadata), t.metadata))
 
 
-def _set_query(feature_set, mine=None, ks=(3, 4)):
-    @query(f"extract_{feature_set}")
+def _set_query(feature_set, mine=None, ks=(3, 4), sql=None):
+    @query(f"extract_{feature_set}", sql)
     def _(t):
         mined = mine(t.rearrangements, t.metadata) if mine else None
         return rounded(extract_features(t.rearrangements, mined, t.metadata, ks, feature_set))
 
 
-_set_query("significant", clonotypes.mine_fisher_greater)
+_set_query("significant", clonotypes.mine_fisher_greater, sql=_union_sql(_BASE[0], [*_BASE[1], "public_hits_sig"], [_SEX]))
 _set_query("extended", clonotypes.mine_fisher)
 _set_query("pairs", clonotypes.mine_by_dataset)
-_set_query("counts", ks=(3, 4, 5))
-_set_query("stacked", ks=(3, 4, 5))
-_set_query("usage", ks=(3, 4, 5))
+_set_query("counts", ks=(3, 4, 5), sql=_union_sql(["kmer_multiscale", "raw_usage"], ["seq_clonality", "length_shape"]))
+_set_query("stacked", ks=(3, 4, 5), sql=_union_sql(["kmer_multiscale", "family_pair_usage"], ["seq_diversity", "length_stats_full"]))
+_set_query("usage", ks=(3, 4, 5), sql=_union_sql(["kmer_multiscale", "raw_usage50"], ["seq_clonality_cum"]))
 _set_query("simple", ks=(3,))
 _set_query("hashed")
 

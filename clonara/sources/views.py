@@ -5,6 +5,7 @@ The SQL text is the same for Spark and the oracle engine; only word splitting di
 
 from __future__ import annotations
 
+import os
 import re
 from functools import cached_property
 
@@ -84,16 +85,17 @@ class Tables:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
     def _wide(self, name: str) -> DataFrame:
-        """The columns a view reads; a table in fewer files than there are cores is dealt out first.
+        """The columns a view reads; a table that is one local file is dealt out first.
 
         A file with one row group cannot be split, and windows over its strings would then
         run on one core. Rows of a bag stay together, as they are in repertoire files. On a
-        cluster a large table has many files and stays as it is.
+        cluster a table is a folder of many files and stays as it is.
         """
         bag, *others = _SPREAD[name]
         df = self.base(name).select(bag, *others)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, bag) if len(df.inputFiles()) < cores else df
+        if not os.path.isfile(f"{self.root}/{name}.parquet"):
+            return df
+        return df.repartition(self.spark.sparkContext.defaultParallelism, bag)
 
     def _view(self, name: str) -> DataFrame:
         text = VIEWS[name][0]

@@ -127,3 +127,14 @@ def test_repertoire_larger_than_the_rest_is_exact(spark):
             counts[(r.repertoire_id, r.junction_aa[i:i + 3])] += 1
     got = {(r.repertoire_id, r.kmer): r["count"] for r in kmers.kmer_counts(df, (3,)).collect()}
     assert got == dict(counts)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 500])
+def test_quantiles_match_numpy(spark, n):
+    rng = np.random.RandomState(n)
+    p, size = np.round(rng.rand(n), 2), rng.randint(1, 10 ** 6, n)
+    df = spark.createDataFrame([(1, float(a), int(b)) for a, b in zip(p, size)], "g int, p double, size long")
+    wanted = {"a": 0.25, "b": 0.5, "c": 0.9}
+    for column, values, b in (("p", p, ranks.unit_bin("p")), ("size", size, ranks.log_bin("size"))):
+        got = ranks.quantiles(df, ["g"], column, wanted, b).first()
+        assert [got[k] for k in wanted] == pytest.approx([np.quantile(values, q) for q in wanted.values()])
