@@ -76,22 +76,45 @@ def fold_routing(test: DataFrame, folds: DataFrame) -> DataFrame:
     return test.select("dataset", dataset_id("dataset").alias("fold_id")).join(folds.select("fold_id", "model"), "fold_id", "left")
 
 
+def header_line(line: Column) -> Column:
+    """A line that names the sequence column is a header, not data."""
+    names = F.split(F.replace(line, F.lit('"'), F.lit("")), "\t")
+    return F.array_contains(names, "junction_aa") | F.array_contains(names, "cdr3_aa")
+
+
+def parsed_lines(lines: DataFrame, columns: list[str], *keep: Column) -> DataFrame:
+    """Fields of tab-separated lines as text columns.
+
+    Lines are parsed as text because the CSV source skips a line of empty fields, and such
+    a row still counts in gene and clone-size shares. Blank lines are skipped.
+    """
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    rows = lines.where(F.length("value") > 0).select(F.from_csv("value", F.lit(schema), {"sep": "\t"}).alias("_f"), *keep)
+    return rows.select(*[F.col(f"_f.`{c}`").alias(c) for c in columns], *[k for k in rows.columns if k != "_f"])
+
+
 def _read_one(spark: SparkSession, root: str, dataset: str) -> DataFrame | None:
-    """All repertoires of one dataset; they share a header, which is checked against every file."""
-    reader = (spark.read.option("sep", "\t").option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
-              .option("pathGlobFilter", "*.tsv").option("recursiveFileLookup", "true"))
+    """All repertoires of one dataset; a file with another header fails the scan."""
     for folder in (f"{root}/{dataset}", f"{root}/dataset={dataset}"):
         try:
-            raw = reader.csv(folder)
+            lines = spark.read.option("pathGlobFilter", "*.tsv").option("recursiveFileLookup", "true").text(folder)
         except AnalysisException:
             continue
-        names = {ALIASES.get(c, c): c for c in raw.columns}
+        first = lines.first()
+        if first is None:
+            continue
+        header = first.value
+        columns = [c.strip('"') for c in header.split("\t")]
+        path = F.col("_metadata.file_path")
+        other = F.raise_error(F.concat(F.lit("header differs in "), path)).cast("boolean")
+        data = lines.where(F.when(F.col("value") == header, F.lit(False)).when(header_line(F.col("value")), other).otherwise(F.lit(True)))
+        raw = parsed_lines(data, columns, _repertoire_of(path).alias("_repertoire"))
+        names = {ALIASES.get(c, c): c for c in columns}
         given = {w: missing_to_null(names[w]) for w in WANTED if w in names}
         text = lambda w: given.get(w, F.lit("")).alias(w)
-        path = F.col("_metadata.file_path")
         templates = coerce_templates(given["templates"]) if "templates" in given else F.lit(1.0)
         extra = [given["d_call"].alias("d_call")] if "d_call" in given else []
-        return raw.select(F.lit(dataset).alias("dataset"), _repertoire_of(path).alias("repertoire_id"), text("junction_aa"),
+        return raw.select(F.lit(dataset).alias("dataset"), F.col("_repertoire").alias("repertoire_id"), text("junction_aa"),
                           text("v_call"), text("j_call"), *extra, templates.alias("templates"))
     return None
 
@@ -99,7 +122,7 @@ def _read_one(spark: SparkSession, root: str, dataset: str) -> DataFrame | None:
 def scan_repertoires(spark: SparkSession, root: str, datasets: list[str] | None = None) -> DataFrame:
     """Rows of all repertoires of the datasets; absent columns are back-filled.
 
-    One read per dataset, because an explicit header binds columns by position.
+    One read per dataset, because each dataset has its own header.
     """
     if datasets is None:
         datasets = [r.dataset for r in list_datasets(list_files(spark, root)).collect()]

@@ -67,6 +67,17 @@ def test_round_trip(spark, rows, tmp_path):
     assert {r.repertoire_id for r in back.collect()} == {"r1", "r2", "r3"}
 
 
+def test_empty_fields_are_a_row_and_blank_lines_are_not(spark, tmp_path):
+    d = tmp_path / "train_dataset_1"
+    d.mkdir()
+    (d / "a.tsv").write_text("junction_aa\tv_call\tj_call\ttemplates\n\t\t\t\n\nCASSF\tTRBV1\tTRBJ1\t2\n")
+    got = [tuple(r)[2:] for r in repertoires.scan_repertoires(spark, str(tmp_path)).orderBy("templates").collect()]
+    assert got == [(None, None, None, 1.0), ("CASSF", "TRBV1", "TRBJ1", 2.0)]
+    (d / "b.tsv").write_text("v_call\tjunction_aa\tj_call\ttemplates\nTRBV1\tCASSF\tTRBJ1\t2\n")
+    with pytest.raises(Exception, match="header differs"):
+        repertoires.scan_repertoires(spark, str(tmp_path)).collect()
+
+
 def test_store_resumes(spark, rows, metadata, tmp_path):
     store = stores.FeatureStore(spark, str(tmp_path / "store"))
     assert store.pending(metadata).count() == 3
