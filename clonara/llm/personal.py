@@ -20,7 +20,7 @@ from clonara.llm.common import known_id, stage
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
-#: Least score of a pattern, least number of different believed instances, least score of a discovered instance.
+#: Least score of a pattern, least number of its different believed instances, least belief that counts for that number.
 LEAST_SCORE, LEAST_INSTANCES, LEAST_BELIEF = 0.8, 5, 0.8
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -125,25 +125,25 @@ def score_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, kind) of high confidence, by alternating scores on the graph of patterns and instances.
 
     A pattern's score for a kind is the sum of its different instances' beliefs over their number plus one. A seed's
-    belief is one for its kind; other instances that look like identifiers are believed by noisy-or over patterns.
+    belief is one for its kind; other instances that look like identifiers are believed by noisy-or over the other
+    patterns they stand in, so that no pattern confirms itself.
     """
     flat = found.select(F.explode("candidates").alias("c")).select("c.pattern", "c.instance", "c.kind", "c.like")
     edges = stage(flat.groupBy("pattern", "instance").agg(F.min("kind").alias("kind"), F.max("like").alias("like")), "edges")
-    belief = edges.filter("kind is not null").select("instance", "kind", F.lit(1.0).alias("belief")).distinct()
     sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    scores = None
-    for _ in range(rounds):
-        known = edges.select("pattern", "instance").join(belief, "instance")
-        scored = known.groupBy("pattern", "kind").agg(F.sum("belief").alias("sum"), F.sum(F.when(F.col("belief") >= LEAST_BELIEF, 1).otherwise(0)).alias("believed"))
-        scores = stage(scored.join(sizes, "pattern").select("pattern", "kind", (F.col("sum") / (F.col("n") + 1)).alias("score"), "believed"), "scores")
-        good = scores.filter((F.col("score") >= LEAST_SCORE / 2) & (F.col("believed") >= LEAST_INSTANCES))
-        if not good.take(1):
+    seeds = edges.filter("kind is not null").select("pattern", "instance", "kind", F.lit(1.0).alias("belief"))
+    unseen = edges.filter("kind is null and like").select("pattern", "instance")
+    beliefs, scores = seeds, None
+    for last in [False] * (rounds - 1) + [True]:
+        summed = beliefs.groupBy("pattern", "kind").agg(F.sum("belief").alias("sum"), F.sum(F.when(F.col("belief") >= LEAST_BELIEF, 1).otherwise(0)).alias("believed"))
+        scores = stage(summed.join(sizes, "pattern").select("pattern", "kind", (F.col("sum") / (F.col("n") + 1)).alias("score"), "believed"), "scores")
+        good = scores.filter((F.col("score") >= LEAST_SCORE / 2) & (F.col("believed") >= LEAST_INSTANCES)).select("pattern", "kind", F.log(1 - F.least("score", F.lit(0.99))).alias("doubt"))
+        if last or not good.take(1):
             break
-        unseen = edges.filter("kind is null and like").select("pattern", "instance").join(good, "pattern")
-        doubt = F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.99)))))
-        thought = unseen.groupBy("instance", "kind").agg((1 - doubt).alias("belief"))
-        seeds = edges.filter("kind is not null").select("instance", "kind", F.lit(1.0).alias("belief"))
-        belief = stage(seeds.unionByName(thought).groupBy("instance", "kind").agg(F.max("belief").alias("belief")), "beliefs")
+        doubts = unseen.join(good, "pattern").groupBy("instance", "kind").agg(F.sum("doubt").alias("doubts"))
+        thought = unseen.join(doubts, "instance").join(good, ["pattern", "kind"], "left").select(
+            "pattern", "instance", "kind", (1 - F.exp(F.col("doubts") - F.coalesce("doubt", F.lit(0.0)))).alias("belief"))
+        beliefs = stage(seeds.unionByName(thought), "beliefs")
     return scores.filter((F.col("score") >= LEAST_SCORE) & (F.col("believed") >= LEAST_INSTANCES)).groupBy("pattern").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("found_kind"))
 
 
