@@ -25,7 +25,9 @@ from clonara.llm.common import WordHashes, chunks_of_groups, known_id, mixed, pa
 MIN_WORDS = 20
 GRAM = 5
 #: Words of documents that are settled against each other inside a task.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_000_000
+#: Words whose hashes a task remembers.
+REMEMBERED = 300_000
 #: An anchor counts as frequent when it has more than this share of all anchor places (at most 1 / share of them).
 FREQUENT_SHARE = 1 / 4096
 #: Places of an anchor in one chunk from which it is reported as possibly frequent.
@@ -38,21 +40,21 @@ REPEATS = "doc long, textkey long, body binary"
 
 
 class _Chunk:
-    """Documents held by a task, as one array of word hashes, ordered by (doc, textkey)."""
+    """Word hashes of documents held by a task, ordered by (doc, textkey) when read."""
 
     def __init__(self):
         self.docs, self.n = [], 0
 
-    def add(self, doc, textkey, words):
-        if len(words) >= MIN_WORDS:
-            self.docs.append((doc, textkey, words))
-            self.n += len(words)
+    def add(self, doc, textkey, hashes):
+        if len(hashes) >= MIN_WORDS:
+            self.docs.append((doc, textkey, hashes))
+            self.n += len(hashes)
 
-    def windows(self, cache: WordHashes):
+    def windows(self):
         """doc, textkey, start, hash and anchor of every window, in document order."""
         self.docs.sort(key=lambda d: d[:2])
         lens = np.array([len(d[2]) for d in self.docs], np.int64)
-        hashes = np.concatenate([cache.array(d[2]) for d in self.docs])
+        hashes = np.concatenate([d[2] for d in self.docs])
         at = np.repeat(np.arange(len(lens)), lens)
         begin = np.r_[0, np.cumsum(lens)[:-1]]
         place = np.arange(len(hashes)) - begin[at]
@@ -66,12 +68,12 @@ class _Chunk:
 
 
 def _chunks(batches):
-    chunk = _Chunk()
+    chunk, cache = _Chunk(), WordHashes(REMEMBERED)
     for batch in batches:
         docs, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for i, text in enumerate(batch.column(2)):
             data = text.as_py()
-            chunk.add(docs[i], keys[i], data.split() if data else [])
+            chunk.add(docs[i], keys[i], cache.array(data.split()) if data else ())
             if chunk.n >= CHUNK_WORDS:
                 yield chunk
                 chunk = _Chunk()
@@ -81,9 +83,8 @@ def _chunks(batches):
 
 def _anchor_counts(batches):
     """(anchor, runs of windows that have it) within a chunk, where it has several; and the number of all runs."""
-    cache = WordHashes()
     for chunk in _chunks(batches):
-        doc, _, _, _, anchor = chunk.windows(cache)
+        doc, _, _, _, anchor = chunk.windows()
         runs = anchor[np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]]
         found, n = np.unique(runs, return_counts=True)
         some = n >= REPORT_FROM
@@ -125,9 +126,8 @@ def _interval_rows(doc, key, begin, end):
 
 def _seeds(frequent: np.ndarray):
     def run(batches):
-        cache = WordHashes()
         for chunk in _chunks(batches):
-            doc, key, start, wh, anchor = chunk.windows(cache)
+            doc, key, start, wh, anchor = chunk.windows()
             order = np.argsort(wh, kind="stable")
             s = wh[order]
             later, first = _later_places(order, s[1:] == s[:-1], doc, start)
@@ -205,13 +205,27 @@ def _kept(text: bytes | None, bodies: list[bytes] | None) -> tuple[int, list[byt
     return len(words), [words[i] for i in np.flatnonzero(keep).tolist()]
 
 
+def _with_keys(docs: DataFrame) -> DataFrame:
+    """Documents with ``doc`` and ``textkey``, which together name a text.
+
+    textkey is zero where a doc_id has one text, which is nearly always; only other ids need a hash of the text.
+    """
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), known_id("doc_id").alias("doc"), "text")
+    keys = named.select("doc", F.xxhash64("text").alias("k")).groupBy("doc").agg(F.min("k").alias("low"), F.max("k").alias("high"))
+    several = stage(keys.filter("low <> high").select("doc", F.lit(True).alias("several")), "several")
+    if not several.take(1):
+        return named.withColumn("textkey", F.lit(0).cast("long"))
+    return named.join(several, "doc", "left").withColumn("textkey", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("several")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, kept_text (kept words joined by one space), n_words, n_removed, kept_sha256.
 
     Words are runs of anything but ASCII white space. A word goes when a window of 20 words over it also starts
     earlier: at a smaller doc_id, or earlier in the same document. Windows are judged on the input. A null text has no
-    words; texts under 20 words stay whole. A null doc_id comes before all others. Rows of equal doc_id are one
-    document: the same place in both is not earlier, so repeated rows give repeated results. Other columns are not read.
+    words; texts under 20 words stay whole. A null doc_id comes before all others. Rows of equal doc_id and text
+    are one document: the same place in both is not earlier, so repeated rows give repeated results. Different texts
+    under one doc_id are judged by their own places, of which equal ones are not earlier either. Other columns are not read.
     """
 
     def run(batches):
@@ -224,7 +238,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                  pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())],
                 names=["doc_id", "kept_text", "n_words", "n_removed", "kept_sha256"])
 
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), known_id("doc_id").alias("doc"), F.xxhash64("text").alias("textkey"), "text")
+    named = _with_keys(docs)
     marks = repeated_intervals(named)
     joined = named.join(marks, ["doc", "textkey"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "bodies")
     out = joined.mapInArrow(run, "doc_id long, kept_text binary, n_words long, n_removed long, kept_sha256 string")
