@@ -22,7 +22,7 @@ from clonara.llm.common import mixed, stage
 #: Vectors of a shard, about.
 SHARD_ROWS = 8192
 #: Queries that travel to a shard together.
-BLOCK_QUERIES = 1024
+BLOCK_QUERIES = 8192
 #: Links of a point on the upper levels; twice as many on the lowest.
 LINKS = 16
 BUILD_WIDTH = 80
