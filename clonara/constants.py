@@ -48,11 +48,13 @@ MINE_ENRICH = {7: 3.0, 8: 4.0}
 MINE_ENRICH_DEFAULT = 5.0
 MINE_TOP_N = {7: 6000, 8: 4000}
 MINE_TOP_N_DEFAULT = 2500
+MODEL_TOP_N = {7: 5000, 8: 3000}
+MODEL_TOP_N_DEFAULT = 2000
 CLASS_WEIGHT = {7: 5.0, 8: 2.0}
 CLASS_WEIGHT_DEFAULT = 1.0
 BLEND_WEIGHT = {5: 1.0, 6: 1.0, 7: 0.85, 8: 0.85}
 BLEND_WEIGHT_DEFAULT = 0.9
-IMPORTANCE_WEIGHTS = {"xgboost": 0.30, "lightgbm": 0.30, "catboost": 0.25, "logreg": 0.15}
+IMPORTANCE_WEIGHTS = {"deep_boost": 0.30, "shallow_boost": 0.30, "forest": 0.25, "logreg": 0.15}
 
 # Output format.
 SENTINEL = "-999.0"

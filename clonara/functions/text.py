@@ -125,7 +125,7 @@ def encode_kmers(c, k: int = 3) -> Column:
 def metadata_features(metadata, number: str = "dataset_id"):
     """Sex for all; race and run bucket only for dataset 7, HLA typing only for dataset 8.
 
-    The run bucket uses a fixed checksum, so it is the same in every run.
+    The run bucket uses a digest, so it is the same in every run.
     """
     have = set(metadata.columns)
     n = F.col(number)
@@ -137,7 +137,7 @@ def metadata_features(metadata, number: str = "dataset_id"):
         cells.append(("meta_race_white", n == 7, flag(F.contains(F.lower("race"), F.lit("white")))))
     if "sequencing_run_id" in have:
         run = F.coalesce("sequencing_run_id", F.lit("nan"))
-        cells.append(("meta_run_hash", n == 7, F.pmod(F.crc32(run.cast("binary")), F.lit(100)) / 100.0))
+        cells.append(("meta_run_hash", n == 7, F.pmod(F.conv(F.substring(F.md5(run.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(100)) / 100.0))
     for hla in ("A", "B", "C", "DRB1"):
         if hla in have:
             cells.append((f"meta_hla_{hla}", n == 8, flag(F.col(hla).isNotNull())))

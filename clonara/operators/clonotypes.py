@@ -17,6 +17,7 @@ from clonara.functions.fisher import with_fisher
 from clonara.functions.text import alpha_seq, dataset_id
 from clonara.operators.ranks import top_k
 from clonara.operators.sampling import first_repertoires
+from clonara.session import materialize
 
 SEQ = ["dataset", "junction_aa"]
 
@@ -58,8 +59,9 @@ class PublicClones:
 
     def fit(self, df: DataFrame) -> "PublicClones":
         total = F.col("pos") + F.col("neg")
-        self.table = (_per_sequence(presence(df, "label_positive")).where(total >= self.min_individuals)
-                      .select(*SEQ, F.when(total >= self.min_count, F.col("pos") / (total + 1e-6)).alias("enrichment")))
+        learned = (_per_sequence(presence(df, "label_positive")).where(total >= self.min_individuals)
+                   .select(*SEQ, F.when(total >= self.min_count, F.col("pos") / (total + 1e-6)).alias("enrichment")))
+        self.table = materialize(learned, "public")
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -93,11 +95,12 @@ class PublicClones:
 # ---- miners ------------------------------------------------------------------------
 
 
-def class_counts(df: DataFrame, metadata: DataFrame, max_files: int | None, exclude_fold: DataFrame | None = None) -> DataFrame:
+def class_counts(df: DataFrame, metadata: DataFrame, max_files: int | None = None, exclude_fold: DataFrame | None = None) -> DataFrame:
     """Repertoires per class with each sequence, next to the class sizes.
 
-    Only the first ``max_files`` repertoires of each class are read. ``exclude_fold`` lists
-    repertoires to leave out, for mining that must not see a held-out fold.
+    ``max_files`` restricts the count to the first repertoires of each class; without it all
+    are read. ``exclude_fold`` lists repertoires to leave out, for mining that must not see a
+    held-out fold.
     """
     if exclude_fold is not None:
         metadata = metadata.join(exclude_fold.select(*REP), REP, "left_anti")
@@ -116,14 +119,24 @@ def _log_ratio() -> Column:
     return F.ln((F.col("pos_freq") + 1e-6) / (F.col("neg_freq") + 1e-6))
 
 
-def mine_enriched(df: DataFrame, metadata: DataFrame, max_files: int | None = 30, min_freq: float = 0.15,
-                  enrichment: float = 5.0, top_n: int | None = 2000, exclude_fold: DataFrame | None = None) -> DataFrame:
-    """Sequences frequent in positive repertoires and rarer by a factor in negative ones."""
+def mine_enriched(df: DataFrame, metadata: DataFrame, max_files: int | None = None, min_freq: float = 0.15,
+                  enrichment: float = 5.0, top_n: int | None = None, exclude_fold: DataFrame | None = None,
+                  widths: dict[int, int] | None = None) -> DataFrame:
+    """Sequences frequent in positive repertoires and rarer by a factor in negative ones.
+
+    ``top_n`` limits the list of each dataset; ``widths`` gives other limits by dataset number.
+    """
     pf, nf = F.col("pos_freq"), F.col("neg_freq")
     kept = (_with_frequencies(class_counts(df, metadata, max_files, exclude_fold))
             .where((F.col("pos") > 0) & (pf >= min_freq) & (pf > nf * enrichment))
             .select(*SEQ, _log_ratio().alias("score"), "pos_freq", "neg_freq"))
-    return kept if top_n is None else top_k(kept, ["dataset"], [F.desc("score"), F.asc("junction_aa")], top_n, salt_on=SEQ)
+    order = [F.desc("score"), F.asc("junction_aa")]
+    if top_n is None:
+        return kept
+    if not widths:
+        return top_k(kept, ["dataset"], order, top_n, salt_on=SEQ)
+    ranked = top_k(kept, ["dataset"], order, max([top_n, *widths.values()]), rank="_r", salt_on=SEQ)
+    return ranked.where(F.col("_r") <= _by_dataset(widths, top_n)).drop("_r")
 
 
 def _by_dataset(values: dict[int, float], default: float) -> Column:
@@ -131,44 +144,50 @@ def _by_dataset(values: dict[int, float], default: float) -> Column:
     return F.coalesce(F.get(F.array(F.try_element_at(table, dataset_id("dataset"))), F.lit(0)), F.lit(default))
 
 
-def mine_by_dataset(df: DataFrame, metadata: DataFrame, max_files: int = 30) -> DataFrame:
-    """As above for sequences of eight letters or more, with thresholds by dataset number."""
+def mine_by_dataset(df: DataFrame, metadata: DataFrame, max_files: int | None = None, limited: bool = False) -> DataFrame:
+    """As above for sequences of eight letters or more, with thresholds by dataset number.
+
+    ``limited`` cuts each list to the width of its dataset.
+    """
     pf, nf = F.col("pos_freq"), F.col("neg_freq")
     kept = (_with_frequencies(class_counts(df, metadata, max_files))
             .where((F.length("junction_aa") >= 8) & alpha_seq("junction_aa") & (F.col("pos") > 0)
                    & (pf >= _by_dataset(MINE_MIN_FREQ, MINE_MIN_FREQ_DEFAULT))
                    & (pf > nf * _by_dataset(MINE_ENRICH, MINE_ENRICH_DEFAULT)))
             .select(*SEQ, _log_ratio().alias("score"), "pos_freq", "neg_freq"))
+    if not limited:
+        return kept
     widest = max([MINE_TOP_N_DEFAULT, *MINE_TOP_N.values()])
     ranked = top_k(kept, ["dataset"], [F.desc("score"), F.asc("junction_aa")], widest, rank="_r", salt_on=SEQ)
     return ranked.where(F.col("_r") <= _by_dataset(MINE_TOP_N, MINE_TOP_N_DEFAULT)).drop("_r")
 
 
-def mine_fisher(df: DataFrame, metadata: DataFrame, max_files: int = 40, p_threshold: float = 0.01,
-                min_freq: float = 0.10, top_n: int | None = 2500, exclude_fold: DataFrame | None = None) -> DataFrame:
+def mine_fisher(df: DataFrame, metadata: DataFrame, max_files: int | None = None, p_threshold: float = 0.01,
+                min_freq: float = 0.10, top_n: int | None = None, exclude_fold: DataFrame | None = None) -> DataFrame:
     """Sequences whose presence differs between classes, in either direction."""
     pf, nf = F.col("pos_freq"), F.col("neg_freq")
     counts = (_with_frequencies(class_counts(df, metadata, max_files, exclude_fold))
               .where((F.length("junction_aa") >= 8) & (F.col("n_pos") > 0) & ((pf >= min_freq) | (nf >= min_freq))))
     score = -F.log10(F.col("p_value") + 1e-10) * F.signum(F.ln(F.col("odds_ratio") + 1e-10))
-    kept = (with_fisher(counts, 2 * max_files).where(F.col("p_value") < p_threshold)
+    kept = (with_fisher(counts).where(F.round("p_value", 9) < p_threshold)
             .select(*SEQ, score.alias("score"), "p_value", "odds_ratio", "pos_freq", "neg_freq",
                     F.when(F.col("odds_ratio") > 1, "positive").otherwise("negative").alias("direction")))
     order = [F.desc(F.round(F.abs("score"), 9)), F.asc("junction_aa")]
     return kept if top_n is None else top_k(kept, ["dataset"], order, top_n, salt_on=SEQ)
 
 
-def mine_fisher_greater(df: DataFrame, metadata: DataFrame, max_files: int = 50, min_freq: float = 0.05,
-                        enrichment: float = 3.0, p_threshold: float = 0.1, top_n: int = 3000) -> DataFrame:
+def mine_fisher_greater(df: DataFrame, metadata: DataFrame, max_files: int | None = None, min_freq: float = 0.05,
+                        enrichment: float = 3.0, p_threshold: float = 0.1, top_n: int | None = None) -> DataFrame:
     """Log ratio plus one for sequences significant in the one-sided test; others stay."""
     pf, nf = F.col("pos_freq"), F.col("neg_freq")
     counts = (_with_frequencies(class_counts(df, metadata, max_files))
               .where((F.col("pos") > 0) & (pf >= min_freq) & ((nf <= 0) | (pf > nf * enrichment))))
-    significant = F.col("p_value") < p_threshold
-    kept = with_fisher(counts, 2 * max_files, "greater").select(
+    significant = F.round("p_value", 9) < p_threshold
+    kept = with_fisher(counts, "greater").select(
         *SEQ, (_log_ratio() + F.when(significant, 1.0).otherwise(0.0)).alias("score"), "pos_freq", "neg_freq", "p_value",
         significant.alias("significant"))
-    return top_k(kept, ["dataset"], [F.desc(F.round("score", 9)), F.asc("junction_aa")], top_n, salt_on=SEQ)
+    order = [F.desc(F.round("score", 9)), F.asc("junction_aa")]
+    return kept if top_n is None else top_k(kept, ["dataset"], order, top_n, salt_on=SEQ)
 
 
 # ---- hits of mined sequences -------------------------------------------------------

@@ -81,9 +81,9 @@ class Stacking:
 
 def default_learners(rounds: int = 50, seed: int = 42) -> dict[str, Estimator]:
     """Two boosted-tree variants and a random forest."""
-    return {"xgboost": GBTClassifier(maxIter=rounds, maxDepth=5, stepSize=0.1, seed=seed),
-            "lightgbm": GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=seed),
-            "catboost": RandomForestClassifier(numTrees=rounds, maxDepth=6, seed=seed)}
+    return {"deep_boost": GBTClassifier(maxIter=rounds, maxDepth=5, stepSize=0.1, seed=seed),
+            "shallow_boost": GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=seed),
+            "forest": RandomForestClassifier(numTrees=rounds, maxDepth=6, seed=seed)}
 
 
 def quick_stack(train: DataFrame, test: DataFrame, folds: int = 5, rounds: int = 50) -> DataFrame:

@@ -15,6 +15,7 @@ from clonara.functions.text import gene_family, gene_family_alt, gene_norm, gene
 from clonara.operators.ranks import densify, top_k
 
 _KIND = [*REP, "kind"]
+from clonara.session import materialize
 
 
 def gene_counts(df: DataFrame, kinds: dict[str, Column], keys: list[str] = REP) -> DataFrame:
@@ -93,7 +94,7 @@ class GeneFeaturizer:
     vocabulary: DataFrame | None = field(default=None, repr=False)
 
     def fit(self, df: DataFrame) -> "GeneFeaturizer":
-        self.vocabulary = gene_vocabulary(df, {"v": self.top_v, "j": self.top_j, "vj": self.top_vj})
+        self.vocabulary = materialize(gene_vocabulary(df, {"v": self.top_v, "j": self.top_j, "vj": self.top_vj}), "genes")
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clonara.constants import AMINO_ACIDS, REP
 from clonara.functions.text import STRICT, alpha_seq, loose_aa
-from clonara.operators.ranks import densify, top_k
+from clonara.operators.ranks import dense_numbers, densify, top_k
+from clonara.session import materialize
 
 # a k-mer list of at most this many rows (some tens of bytes each) may be broadcast
 BROADCAST_ROWS = 200_000
@@ -30,6 +31,8 @@ def explode_kmers(df: DataFrame, ks, seq: str = "junction_aa", valid_only: bool
     ks = [ks] if isinstance(ks, int) else list(ks)
     s = F.col(seq)
     df = df.where(F.length(s) >= min(ks))
+    if valid_only:
+        df = df.withColumn("_valid", s.rlike(STRICT))
     if once_per_row:
         per_k = [F.struct(F.lit(k).alias("k"), F.array_distinct(windows(s, k)).alias("ws")) for k in ks]
         out = (df.withColumn("_w", F.explode(F.array(*per_k)))
@@ -40,10 +43,19 @@ def explode_kmers(df: DataFrame, ks, seq: str = "junction_aa", valid_only: bool
                .withColumn("_i", F.explode(F.sequence(F.lit(1), F.length(s) - F.col("k") + 1)))
                .withColumn("kmer", F.substring(s, F.col("_i"), F.col("k"))).drop("_i"))
     if valid_only:
-        out = out.where(s.rlike(STRICT) | F.col("kmer").rlike(STRICT))
+        out = out.where(F.col("_valid") | F.col("kmer").rlike(STRICT)).drop("_valid")
     return out
 
 
+def collapse(df: DataFrame, keys: list[str] = (), seq: str = "junction_aa") -> DataFrame:
+    """Distinct sequences per key with the number ``n`` of their rows.
+
+    Windows are taken from these, so a sequence is cut up once per repertoire, and the work is spread by the shuffle
+    of this fold whatever the files look like.
+    """
+    return df.where(F.col(seq).isNotNull()).groupBy(*keys, seq).agg(F.count(F.lit(1)).alias("n"))
+
+
 def kmer_extract(df: DataFrame, k: int) -> DataFrame:
     """Distinct sequences with each window and its position."""
     seqs = df.select("junction_aa").where(F.length("junction_aa") >= k).distinct()
@@ -54,18 +66,22 @@ def kmer_extract(df: DataFrame, k: int) -> DataFrame:
 def kmer_counts(df: DataFrame, ks=(3, 4), valid_only: bool = False, once_per_row: bool = False,
                 keys: list[str] = REP) -> DataFrame:
     """Occurrences (or rows with it) of each k-mer per repertoire."""
-    rows = explode_kmers(df.select(*keys, "junction_aa"), ks, valid_only=valid_only, once_per_row=once_per_row)
-    return rows.groupBy(*keys, "k", "kmer").agg(F.count(F.lit(1)).alias("count"))
+    rows = explode_kmers(collapse(df, keys), ks, valid_only=valid_only, once_per_row=once_per_row)
+    return rows.groupBy(*keys, "k", "kmer").agg(F.sum("n").alias("count"))
+
+
+def _with_share(counts: DataFrame, group: list[str]) -> DataFrame:
+    """Counts with ``value``, their share of the group's total, which is a grouped sum of its own."""
+    total = counts.groupBy(*group).agg(F.sum("count").alias("_total"))
+    return counts.join(total, group).withColumn("value", F.col("count") / F.col("_total")).drop("_total")
 
 
 def kmer_frequencies(df: DataFrame, ks=(3, 4), valid_only: bool = True, prefix: str = "kmer_{k}_") -> DataFrame:
     """Share of each k-mer among the repertoire's windows of the same length, as features."""
     source = df.where(alpha_seq("junction_aa")) if valid_only else df
     counts = kmer_counts(source, ks, valid_only=valid_only)
-    total = F.sum("count").over(Window.partitionBy(*REP, "k"))
     head, tail = prefix.split("{k}")
-    return counts.select(*REP, F.concat(F.lit(head), F.col("k"), F.lit(tail), F.col("kmer")).alias("feature"),
-                         (F.col("count") / total).alias("value"))
+    return _with_share(counts, [*REP, "k"]).select(*REP, F.concat(F.lit(head), F.col("k"), F.lit(tail), F.col("kmer")).alias("feature"), "value")
 
 
 def kmer_multiscale(df: DataFrame, ks=(3, 4, 5)) -> DataFrame:
@@ -83,15 +99,15 @@ def full_vocabulary(spark: SparkSession, k: int) -> DataFrame:
 
 def full_vocabulary_counts(df: DataFrame, k: int) -> DataFrame:
     """Every possible k-mer with its pooled count, zero when unseen."""
-    seen = explode_kmers(df.select("junction_aa"), k).groupBy("kmer").agg(F.count(F.lit(1)).alias("count"))
+    seen = explode_kmers(collapse(df), k).groupBy("kmer").agg(F.sum("n").alias("count"))
     return (full_vocabulary(df.sparkSession, k).join(seen, "kmer", "left")
             .select("kmer", "index", F.coalesce("count", F.lit(0)).alias("count")))
 
 
 def learn_vocabulary(df: DataFrame, ks=(3, 4), per_k: int = 500, once_per_row: bool = True) -> DataFrame:
     """The ``per_k`` most frequent k-mers of each length, ranked."""
-    totals = (explode_kmers(df.select("junction_aa"), ks, once_per_row=once_per_row)
-              .groupBy("k", "kmer").agg(F.count(F.lit(1)).alias("count")))
+    totals = (explode_kmers(collapse(df), ks, once_per_row=once_per_row)
+              .groupBy("k", "kmer").agg(F.sum("n").alias("count")))
     return top_k(totals, ["k"], [F.desc("count"), F.asc("kmer")], per_k, rank="rank", salt_on=["kmer"])
 
 
@@ -115,12 +131,11 @@ def vocabulary_transform(df: DataFrame, vocabulary: DataFrame, ks, repertoires:
     """
     listed = vocabulary.select("k", "kmer")
     if size is not None and size <= BROADCAST_ROWS:
-        windows_ = explode_kmers(df.select(*REP, "junction_aa"), ks, once_per_row=once_per_row)
-        counts = windows_.join(F.broadcast(listed), ["k", "kmer"]).groupBy(*REP, "k", "kmer").agg(F.count(F.lit(1)).alias("count"))
+        windows_ = explode_kmers(collapse(df, REP), ks, once_per_row=once_per_row)
+        counts = windows_.join(F.broadcast(listed), ["k", "kmer"]).groupBy(*REP, "k", "kmer").agg(F.sum("n").alias("count"))
     else:
         counts = kmer_counts(df, ks, once_per_row=once_per_row).join(listed, ["k", "kmer"])
-    total = F.sum("count").over(Window.partitionBy(*REP, "k"))
-    shares = counts.select(*REP, "k", "kmer", (F.col("count") / total).alias("value"))
+    shares = _with_share(counts, [*REP, "k"]).select(*REP, "k", "kmer", "value")
     return shares if repertoires is None else densify(shares, repertoires, vocabulary, REP, ["k", "kmer"])
 
 
@@ -138,7 +153,7 @@ class KmerFeaturizer:
         return list(range(self.k_range[0], self.k_range[1] + 1))
 
     def fit(self, df: DataFrame) -> "KmerFeaturizer":
-        self.vocabulary = learn_vocabulary(df, self.ks, self.per_k, self.once_per_row)
+        self.vocabulary = materialize(learn_vocabulary(df, self.ks, self.per_k, self.once_per_row), "kmers")
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -189,8 +204,8 @@ def positional_kmers(df: DataFrame, k: int = 3, keep: int = 30) -> DataFrame:
 def global_kmers(df: DataFrame, k: int = 3, keep: int = 64, weight: str | None = None) -> DataFrame:
     """Weight of a repertoire's rows that contain each of the most common k-mers overall."""
     rows = df.where(F.col("junction_aa").isNotNull())
-    pooled = explode_kmers(rows.select("junction_aa"), k).groupBy("kmer").agg(F.count(F.lit(1)).alias("c"))
-    best = pooled.orderBy(F.desc("c"), "kmer").limit(keep).select("kmer")
+    pooled = explode_kmers(collapse(rows), k).groupBy("kmer").agg(F.sum("n").alias("c"))
+    best = materialize(pooled.orderBy(F.desc("c"), "kmer").limit(keep).select("kmer"), "best")
     only = F.broadcast(best) if keep <= BROADCAST_ROWS else best
     w = F.col(weight) if weight else F.lit(1.0)
     # An absent weight adds nothing, as a summed missing value.
@@ -207,6 +222,18 @@ def aa_composition(df: DataFrame) -> DataFrame:
     return letters.select(*REP, "letter", (F.col("c") / total).alias("value")).where(F.col("letter").rlike(STRICT))
 
 
+def column_index(features: DataFrame) -> DataFrame:
+    """(feature, index): place of every feature name in the sorted list of all, numbered through buckets of a prefix."""
+    names = features.select("feature").distinct().withColumn("_all", F.lit(0))
+    # names that share their first letters are neighbours in the order, and buckets grow with it; what follows a
+    # letter beyond ASCII does not count
+    plain = F.regexp_replace("feature", r"(?s)[^\x00-\x7E].*$", "\x7f")
+    code = lambda i: F.ascii(F.substring(plain, i, 1)).cast("long")
+    bucket = code(1) * 128 ** 4 + code(2) * 128 ** 3 + code(3) * 128 ** 2 + code(4) * 128 + code(5)
+    numbered = dense_numbers(names, ["_all"], bucket, [F.asc("feature")], "_n")
+    return numbered.select("feature", (F.col("_n") - 1).cast("long").alias("index"))
+
+
 def sparse_rows(features: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Sorted index and value arrays per repertoire; ``vocabulary`` maps feature to index."""
     cells = features.join(vocabulary.select("feature", "index"), "feature")

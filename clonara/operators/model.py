@@ -12,8 +12,7 @@ from pyspark.ml.base import Estimator, Model
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -59,14 +58,17 @@ def number_features(selected: DataFrame) -> DataFrame:
 
 
 def assemble(features: DataFrame, vocabulary: DataFrame, repertoires: DataFrame, size: int) -> DataFrame:
-    """One sparse vector per repertoire over an indexed vocabulary; none gives zeros."""
-
-    @F.udf(VectorUDT())
-    def sparse(indices, values):
-        return Vectors.sparse(size, indices or [], values or [])
+    """One vector per repertoire over an indexed vocabulary; absent features are zero.
 
+    ``size`` is that of a selected list, so each vector is an array filled by position.
+    """
     rows = sparse_rows(features, vocabulary)
-    return repertoires.join(rows, REP, "left").withColumn("features", sparse("indices", "values")).drop("indices", "values")
+    at = lambda i: F.array_position("indices", i)
+    value = lambda i: F.when(at(i) > 0, F.get("values", at(i).cast("int") - 1)).otherwise(F.lit(0.0))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value) if size else F.array().cast("array<double>")
+    none = F.array_repeat(F.lit(0.0), size)
+    return (repertoires.join(rows, REP, "left").withColumn("features", array_to_vector(F.when(F.col("indices").isNull(), none).otherwise(filled)))
+            .drop("indices", "values"))
 
 
 @dataclass
@@ -103,8 +105,9 @@ def with_class_weight(df: DataFrame, weights: dict[int, float] | None = None, de
 
 def _shuffled(df: DataFrame, group: list[str], seed: int, name: str) -> DataFrame:
     """Number rows per group in a seeded random order."""
-    rows = df.withColumn("_h", F.xxhash64(F.lit(seed), *REP))
-    return dense_numbers(rows, group, F.shiftright("_h", 54), [F.asc("_h"), *[F.asc(c) for c in REP]], name).drop("_h")
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *REP).cast("binary"))
+    rows = df.withColumn("_h", F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"))
+    return dense_numbers(rows, group, F.shiftright("_h", 38), [F.asc("_h"), *[F.asc(c) for c in REP]], name).drop("_h")
 
 
 def stratified_folds(metadata: DataFrame, splits: int = 5, seed: int = 42, by: list[str] = ()) -> DataFrame:

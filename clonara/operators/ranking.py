@@ -12,16 +12,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from clonara.constants import DEFAULT_J, DEFAULT_V, PLACEHOLDER_SEQUENCE, REP, SENTINEL
 from clonara.functions.text import STRICT, alpha_seq, default_j, default_v, sentinel_fill, valid_aa
 from clonara.operators.align import submission_rows
-from clonara.operators.kmers import explode_kmers, windows
+from clonara.operators.kmers import BROADCAST_ROWS, explode_kmers, windows
 from clonara.operators.ranks import top_k
-from clonara.operators.sampling import first_repertoires
+from clonara.operators.sampling import first_repertoires, uniform
+from clonara.session import materialize
 
 SEQ = ["dataset", "junction_aa"]
 TRIPLE = ["dataset", "junction_aa", "v_call", "j_call"]
+_SALTS = 16
 
 
 def _rows_of(df: DataFrame, metadata: DataFrame, positive: bool | None, n: int | None) -> DataFrame:
-    """Rows of the first ``n`` repertoires (of one class)."""
+    """Rows of the repertoires (of one class), or of the first ``n`` of them."""
     m = metadata.select(*REP, "label_positive")
     if positive is not None:
         m = m.where(F.col("label_positive") == positive)
@@ -39,7 +41,9 @@ def with_kmer_score(seqs: DataFrame, weights: DataFrame, ks: list[int], once: bo
     """Add the sum of window weights (zero without any) to rows with distinct keys.
 
     Windows are exploded from the rows themselves and folded back by all columns, so the
-    rows are computed once and never joined with themselves.
+    rows are computed once and never joined with themselves. Weights are counted: up to
+    ``BROADCAST_ROWS`` they are broadcast and no window is shuffled, beyond that the join
+    is salted.
     """
     s = F.col("junction_aa")
 
@@ -51,7 +55,13 @@ def with_kmer_score(seqs: DataFrame, weights: DataFrame, ks: list[int], once: bo
     keep = seqs.columns
     exploded = seqs.withColumn("_w", F.explode_outer(F.concat(*[listed(k) for k in ks]))).select(*keep, "_w.k", "_w.kmer")
     on = [c for c in ("dataset", "k", "kmer") if c in weights.columns]
-    joined = exploded.join(weights.select(*on, "weight"), on, "left")
+    table = materialize(weights.where(F.col("k").isin(list(ks))).select(*on, "weight"), "weights")
+    if table.count() <= BROADCAST_ROWS:
+        joined = exploded.join(F.broadcast(table), on, "left")
+    else:  # a k-mer that stands in nearly every sequence is dealt over several tasks
+        salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        spread = exploded.withColumn("_salt", F.pmod(F.xxhash64(*keep), F.lit(_SALTS)).cast("int"))
+        joined = spread.join(salted, [*on, "_salt"], "left")
     return joined.groupBy(*keep).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("kmer_score"))
 
 
@@ -63,14 +73,14 @@ def _zero(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0.0))
 
 
-def rank_clone_scores(df: DataFrame, metadata: DataFrame, mined: DataFrame, k: int = 50000, files: int = 50) -> DataFrame:
+def rank_clone_scores(df: DataFrame, metadata: DataFrame, mined: DataFrame, k: int = 50000, files: int | None = None) -> DataFrame:
     """Mined sequences by score; other sequences of positive repertoires follow with zero."""
     others = _rows_of(df, metadata, True, files).where(F.length("junction_aa") > 0).select(*SEQ).distinct()
     scored = mined.select(*SEQ, "score").join(others, SEQ, "full").select(*SEQ, _zero("score").alias("score"))
     return _ranked(scored, k)
 
 
-def rank_gain(df: DataFrame, metadata: DataFrame, mined: DataFrame, weights: DataFrame, k: int = 50000, files: int = 50) -> DataFrame:
+def rank_gain(df: DataFrame, metadata: DataFrame, mined: DataFrame, weights: DataFrame, k: int = 50000, files: int | None = None) -> DataFrame:
     """Twice the mined score plus, per occurrence in positive repertoires, the k-mer gains."""
     seen = _occurrences(_rows_of(df, metadata, True, files).where(valid_aa("junction_aa")))
     gains = with_kmer_score(seen, weights, [3, 4], once=False)
@@ -80,7 +90,7 @@ def rank_gain(df: DataFrame, metadata: DataFrame, mined: DataFrame, weights: Dat
     return _ranked(scored, k)
 
 
-def rank_gain_bonus(df: DataFrame, metadata: DataFrame, mined: DataFrame, weights: DataFrame, k: int = 50000, files: int = 80) -> DataFrame:
+def rank_gain_bonus(df: DataFrame, metadata: DataFrame, mined: DataFrame, weights: DataFrame, k: int = 50000, files: int | None = None) -> DataFrame:
     """Mined score, two more when significant, plus k-mer gains; invalid sequences leave after the cut."""
     seen = _occurrences(_rows_of(df, metadata, True, files).where(alpha_seq("junction_aa")))
     pooled = weights.groupBy("kmer").agg(F.sum("weight").alias("weight")).withColumn("k", F.length("kmer"))
@@ -92,7 +102,7 @@ def rank_gain_bonus(df: DataFrame, metadata: DataFrame, mined: DataFrame, weight
 
 
 def rank_difference(df: DataFrame, metadata: DataFrame, mined: DataFrame, weights: DataFrame, k: int = 50000,
-                    pos_files: int = 50, neg_files: int = 30) -> DataFrame:
+                    pos_files: int | None = None, neg_files: int | None = None) -> DataFrame:
     """Positive mined score doubled, plus the class difference of row counts, plus a tenth of the k-mer weights."""
     pos = _occurrences(_rows_of(df, metadata, True, pos_files).where(F.length("junction_aa") >= 8)).withColumnRenamed("n", "p")
     neg = _occurrences(_rows_of(df, metadata, False, neg_files).where(F.col("junction_aa").isNotNull())).withColumnRenamed("n", "q")
@@ -105,8 +115,8 @@ def rank_difference(df: DataFrame, metadata: DataFrame, mined: DataFrame, weight
     return _ranked(scored, k)
 
 
-def rank_frequency(df: DataFrame, metadata: DataFrame, k: int = 50000, files: int = 15) -> DataFrame:
-    """Most frequent long alphabetic sequences of the first positive repertoires, with default genes."""
+def rank_frequency(df: DataFrame, metadata: DataFrame, k: int = 50000, files: int | None = None) -> DataFrame:
+    """Most frequent long alphabetic sequences of positive repertoires, with default genes."""
     rows = _rows_of(df, metadata, True, files).where((F.length("junction_aa") >= 8) & alpha_seq("junction_aa"))
     return (_ranked(rows.groupBy(*SEQ).agg(F.count(F.lit(1)).cast("double").alias("score")), k)
             .withColumn("v_call", F.lit(DEFAULT_V)).withColumn("j_call", F.lit(DEFAULT_J)))
@@ -161,7 +171,7 @@ def rank_quota(df: DataFrame, important: DataFrame, key: list[str], k: int = 500
     counts = rows.groupBy("dataset").agg(F.count_if("label_positive").alias("np"), F.count_if(~F.col("label_positive")).alias("nn"))
     take_pos = F.least(F.lit(int(k * positive_share)), F.col("np"))
     quota = F.when(F.col("label_positive"), take_pos).otherwise(F.least(k - take_pos, F.col("nn")))
-    draw = F.xxhash64(F.lit(seed), *REP, *key)
+    draw = uniform([*REP, *key], seed)
     ranked = top_k(rows.withColumn("_d", draw), ["dataset", "label_positive"], [F.asc("_d"), *[F.asc(c) for c in key]], k,
                    rank="_r", salt_on=[*REP, *key])
     return (ranked.join(counts, "dataset").where(F.col("_r") <= quota)
@@ -199,8 +209,8 @@ def rank_attention(weights: DataFrame, k: int = 50000) -> DataFrame:
     return _ranked(scored, k)
 
 
-def vj_lookup(seqs: DataFrame, df: DataFrame, metadata: DataFrame, pos_files: int = 50, any_files: int = 30) -> DataFrame:
-    """First (V, J) with a known V per sequence: positive repertoires first, else the first files."""
+def vj_lookup(seqs: DataFrame, df: DataFrame, metadata: DataFrame, pos_files: int | None = None, any_files: int | None = None) -> DataFrame:
+    """First (V, J) with a known V per sequence: positive repertoires first, then the others."""
     pos = first_repertoires(metadata.where("label_positive").select(*REP), pos_files, by_label=False).withColumn("late", F.lit(0))
     some = first_repertoires(metadata.select(*REP), any_files, by_label=False).withColumn("late", F.lit(1))
     files = pos.unionByName(some).groupBy(*REP).agg(F.min("late").alias("late"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clonara.constants import EXPECTED_ROWS, REP, SENTINEL_PROBABILITY, SEQUENCES_PER_DATASET, SUBMISSION_COLUMNS
@@ -189,45 +189,28 @@ def class_comparison(stats: DataFrame, features: list[str] | None = None) -> Dat
                     (diff / F.nullif(se, F.lit(0.0))).alias("t"), df_.alias("df"))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (Lentz)."""
-    tiny, c = 1e-300, 1.0
-    d = 1.0 / ((1.0 - (a + b) * x / (a + 1.0)) or tiny)
-    h = d
-    for m in range(1, 400):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 / ((1.0 + num * d) or tiny)
-            c = (1.0 + num / c) or tiny
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
-
-
-def student_p(t: float, df: float) -> float:
-    """Two-sided p value of Student's t."""
-    from math import exp, isnan, lgamma, log, log1p
-
-    if t is None or df is None or isnan(t) or isnan(df) or df <= 0:
-        return float("nan")
-    x, a, b = df / (df + t * t), df / 2.0, 0.5
-    if x >= 1.0:
-        return 1.0
-    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+def student_p(t: Column, df: Column) -> Column:
+    """Two-sided p value of Student's t for whole degrees of freedom: the finite series in the angle of t."""
+    theta = F.atan(F.abs(t) / F.sqrt(df))
+    cosine, even = F.cos(theta), df % 2 == 0
+    first = F.when(even, F.lit(1.0)).otherwise(cosine)
+    terms = F.floor(F.when(even, df - 2).otherwise(df - 3) / 2).cast("int")
+    start = F.struct(first.alias("term"), first.alias("sum"))
 
+    def add(acc: Column, k: Column) -> Column:
+        ratio = F.when(even, (2 * k - 1) / (2 * k)).otherwise(2 * k / (2 * k + 1))
+        term = acc["term"] * ratio * cosine * cosine
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-def class_ttest(stats: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """The comparison with p values (a handful of rows, one per dataset and feature)."""
+    counted = F.when(terms >= 1, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>"))
+    series = F.sin(theta) * F.aggregate(counted, start, add, lambda acc: acc["sum"])
+    inside = F.when(even, series).when(df == 1, theta * 2 / math.pi).otherwise((theta + series) * 2 / math.pi)
+    return F.when(df > 0, F.greatest(1 - inside, F.lit(0.0))).otherwise(F.lit(float("nan")))
 
-    @F.pandas_udf("double")
-    def p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series(np.array([student_p(a, b) for a, b in zip(t, df)], dtype=float))
 
-    return class_comparison(stats, features).withColumn("p_value", p_value(F.col("t"), F.col("df").cast("double")))
+def class_ttest(stats: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """The comparison with p values; without a t there is none."""
+    return class_comparison(stats, features).withColumn("p_value", F.coalesce(student_p(F.col("t"), F.col("df").cast("double")), F.lit(float("nan"))))
 
 
 def top_gene_by_class(stats: DataFrame, gene: str = "top_v_gene", k: int = 10) -> DataFrame:

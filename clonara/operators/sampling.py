@@ -10,9 +10,9 @@ from clonara.operators.ranks import top_k
 
 
 def uniform(cols: list[str], seed: int) -> Column:
-    """A number in (0, 1) fixed by the row's columns and the seed."""
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11)
-    return (h + 0.5) / float(2 ** 53)
+    """A number in (0, 1) fixed by the row's columns and the seed: 48 bits of a digest that other engines have too."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 0.5) / float(2 ** 48)
 
 
 def weighted_sample(df: DataFrame, n: int, key: list[str], weight: str = "templates", seed: int = 42) -> DataFrame:

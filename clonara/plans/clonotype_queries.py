@@ -46,9 +46,8 @@ def _(t):
     return rounded(clonotypes.PublicClones().fit(t.rearrangements).ranked())
 
 
-def _counts(max_files, p=""):
-    return f"""{p}m AS (SELECT dataset, repertoire_id, label_positive, row_number() OVER (PARTITION BY dataset, label_positive ORDER BY repertoire_id) AS rn
-  FROM metadata QUALIFY rn <= {max_files}),
+def _counts(p=""):
+    return f"""{p}m AS (SELECT dataset, repertoire_id, label_positive FROM metadata),
 {p}z AS (SELECT dataset, count(*) FILTER (label_positive) AS n_pos, count(*) FILTER (NOT label_positive) AS n_neg FROM {p}m GROUP BY ALL),
 {p}p AS (SELECT DISTINCT r.dataset, r.repertoire_id, m.label_positive, r.junction_aa FROM rearrangements r
   JOIN {p}m m ON m.dataset = r.dataset AND m.repertoire_id = r.repertoire_id WHERE r.junction_aa IS NOT NULL),
@@ -56,39 +55,37 @@ def _counts(max_files, p=""):
 {p}f AS (SELECT *, a / greatest(n_pos, 1) AS pf, c / greatest(n_neg, 1) AS nf FROM {p}c JOIN {p}z USING (dataset))"""
 
 
-def _enriched(max_files=30, top=2000, p="", extra="TRUE"):
-    return f"""{_counts(max_files, p)}, {p}mined AS (SELECT dataset, junction_aa, ln((pf + 1e-6) / (nf + 1e-6)) AS score, pf AS pos_freq, nf AS neg_freq
-  FROM {p}f WHERE a > 0 AND pf >= 0.15 AND pf > nf * 5.0::DOUBLE AND {extra}
-  QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY ln((pf + 1e-6) / (nf + 1e-6)) DESC, junction_aa) <= {top})"""
+def _enriched(p=""):
+    return f"""{_counts(p)}, {p}mined AS (SELECT dataset, junction_aa, ln((pf + 1e-6) / (nf + 1e-6)) AS score, pf AS pos_freq, nf AS neg_freq
+  FROM {p}f WHERE a > 0 AND pf >= 0.15 AND pf > nf * 5.0::DOUBLE)"""
 
 
-def _fisher(max_files, where, tail, top, p="", alternative="two-sided"):
+def _fisher(where, tail, p="", alternative="two-sided"):
     lf = lambda x: f"lgamma(({x}) + 1)"
     ch = lambda n, x: f"({lf(n)} - {lf(x)} - {lf(f'{n} - ({x})')})"
     lp = lambda x: f"({ch('n_pos', x)} + {ch('n_neg', f'a + c - ({x})')} - {ch('(n_pos + n_neg)', 'a + c')})"
     pv = (f"list_sum(list_transform(list_filter(range(greatest(0, a + c - n_neg), least(n_pos, a + c) + 1), lambda x: {lp('x')} <= {lp('a')} + 1e-7), lambda x: exp({lp('x')})))"
           if alternative == "two-sided" else f"list_sum(list_transform(range(a, least(n_pos, a + c) + 1), lambda x: exp({lp('x')})))")
     empty = "(n_pos = 0 OR n_neg = 0 OR a + c = 0 OR a + c = n_pos + n_neg)"
-    return f"""{_counts(max_files, p)}, {p}t AS (SELECT *, CASE WHEN {empty} THEN 'nan'::DOUBLE WHEN n_pos - a > 0 AND c > 0
+    return f"""{_counts(p)}, {p}t AS (SELECT *, CASE WHEN {empty} THEN 'nan'::DOUBLE WHEN n_pos - a > 0 AND c > 0
   THEN a * (n_neg - c) / ((n_pos - a) * c) ELSE 'inf'::DOUBLE END AS odds_ratio, CASE WHEN {empty} THEN 1.0 ELSE least({pv}, 1.0) END AS p_value
   FROM {p}f WHERE {where}), {p}mined AS (SELECT dataset, junction_aa, {tail})"""
 
 
 _TWO = ("length(junction_aa) >= 8 AND (pf >= 0.1 OR nf >= 0.1)",
         """-log10(p_value + 1e-10) * sign(CASE WHEN isinf(odds_ratio) THEN 1 ELSE ln(odds_ratio + 1e-10) END) AS score, p_value, odds_ratio, pf AS pos_freq,
-  nf AS neg_freq, CASE WHEN odds_ratio > 1 THEN 'positive' ELSE 'negative' END AS direction FROM {p}t WHERE p_value < 0.01 AND NOT isnan(odds_ratio)
-  QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY round(abs(score), 9) DESC, junction_aa) <= 2500""")
+  nf AS neg_freq, CASE WHEN odds_ratio > 1 THEN 'positive' ELSE 'negative' END AS direction FROM {p}t WHERE round(p_value, 9) < 0.01::DOUBLE AND NOT isnan(odds_ratio)""")
 _GREATER = ("a > 0 AND pf >= 0.05 AND (nf = 0 OR pf > nf * 3.0::DOUBLE)",
-            """ln((pf + 1e-6) / (nf + 1e-6)) + CASE WHEN p_value < 0.1 THEN 1 ELSE 0 END AS score, pf AS pos_freq, nf AS neg_freq, p_value, p_value < 0.1 AS significant
-  FROM {p}t QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY round(score, 9) DESC, junction_aa) <= 3000""")
+            """ln((pf + 1e-6) / (nf + 1e-6)) + CASE WHEN round(p_value, 9) < 0.1::DOUBLE THEN 1 ELSE 0 END AS score, pf AS pos_freq, nf AS neg_freq, p_value, round(p_value, 9) < 0.1::DOUBLE AS significant
+  FROM {p}t""")
 
 
 def fisher_cte(p=""):
-    return _fisher(40, _TWO[0], _TWO[1].format(p=p), 2500, p)
+    return _fisher(_TWO[0], _TWO[1].format(p=p), p)
 
 
 def greater_cte(p=""):
-    return _fisher(50, _GREATER[0], _GREATER[1].format(p=p), 3000, p, "greater")
+    return _fisher(_GREATER[0], _GREATER[1].format(p=p), p, "greater")
 
 
 enriched_cte = _enriched
@@ -99,9 +96,9 @@ def _(t):
     return rounded(clonotypes.mine_enriched(t.rearrangements, t.metadata))
 
 
-@query("mine_enriched_all", f"WITH {_enriched(10 ** 9, 10 ** 9)} SELECT dataset, junction_aa, round(score, 6) AS score, round(pos_freq, 6) AS pos_freq, round(neg_freq, 6) AS neg_freq FROM mined")
+@query("mine_enriched_all", f"WITH {_enriched()} SELECT dataset, junction_aa, round(score, 6) AS score, round(pos_freq, 6) AS pos_freq, round(neg_freq, 6) AS neg_freq FROM mined")
 def _(t):
-    return rounded(clonotypes.mine_enriched(t.rearrangements, t.metadata, max_files=None, top_n=None))
+    return rounded(clonotypes.mine_enriched(t.rearrangements, t.metadata))
 
 
 @query("mine_fisher", f"""WITH {fisher_cte()} SELECT dataset, junction_aa, round(score, 6) AS score, round(p_value, 6) AS p_value,
@@ -119,12 +116,15 @@ def _(t):
 _T = lambda v, d: f"CASE coalesce(TRY_CAST(nullif(regexp_extract(dataset, '(^|[_ ])([0-9]+)([_ ]|$)', 2), '') AS INT), 1) WHEN 7 THEN {v[0]} WHEN 8 THEN {v[1]} ELSE {d} END"
 
 
-@query("mine_by_dataset", f"""WITH {_counts(30)} SELECT dataset, junction_aa, round(ln((pf + 1e-6) / (nf + 1e-6)), 6) AS score, round(pf, 6) AS pos_freq,
-round(nf, 6) AS neg_freq FROM f WHERE a > 0 AND length(junction_aa) >= 8 AND regexp_matches(junction_aa, '^[A-Za-z]+$')
-AND pf >= {_T((0.10, 0.12), 0.15)} AND pf > nf * ({_T((3.0, 4.0), 5.0)})::DOUBLE
-QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY ln((pf + 1e-6) / (nf + 1e-6)) DESC, junction_aa) <= {_T((6000, 4000), 2500)}""")
+_BY_DATASET = f"""{_counts()}, mined AS (SELECT dataset, junction_aa, ln((pf + 1e-6) / (nf + 1e-6)) AS score, pf, nf FROM f
+WHERE a > 0 AND length(junction_aa) >= 8 AND regexp_matches(junction_aa, '^[A-Za-z]+$')
+AND pf >= {_T((0.10, 0.12), 0.15)} AND pf > nf * ({_T((3.0, 4.0), 5.0)})::DOUBLE)"""
+
+
+@query("mine_by_dataset", f"""WITH {_BY_DATASET} SELECT dataset, junction_aa, round(score, 6) AS score, round(pf, 6) AS pos_freq, round(nf, 6) AS neg_freq FROM mined
+QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY mined.score DESC, junction_aa) <= {_T((6000, 4000), 2500)}""")
 def _(t):
-    return rounded(clonotypes.mine_by_dataset(t.rearrangements, t.metadata))
+    return rounded(clonotypes.mine_by_dataset(t.rearrangements, t.metadata, limited=True))
 
 
 _HITS = """h AS (SELECT r.*, {cols} FROM (SELECT DISTINCT dataset, repertoire_id, CASE WHEN regexp_matches(junction_aa, '^[A-Za-z]+$') THEN junction_aa END AS junction_aa
@@ -133,8 +133,16 @@ _Z = lambda e, n: f"round(coalesce({e}, 0), 6)::DOUBLE AS {n}"
 _RATIO = _Z("count(score) / nullif(count(junction_aa), 0)", "pub_hit_ratio")
 
 
-@query("public_hits", f"""WITH {_enriched()}, {_HITS.format(cols='score')} SELECT dataset, repertoire_id, {_Z('sum(score)', 'pub_score_sum')},
-{_Z('max(score)', 'pub_score_max')}, count(score)::DOUBLE AS pub_hits, {_RATIO} FROM h GROUP BY ALL""")
+def _hits_sql(mined):
+    return f"""WITH {mined}, {_HITS.format(cols='score')} SELECT dataset, repertoire_id, {_Z('sum(score)', 'pub_score_sum')},
+{_Z('max(score)', 'pub_score_max')}, count(score)::DOUBLE AS pub_hits, {_RATIO} FROM h GROUP BY ALL"""
+
+
+def hits_by_dataset():
+    return _hits_sql(_BY_DATASET)
+
+
+@query("public_hits", _hits_sql(_enriched()))
 def _(t):
     return rounded(clonotypes.public_hits(t.rearrangements, clonotypes.mine_enriched(t.rearrangements, t.metadata)))
 
@@ -160,7 +168,7 @@ def _(t):
     return rounded(clonotypes.public_hits_significant(t.rearrangements, clonotypes.mine_fisher_greater(t.rearrangements, t.metadata)))
 
 
-@query("miner_overlap", f"""WITH {_enriched(20, 10 ** 9, 'x_')}, {_fisher(40, _TWO[0], _TWO[1].format(p='y_').replace('<= 2500', '<= 1000000000'), 0, 'y_')},
+@query("miner_overlap", f"""WITH {_enriched('x_')}, {fisher_cte('y_')},
 j AS (SELECT coalesce(a.dataset, b.dataset) AS dataset, a.junction_aa IS NOT NULL AS ia, b.junction_aa IS NOT NULL AS ib
   FROM x_mined a FULL JOIN y_mined b ON a.dataset = b.dataset AND a.junction_aa = b.junction_aa),
 g AS (SELECT dataset, count(*) FILTER (ia) AS a_count, count(*) FILTER (ib) AS b_count, count(*) FILTER (ia AND ib) AS o,
@@ -172,8 +180,8 @@ SELECT dataset, a_count, b_count, round(jaccard, 6)::DOUBLE AS jaccard, overlap,
 SELECT 'overall', sum(a_count)::BIGINT, sum(b_count)::BIGINT, round(avg(jaccard) FILTER (jaccard > 0), 6)::DOUBLE, sum(overlap)::BIGINT,
 sum(a_only)::BIGINT, sum(b_only)::BIGINT FROM q""")
 def _(t):
-    a = clonotypes.mine_enriched(t.rearrangements, t.metadata, max_files=20, top_n=None)
-    b = clonotypes.mine_fisher(t.rearrangements, t.metadata, top_n=None)
+    a = clonotypes.mine_enriched(t.rearrangements, t.metadata)
+    b = clonotypes.mine_fisher(t.rearrangements, t.metadata)
     return rounded(clonotypes.miner_overlap(a, b))
 
 
@@ -209,7 +217,17 @@ def _(t):
 _KEY = ["row_order", "junction_aa", "v_call", "j_call", "templates"]
 
 
-@query("weighted_sample")
+_DRAW = """(('0x' || substr(md5(concat_ws('|', '42', dataset, repertoire_id, row_order, junction_aa, v_call, j_call, templates)), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656"""
+_LAST = "row_order NULLS FIRST, junction_aa NULLS FIRST, v_call NULLS FIRST, j_call NULLS FIRST, templates NULLS FIRST"
+
+
+def _drawn(order, n):
+    return f"""WITH u AS (SELECT *, {_DRAW} AS u, coalesce(templates, 1.0::DOUBLE) AS w FROM rearrangements),
+z AS (SELECT *, CASE WHEN w > 0 THEN -ln(u) / w ELSE 'inf'::DOUBLE END AS wait FROM u)
+SELECT * EXCLUDE (u, w, wait, row_order) FROM z QUALIFY row_number() OVER (PARTITION BY dataset, repertoire_id ORDER BY {order}, {_LAST}) <= {n}"""
+
+
+@query("weighted_sample", _drawn("wait, u", 200))
 def _(t):
     return sampling.weighted_sample(t.rearrangements, 200, _KEY).drop("row_order")
 
@@ -219,7 +237,7 @@ def _(t):
     return sampling.weighted_sample(t.rearrangements, 2000, _KEY).groupBy(*REP).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("uniform_sample")
+@query("uniform_sample", _drawn("u", 200))
 def _(t):
     return sampling.uniform_sample(t.rearrangements, 200, _KEY).drop("row_order")
 

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from clonara.constants import REP
 from clonara.functions.text import dataset_id, finite, metadata_features
 from clonara.operators import align, clonotypes, diversity, genes, kmers, lengths
+from clonara.session import materialize
+
+NEEDED = [*REP, "junction_aa", "v_call", "j_call", "templates"]
 
 
 def long_table(wide: DataFrame, prefix: str = "") -> DataFrame:
@@ -97,7 +100,12 @@ SETS: dict[str, list[str]] = {
 
 def extract_features(rows: DataFrame, mined: DataFrame | None = None, metadata: DataFrame | None = None, ks=(3, 4),
                      feature_set: str = "base") -> DataFrame:
-    """(dataset, repertoire_id, feature, value) of a named set; every value is finite."""
-    source = Source(rows, mined, metadata, tuple(ks))
+    """(dataset, repertoire_id, feature, value) of a named set; every value is finite.
+
+    The few columns that parts read become a stage of their own, so that the source, which may be text or a join, is
+    read once however many parts there are.
+    """
+    narrow = materialize(rows.select(*[c for c in NEEDED if c in rows.columns]), "rows")
+    source = Source(narrow, mined, metadata, tuple(ks))
     parts = [PARTS[name](source) for name in SETS[feature_set]]
     return align.union_all([p for p in parts if p is not None]).select(*REP, "feature", finite("value").alias("value"))

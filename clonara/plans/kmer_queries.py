@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from clonara.constants import REP
 from clonara.operators import kmers
 from clonara.plans.registry import query
+from clonara.session import materialize
 
 _AA = "^[ACDEFGHIKLMNPQRSTVWY]+$"
 
@@ -154,12 +155,11 @@ def _(t):
     return kmers.aa_composition(t.rearrangements).withColumn("value", F.round("value", 6))
 
 
-@query("sparse_features", f"""WITH w AS ({_union(_occ, (3, 4))})
-SELECT dataset, repertoire_id, count(*) AS nnz, sum(c)::BIGINT AS total FROM
-(SELECT dataset, repertoire_id, k, kmer, count(*) AS c FROM w GROUP BY ALL) GROUP BY ALL""")
+@query("sparse_features", f"""WITH w AS ({_union(_occ, (3, 4))}), c AS (SELECT dataset, repertoire_id, 'k' || k || '_' || kmer AS feature, count(*)::DOUBLE AS value FROM w GROUP BY ALL),
+v AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS index FROM (SELECT DISTINCT feature FROM c))
+SELECT dataset, repertoire_id, row_number() OVER (PARTITION BY dataset, repertoire_id ORDER BY index)::INT - 1 AS place, index, value FROM c JOIN v USING (feature)""")
 def _(t):
-    counts = kmers.kmer_multiscale(t.rearrangements, (3, 4))
-    vocabulary = counts.select("feature").distinct().select("feature", F.xxhash64("feature").alias("index"))
-    rows = kmers.sparse_rows(counts, vocabulary)
-    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x).cast("bigint")
-    return rows.select(*REP, F.size("indices").cast("bigint").alias("nnz"), total.alias("total"))
+    counts = materialize(kmers.kmer_multiscale(t.rearrangements, (3, 4)), "counts")
+    rows = kmers.sparse_rows(counts, kmers.column_index(counts))
+    cells = F.arrays_zip("indices", "values")
+    return rows.select(*REP, F.posexplode(cells).alias("place", "c")).select(*REP, "place", F.col("c.indices").alias("index"), F.col("c.values").alias("value"))

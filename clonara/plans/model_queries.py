@@ -9,21 +9,13 @@ from clonara.operators.align import union_all
 from clonara.plans.features import extract_features, long_table
 from clonara.plans.predictor import RepertoirePredictor, run_all
 from clonara.plans.profile_queries import rounded
-from clonara.plans.registry import ORACLES, query
+from clonara.plans.clonotype_queries import hits_by_dataset
+from clonara.plans.registry import ORACLES, oracle_text, query
 from clonara.plans.report_queries import both_models
+from clonara.plans import source_queries  # noqa: F401  registers twins that are read below
 from clonara.session import materialize
 from clonara.sources import repertoires
 
-_kept: dict[tuple, object] = {}
-
-
-def _once(t, name, build):
-    key = (t.spark.sparkContext.applicationId, t.root, name)
-    if key not in _kept:
-        _kept[key] = build()
-    return _kept[key]
-
-
 def _features(t):
     r = t.rearrangements
     return union_all([kmers.kmer_frequencies(r, (3,)), genes.family_usage(r), long_table(lengths.length_stats(r)),
@@ -31,15 +23,11 @@ def _features(t):
 
 
 def training(t, top=60):
-    """Vectors over the most variable features with labels and weights, written once per session."""
-
-    def build():
-        features = materialize(_features(t), "features")
-        space = model.FeatureSpace.of(model.select_variance(features, t.metadata, top))
-        rows = space.vectors(features, t.metadata.select(*REP, "label_positive"))
-        return materialize(model.with_class_weight(model.labelled(rows)), "training"), space
-
-    return _once(t, f"training{top}", build)
+    """Vectors over the most variable features with labels and weights."""
+    features = materialize(_features(t), "features")
+    space = model.FeatureSpace.of(model.select_variance(features, t.metadata, top))
+    rows = space.vectors(features, t.metadata.select(*REP, "label_positive"))
+    return materialize(model.with_class_weight(model.labelled(rows)), "training"), space
 
 
 def _scores(df):
@@ -50,16 +38,23 @@ def _scores(df):
 # ---- feature tables ----------------------------------------------------------------
 
 
+def _cells(sql, prefix=""):
+    """SQL: the columns of a twin as (feature, value) rows."""
+    keys = "(dataset, repertoire_id)"
+    return (f"SELECT dataset, repertoire_id, '{prefix}' || feature AS feature, round(value, 6) AS value FROM (UNPIVOT (SELECT dataset, repertoire_id, COLUMNS(* EXCLUDE {keys})::DOUBLE FROM ({sql})) "
+            f"ON COLUMNS(* EXCLUDE {keys}) INTO NAME feature VALUE value)")
+
+
 def _union_sql(long, wide, more=()):
     """SQL: the twins of a set's parts under each other."""
-    keys = "(dataset, repertoire_id)"
     parts = [f"SELECT dataset, repertoire_id, feature, value FROM ({ORACLES[n]})" for n in long]
-    parts += [f"SELECT dataset, repertoire_id, feature, value FROM (UNPIVOT (SELECT dataset, repertoire_id, COLUMNS(* EXCLUDE {keys})::DOUBLE FROM ({ORACLES[n]})) "
-              f"ON COLUMNS(* EXCLUDE {keys}) INTO NAME feature VALUE value)" for n in wide]
+    parts += [_cells(ORACLES[n]) for n in wide]
     return " UNION ALL ".join([*parts, *more])
 
 
 _SEX = "SELECT dataset, repertoire_id, 'meta_sex_male' AS feature, CASE WHEN upper(sex) IN ('M', 'MALE') THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM metadata"
+_SEX += f""" UNION ALL SELECT dataset, repertoire_id, 'meta_race_white', CASE WHEN contains(lower(race), 'white') THEN 1.0 ELSE 0.0 END FROM metadata WHERE dataset = 'train_dataset_7'
+UNION ALL SELECT * FROM ({ORACLES['meta_features_run']})"""
 _BASE = (["kmer_freq", "kmer_positional", "family_usage"], ["physchem", "length_stats", "richness", "clone_size"])
 
 
@@ -72,16 +67,22 @@ def _set_query(feature_set, mine=None, ks=(3, 4), sql=None):
     @query(f"extract_{feature_set}", sql)
     def _(t):
         mined = mine(t.rearrangements, t.metadata) if mine else None
-        return rounded(extract_features(t.rearrangements, mined, t.metadata, ks, feature_set))
+        features = extract_features(t.rearrangements, mined, t.metadata, ks, feature_set)
+        # means of few letters often end in a five: their twin rounds to eight places first
+        fine = F.when(F.col("feature").startswith("atchley_"), F.round("value", 8)).otherwise(F.col("value"))
+        return rounded(features.withColumn("value", fine))
 
 
 _set_query("significant", clonotypes.mine_fisher_greater, sql=_union_sql(_BASE[0], [*_BASE[1], "public_hits_sig"], [_SEX]))
-_set_query("extended", clonotypes.mine_fisher)
-_set_query("pairs", clonotypes.mine_by_dataset)
+_set_query("extended", clonotypes.mine_fisher, sql=_union_sql(
+    _BASE[0], ["physchem", "length_stats", "richness", "public_hits_signed"],
+    [_cells(ORACLES["atchley"]), _cells(ORACLES["clone_size_extended"], "div_"), _SEX]))
+_set_query("pairs", clonotypes.mine_by_dataset, sql=_union_sql(
+    [*_BASE[0], "vj_family"], ["physchem", "length_dist", "richness", "clone_size"], [_cells(oracle_text(hits_by_dataset())), _SEX]))
 _set_query("counts", ks=(3, 4, 5), sql=_union_sql(["kmer_multiscale", "raw_usage"], ["seq_clonality", "length_shape"]))
 _set_query("stacked", ks=(3, 4, 5), sql=_union_sql(["kmer_multiscale", "family_pair_usage"], ["seq_diversity", "length_stats_full"]))
 _set_query("usage", ks=(3, 4, 5), sql=_union_sql(["kmer_multiscale", "raw_usage50"], ["seq_clonality_cum"]))
-_set_query("simple", ks=(3,))
+_set_query("simple", ks=(3,), sql=_union_sql(["raw_usage_k3"], ["length_stats_full"], [f"SELECT dataset, repertoire_id, feature, value FROM ({ORACLES['kmer_freq_raw']}) WHERE feature LIKE 'k3%'"]))
 _set_query("hashed")
 
 
@@ -131,7 +132,9 @@ def _(t):
     return folds.groupBy("dataset", "label_positive", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stratified_fold_ids")
+@query("stratified_fold_ids", """WITH h AS (SELECT dataset, repertoire_id, label_positive, ('0x' || substr(md5(concat_ws('|', '42', dataset, repertoire_id)), 1, 12))::BIGINT AS h FROM metadata),
+n AS (SELECT dataset, least(5, greatest(2, least(count(*) FILTER (label_positive), count(*) FILTER (NOT label_positive)))) AS n FROM metadata GROUP BY ALL)
+SELECT dataset, repertoire_id, label_positive, ((row_number() OVER (PARTITION BY dataset, label_positive ORDER BY h, repertoire_id) - 1) % n)::INT AS fold FROM h JOIN n USING (dataset)""")
 def _(t):
     return model.stratified_folds(t.metadata, 5, 42, ["dataset"]).select(*REP, "label_positive", "fold")
 
@@ -177,7 +180,7 @@ SELECT feature, round(n * 0.30::DOUBLE + t * 0.25::DOUBLE + abs(n - 200) * 0.15:
 def _(t):
     v = (t.rearrangements.where(F.col("v_call").isNotNull()).groupBy(F.concat(F.lit("v_"), "v_call").alias("feature"))
          .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("templates").alias("t")))
-    cells = [("xgboost", F.col("n")), ("catboost", F.col("t")), ("logreg", F.col("n") - 200)]
+    cells = [("deep_boost", F.col("n")), ("forest", F.col("t")), ("logreg", F.col("n") - 200)]
     rows = v.select("feature", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), c.alias("importance")) for m, c in cells])))
     return rounded(ensemble.merge_importance(rows))
 

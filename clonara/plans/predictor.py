@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from clonara.constants import REP
+from clonara.constants import MODEL_TOP_N, MODEL_TOP_N_DEFAULT, REP
 from clonara.operators import align, clonotypes, model, ranking
 from clonara.operators.reports import default_score
 from clonara.plans.features import extract_features
@@ -24,10 +24,11 @@ class RepertoirePredictor:
     max_features: int = 500
     candidates: int = 2000
     gain_rounds: int = 30
-    max_files: int = 30
+    max_files: int | None = None
     min_freq: float = 0.15
     enrichment: float = 5.0
-    top_n: int = 2000
+    top_n: int | None = MODEL_TOP_N_DEFAULT
+    widths: dict[int, int] | None = field(default_factory=lambda: dict(MODEL_TOP_N))
     ks: tuple[int, ...] = (3, 4)
     feature_set: str = "base"
     space: model.FeatureSpace | None = field(default=None, repr=False)
@@ -37,7 +38,7 @@ class RepertoirePredictor:
     metadata: DataFrame | None = field(default=None, repr=False)
 
     def mine(self, rows: DataFrame, metadata: DataFrame) -> DataFrame:
-        return clonotypes.mine_enriched(rows, metadata, self.max_files, self.min_freq, self.enrichment, self.top_n)
+        return clonotypes.mine_enriched(rows, metadata, self.max_files, self.min_freq, self.enrichment, self.top_n, widths=self.widths)
 
     def fit(self, rows: DataFrame, metadata: DataFrame) -> "RepertoirePredictor":
         """Mine, extract and fit on the rows of one training dataset."""
@@ -80,12 +81,12 @@ class RepertoirePredictor:
 
     def identify_associated_sequences(self, k: int = 50000) -> DataFrame:
         """Exactly ``k`` ranked output rows for the training dataset."""
-        return ranked_rows(self.rows, self.metadata, self.mined, self.kmer_weights(), k)
+        return ranked_rows(self.rows, self.metadata, self.mined, self.kmer_weights(), k, self.max_files)
 
 
-def ranked_rows(rows: DataFrame, metadata: DataFrame, mined: DataFrame, weights: DataFrame, k: int) -> DataFrame:
-    ranked = ranking.rank_gain(rows, metadata, mined, weights, k)
-    calls = ranking.vj_lookup(ranked, rows, metadata)
+def ranked_rows(rows: DataFrame, metadata: DataFrame, mined: DataFrame, weights: DataFrame, k: int, files: int | None = None) -> DataFrame:
+    ranked = ranking.rank_gain(rows, metadata, mined, weights, k, files)
+    calls = ranking.vj_lookup(ranked, rows, metadata, files, files)
     return ranking.repair_sequences(ranking.sequence_rows(ranked, calls, metadata, k))
 
 
@@ -112,5 +113,5 @@ def run_all(rows: DataFrame, metadata: DataFrame, test_rows: DataFrame, test_rep
         weights.append(predictor.kmer_weights().withColumn("dataset", F.lit(name)))
         of = F.col("dataset").isin([t for t, train in pairs if train == name])
         predictions.append(predictor.predict_features(test_features.where(of), test_repertoires.where(of)))
-    sequences = ranked_rows(rows, metadata, mined, align.union_all(weights), k)
+    sequences = ranked_rows(rows, metadata, mined, align.union_all(weights), k, settings.max_files)
     return align.build_submission(align.union_all(predictions), sequences)

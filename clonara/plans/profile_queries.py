@@ -200,7 +200,7 @@ def _(t):
     return rounded(diversity.clone_size(t.rearrangements))
 
 
-@query("clone_size_v9", _clones(_COERCED, """SELECT dataset, repertoire_id, round(he / ln(2), 6) AS shannon, round(1 - gs, 6) AS simpson,
+@query("clone_size_extended", _clones(_COERCED, """SELECT dataset, repertoire_id, round(he / ln(2), 6) AS shannon, round(1 - gs, 6) AS simpson,
 round(greatest(0, g), 6)::DOUBLE AS gini, round(half / n, 6) AS d50,
 round(1 - he / ln(2) / CASE WHEN n > 1 THEN log2(n) ELSE 1 END, 6) AS clonality, n::DOUBLE AS richness FROM a"""))
 def _(t):

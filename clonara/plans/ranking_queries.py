@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clonara.constants import REP
 from clonara.operators import clonotypes, kmers, ranking
-from clonara.plans.clonotype_queries import enriched_cte, fisher_cte, greater_cte
+from clonara.plans.clonotype_queries import _DRAW, _LAST, enriched_cte, fisher_cte, greater_cte
 from clonara.plans.kmer_queries import _occ, _union
 from clonara.plans.profile_queries import rounded
 from clonara.plans.registry import query
@@ -30,9 +30,8 @@ def coefficients(t):
     return weights(t).select("k", "kmer", (F.col("weight") - 48).alias("coefficient"), (1 + F.col("weight") % 5).alias("scale"))
 
 
-def _files(name, n, cond="label_positive", part="dataset, label_positive"):
-    limit = "" if n is None else f"QUALIFY row_number() OVER (PARTITION BY {part} ORDER BY repertoire_id) <= {n}"
-    return f"""{name} AS (SELECT r.* FROM rearrangements r JOIN (SELECT dataset, repertoire_id FROM metadata WHERE {cond} {limit}) f
+def _files(name, cond="label_positive"):
+    return f"""{name} AS (SELECT r.* FROM rearrangements r JOIN (SELECT dataset, repertoire_id FROM metadata WHERE {cond}) f
   ON f.dataset = r.dataset AND f.repertoire_id = r.repertoire_id)"""
 
 
@@ -57,7 +56,7 @@ _VALID = "regexp_matches(junction_aa, '^[ACDEFGHIKLMNPQRSTVWY]+$')"
 _ALPHA = "regexp_matches(junction_aa, '^[A-Za-z]+$')"
 
 
-@query("rank_v5", f"""WITH {enriched_cte()}, {_files('pf_', 50)}, o AS (SELECT DISTINCT dataset, junction_aa FROM pf_ WHERE length(junction_aa) > 0),
+@query("rank_mined_first", f"""WITH {enriched_cte()}, {_files('pf_')}, o AS (SELECT DISTINCT dataset, junction_aa FROM pf_ WHERE length(junction_aa) > 0),
 sc AS (SELECT coalesce(o.dataset, m.dataset) AS dataset, coalesce(o.junction_aa, m.junction_aa) AS junction_aa, coalesce(score, 0)::DOUBLE AS score
   FROM mined m FULL JOIN o ON o.dataset = m.dataset AND o.junction_aa = m.junction_aa) {_top(50000)}""")
 def _(t):
@@ -65,7 +64,7 @@ def _(t):
     return rounded(ranking.rank_clone_scores(r, m, clonotypes.mine_enriched(r, m)))
 
 
-@query("rank_v8", f"""WITH {enriched_cte()}, {_WSQL}, {_files('pf_', 50)}, n AS (SELECT dataset, junction_aa, count(*) AS n FROM pf_ WHERE {_VALID} GROUP BY ALL),
+@query("rank_gain", f"""WITH {enriched_cte()}, {_WSQL}, {_files('pf_')}, n AS (SELECT dataset, junction_aa, count(*) AS n FROM pf_ WHERE {_VALID} GROUP BY ALL),
 {_score('g', 'n', (3, 4), False)}, sc AS (SELECT dataset, junction_aa, 2 * coalesce(score, 0) + coalesce(n, 0) * coalesce(ks, 0) AS score
   FROM (SELECT dataset, junction_aa FROM n UNION SELECT dataset, junction_aa FROM mined) LEFT JOIN n USING (dataset, junction_aa)
   LEFT JOIN g USING (dataset, junction_aa) LEFT JOIN mined USING (dataset, junction_aa) WHERE {_VALID}) {_top(50000)}""")
@@ -74,16 +73,16 @@ def _(t):
     return rounded(ranking.rank_gain(r, m, clonotypes.mine_enriched(r, m), weights(t)))
 
 
-@query("rank_v7", f"""WITH {greater_cte()}, {_WSQL}, {_files('pf_', 80)}, n AS (SELECT dataset, junction_aa, count(*) AS n FROM pf_ WHERE {_ALPHA} GROUP BY ALL),
+@query("rank_gain_bonus", f"""WITH {greater_cte()}, {_WSQL}, {_files('pf_')}, n AS (SELECT dataset, junction_aa, count(*) AS n FROM pf_ WHERE {_ALPHA} GROUP BY ALL),
 {_score('g', 'n', (3, 4), False)}, sc AS (SELECT dataset, junction_aa, coalesce(score, 0) + CASE WHEN significant THEN 2 ELSE 0 END + coalesce(n, 0) * coalesce(ks, 0) AS score
   FROM (SELECT dataset, junction_aa FROM n UNION SELECT dataset, junction_aa FROM mined) LEFT JOIN n USING (dataset, junction_aa)
-  LEFT JOIN g USING (dataset, junction_aa) LEFT JOIN mined USING (dataset, junction_aa)), k AS ({_top(1500)}) SELECT * FROM k WHERE {_VALID}""")
+  LEFT JOIN g USING (dataset, junction_aa) LEFT JOIN mined USING (dataset, junction_aa)), k AS ({_top(50000)}) SELECT * FROM k WHERE {_VALID}""")
 def _(t):
     r, m = t.rearrangements, t.metadata
-    return rounded(ranking.rank_gain_bonus(r, m, clonotypes.mine_fisher_greater(r, m), weights(t), k=1500))
+    return rounded(ranking.rank_gain_bonus(r, m, clonotypes.mine_fisher_greater(r, m), weights(t)))
 
 
-@query("rank_v9", f"""WITH {fisher_cte()}, {_WSQL}, {_files('pf_', 50)}, {_files('nf_', 30, 'NOT label_positive')},
+@query("rank_difference", f"""WITH {fisher_cte()}, {_WSQL}, {_files('pf_')}, {_files('nf_', 'NOT label_positive')},
 pc AS (SELECT dataset, junction_aa, count(*) AS p FROM pf_ WHERE length(junction_aa) >= 8 GROUP BY ALL),
 q AS (SELECT dataset, junction_aa, count(*) AS q FROM nf_ WHERE junction_aa IS NOT NULL GROUP BY ALL),
 u AS (SELECT dataset, junction_aa FROM pc UNION SELECT dataset, junction_aa FROM mined WHERE direction = 'positive'),
@@ -95,13 +94,13 @@ def _(t):
     return rounded(ranking.rank_difference(r, m, clonotypes.mine_fisher(r, m), weights(t)))
 
 
-@query("rank_freq", f"""WITH {_files('pf_', 15)}, sc AS (SELECT dataset, junction_aa, count(*)::DOUBLE AS score FROM pf_ WHERE length(junction_aa) >= 8 AND {_ALPHA} GROUP BY ALL)
+@query("rank_freq", f"""WITH {_files('pf_')}, sc AS (SELECT dataset, junction_aa, count(*)::DOUBLE AS score FROM pf_ WHERE length(junction_aa) >= 8 AND {_ALPHA} GROUP BY ALL)
 {_top(50000, "dataset, junction_aa, 'TRBV20-1' AS v_call, 'TRBJ2-7' AS j_call")}""")
 def _(t):
     return rounded(ranking.rank_frequency(t.rearrangements, t.metadata))
 
 
-@query("rank_distinct_kmers", f"""WITH {_files('pf_', None)}, d AS (SELECT DISTINCT dataset, junction_aa FROM pf_ WHERE junction_aa IS NOT NULL),
+@query("rank_distinct_kmers", f"""WITH {_files('pf_')}, d AS (SELECT DISTINCT dataset, junction_aa FROM pf_ WHERE junction_aa IS NOT NULL),
 w AS (SELECT DISTINCT dataset, junction_aa, substr(upper(junction_aa), i, 4) AS kmer FROM (SELECT dataset, junction_aa, unnest(range(1, length(junction_aa) - 2)) AS i FROM d)),
 sc AS (SELECT dataset, junction_aa, count(kmer) FILTER (regexp_matches(kmer, '^[ACDEFGHIKLMNPQRSTVWY]+$'))::DOUBLE AS score FROM d LEFT JOIN w USING (dataset, junction_aa) GROUP BY ALL)
 {_top(50000)}""")
@@ -140,20 +139,24 @@ def _(t):
     return rounded(ranking.rank_top_weights(t.rearrangements, three))
 
 
-@query("rank_quota")
+@query("rank_quota", f"""WITH {_WSQL}, q AS (SELECT *, {_DRAW} AS u FROM rearrangements r WHERE EXISTS (SELECT 1 FROM imp WHERE k = 3 AND weight >= 80 AND contains(r.junction_aa, imp.kmer))),
+c AS (SELECT dataset, count(*) FILTER (label_positive) AS np, count(*) FILTER (NOT label_positive) AS nn FROM q GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY dataset, label_positive ORDER BY u, {_LAST})::INT AS rank FROM q)
+SELECT dataset, repertoire_id, label_positive, junction_aa, v_call, j_call, rank FROM k JOIN c USING (dataset)
+WHERE rank <= CASE WHEN label_positive THEN least(35000, np) ELSE least(50000 - least(35000, np), nn) END""")
 def _(t):
     important = weights(t, (3,)).where(F.col("weight") >= 80)
     key = ["row_order", "junction_aa", "v_call", "j_call", "templates"]
-    return ranking.rank_quota(t.rearrangements, important, key, k=2000)
+    return ranking.rank_quota(t.rearrangements, important, key, k=50000)
 
 
 @query("rank_quota_sizes", f"""WITH {_WSQL}, q AS (SELECT dataset, label_positive, count(*) AS n FROM rearrangements r WHERE EXISTS (SELECT 1 FROM imp
-  WHERE k = 3 AND weight >= 80 AND contains(r.junction_aa, imp.kmer)) GROUP BY ALL), p AS (SELECT dataset, least(1400, coalesce(max(n) FILTER (label_positive), 0)) AS tp FROM q GROUP BY ALL)
-SELECT dataset, label_positive, CASE WHEN label_positive THEN least(1400, n) ELSE least(2000 - tp, n) END AS n FROM q JOIN p USING (dataset)""")
+  WHERE k = 3 AND weight >= 80 AND contains(r.junction_aa, imp.kmer)) GROUP BY ALL), p AS (SELECT dataset, least(35000, coalesce(max(n) FILTER (label_positive), 0)) AS tp FROM q GROUP BY ALL)
+SELECT dataset, label_positive, CASE WHEN label_positive THEN least(35000, n) ELSE least(50000 - tp, n) END AS n FROM q JOIN p USING (dataset)""")
 def _(t):
     important = weights(t, (3,)).where(F.col("weight") >= 80)
     key = ["row_order", "junction_aa", "v_call", "j_call", "templates"]
-    return (ranking.rank_quota(t.rearrangements, important, key, k=2000).groupBy("dataset", "label_positive")
+    return (ranking.rank_quota(t.rearrangements, important, key, k=50000).groupBy("dataset", "label_positive")
             .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -186,7 +189,7 @@ def _(t):
     return rounded(ranking.rank_attention(w.withColumn("weight", F.col("t") / F.col("mass"))))
 
 
-_LOOK = f"""{_files('a_', 50)}, {_files('b_', 30, 'TRUE', 'dataset')},
+_LOOK = f"""{_files('a_')}, {_files('b_', 'TRUE')},
 x AS (SELECT dataset, junction_aa, v_call, j_call, 0 AS late, repertoire_id, row_order FROM a_ UNION ALL
   SELECT dataset, junction_aa, v_call, j_call, 1, repertoire_id, row_order FROM b_),
 vj AS (SELECT dataset, junction_aa, v_call, j_call FROM x SEMI JOIN mined USING (dataset, junction_aa) WHERE v_call <> ''
@@ -207,18 +210,18 @@ def _ranked_mined(t):
     return ranking._ranked(clonotypes.mine_enriched(r, m).select("dataset", "junction_aa", "score"), 50000).drop("score")
 
 
-_GRID = "g AS (SELECT dataset, unnest(range(1, 401))::INT AS rank FROM (SELECT DISTINCT dataset FROM metadata))"
+_GRID = "g AS (SELECT dataset, unnest(range(1, 50001))::INT AS rank FROM (SELECT DISTINCT dataset FROM metadata))"
 
 
 @query("pad_topk", f"WITH {enriched_cte()}, {_RANKED}, {_GRID} SELECT g.dataset, g.rank, coalesce(junction_aa, 'CASSXXXXF') AS junction_aa FROM g LEFT JOIN k USING (dataset, rank)")
 def _(t):
-    return ranking.pad_top_k(_ranked_mined(t), t.metadata, 400)
+    return ranking.pad_top_k(_ranked_mined(t), t.metadata, 50000)
 
 
 @query("pad_topk_variable", f"""WITH {enriched_cte()}, {_RANKED}, {_GRID} SELECT g.dataset, g.rank,
 coalesce(junction_aa, 'CASS' || repeat('X', (g.rank - 1) % 10 + 5) || 'F') AS junction_aa FROM g LEFT JOIN k USING (dataset, rank)""")
 def _(t):
-    return ranking.pad_variable(_ranked_mined(t), t.metadata, 400)
+    return ranking.pad_variable(_ranked_mined(t), t.metadata, 50000)
 
 
 @query("rank_ids", f"WITH {enriched_cte()}, {_RANKED} SELECT dataset, junction_aa, rank, dataset || '_seq_top_' || rank AS ID FROM k")

@@ -322,7 +322,14 @@ def _(t):
     return rounded(reports.class_comparison(labelled_stats(t)))
 
 
-@query("class_ttest_p")
+@query("class_ttest_p", f"""WITH {_STATS}, {_LONG}, t AS (SELECT dataset, feature, m1, m0, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1 / n1 + 1 / n0)) AS t,
+  n1 + n0 - 2 AS df FROM g), a AS (SELECT *, atan(abs(t) / sqrt(df)) AS th FROM t),
+p AS (SELECT *, CASE WHEN df % 2 = 0 THEN sin(th) * list_sum(list_transform(range(0, (df // 2)::BIGINT),
+    lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4)) * power(cos(th), 2 * k)))
+  WHEN df = 1 THEN 2 * th / pi() ELSE 2 / pi() * (th + sin(th) * list_sum(list_transform(range(0, ((df - 1) // 2)::BIGINT),
+    lambda k: exp(k * ln(4) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * power(cos(th), 2 * k + 1)))) END AS inside FROM a)
+SELECT dataset, feature, round(m1, 6) AS positive_mean, round(m0, 6) AS negative_mean, round(m1 - m0, 6) AS difference,
+round(100 * (m1 / m0 - 1), 6) AS difference_pct, round(t, 6) AS t, df, CASE WHEN df > 0 AND t IS NOT NULL AND NOT isnan(t) THEN round(greatest(1 - inside, 0), 6) ELSE 'nan'::DOUBLE END AS p_value FROM p""")
 def _(t):
     return rounded(reports.class_ttest(labelled_stats(t)))
 
@@ -393,12 +400,12 @@ def _(t):
     return rounded(pooling.pool_softmax(t.embedding_bags.withColumn("score", (F.col("vec_id") % 7) / 3.0), ["bag"]))
 
 
-@query("pool_default", f"""WITH {_X}, p AS (SELECT bag, pos, avg(v) AS value FROM x GROUP BY ALL), b AS (SELECT DISTINCT vec_id % 75 AS bag FROM embedding_bags),
+@query("pool_default", f"""WITH {_X}, p AS (SELECT bag, pos, avg(v) AS value FROM x GROUP BY ALL), b AS (SELECT DISTINCT CAST(floor(vec_id / 8) AS BIGINT) AS bag FROM embedding_bags),
 g AS (SELECT bag, unnest(range((SELECT max(len(embedding)) FROM embedding_bags))) AS pos FROM b)
 SELECT g.bag, g.pos::INT AS pos, round(coalesce(value, 0), 6) AS value FROM g LEFT JOIN p USING (bag, pos)""")
 def _(t):
     e = t.embedding_bags
     width = e.select(F.max(F.size("embedding"))).first()[0]
-    bags = e.select((F.col("vec_id") % 75).alias("bag")).distinct()
+    bags = e.select(F.floor(F.col("vec_id") / 8).alias("bag")).distinct()
     out = pooling.pool_default(bags, pooling.pool(e, ["bag"]), ["bag"], width)
     return rounded(out.select("bag", F.posexplode("vector").alias("pos", "value")))

@@ -13,27 +13,23 @@ from clonara.plans.registry import query
 from clonara.session import shared_path
 from clonara.sources import repertoires, stores
 
-_written: dict[tuple, str] = {}
 _COLUMNS = ["junction_aa", "v_call", "j_call", "templates"]
 
 
-def _once(t, name, write):
-    """Write a layout once per session and data folder."""
-    key = (t.spark.sparkContext.applicationId, t.root, name)
-    if key not in _written:
-        path = shared_path(t.spark, name)
-        write(path)
-        _written[key] = path
-    return _written[key]
+def _layout(t, name, write):
+    """Write a layout to a folder of its own."""
+    path = shared_path(t.spark, name)
+    write(path)
+    return path
 
 
 def repertoire_root(t):
-    return _once(t, "repertoires", lambda p: stores.save_repertoires(t.rearrangements.select(*REP, *_COLUMNS), p))
+    return _layout(t, "repertoires", lambda p: stores.save_repertoires(t.rearrangements.select(*REP, *_COLUMNS), p))
 
 
 def metadata_root(t):
     rows = lambda: t.metadata.withColumn("label_positive", F.initcap(F.col("label_positive").cast("string")))
-    return _once(t, "metadata", lambda p: rows().write.option("header", True).partitionBy("dataset").csv(p))
+    return _layout(t, "metadata", lambda p: rows().write.option("header", True).partitionBy("dataset").csv(p))
 
 
 def _names(t, kind="train"):
@@ -73,7 +69,7 @@ def _(t):
 @query("scan_sequences", """SELECT dataset, repertoire_id, junction_aa, v_call FROM rearrangements WHERE junction_aa IS NOT NULL""")
 def _(t):
     rows = t.rearrangements.where(F.col("junction_aa").isNotNull()).select(*REP, "junction_aa", "v_call")
-    path = _once(t, "sequences", lambda p: stores.save_table(rows, f"{p}/sequences.tsv"))
+    path = _layout(t, "sequences", lambda p: stores.save_table(rows, f"{p}/sequences.tsv"))
     return repertoires.scan_sequences(t.spark, f"{path}/sequences.tsv")
 
 
@@ -86,7 +82,7 @@ def _(t):
 (SELECT repertoire_id FROM rearrangements WHERE junction_aa LIKE 'CASSADED%')""")
 def _(t):
     rows = t.rearrangements.where(F.col("junction_aa").startswith("CASSADED")).select(*REP, *_COLUMNS)
-    root = _once(t, "partial", lambda p: stores.save_repertoires(rows, p))
+    root = _layout(t, "partial", lambda p: stores.save_repertoires(rows, p))
     return repertoires.missing_files(t.metadata, repertoires.list_files(t.spark, root))
 
 
@@ -130,15 +126,16 @@ def _(t):
 # ---- stores ------------------------------------------------------------------------
 
 
-def _counts(t):
-    return (t.rearrangements.where(F.col("v_call").isNotNull()).groupBy(*REP, F.concat(F.lit("v_"), text.gene_family("v_call")).alias("feature"))
+def _counts(t, rows=None):
+    rows = t.rearrangements if rows is None else rows
+    return (rows.where(F.col("v_call").isNotNull()).groupBy(*REP, F.concat(F.lit("v_"), text.gene_family("v_call")).alias("feature"))
             .agg(F.count(F.lit(1)).cast("double").alias("value")))
 
 
 @query("save_tsv", """SELECT dataset, repertoire_id, junction_aa, v_call, nullif(j_call, '') AS j_call, CAST(templates AS VARCHAR) AS templates FROM rearrangements""")
 def _(t):
     rows = t.rearrangements.select(*REP, *_COLUMNS)
-    path = _once(t, "sink", lambda p: stores.save_table(rows, p))
+    path = _layout(t, "sink", lambda p: stores.save_table(rows, p))
     return t.spark.read.option("sep", "\t").option("header", True).csv(path)
 
 
@@ -155,19 +152,22 @@ def _(t):
         rows = seqs.withColumn("ID", F.concat("dataset", F.lit("_seq_"), "junction_aa"))
         stores.save_table(align.submission_rows(rows, sequence=True), f"{p}/all_important_sequences.tsv")
 
-    return stores.concat_outputs(t.spark, _once(t, "outputs", write))
+    return stores.concat_outputs(t.spark, _layout(t, "outputs", write))
 
 
 @query("resume_pending", "SELECT dataset, repertoire_id FROM metadata WHERE dataset <> 'train_dataset_1'")
 def _(t):
-    path = _once(t, "store", lambda p: stores.FeatureStore(t.spark, p).write(_counts(t).where(F.col("dataset") == "train_dataset_1")))
-    return stores.FeatureStore(t.spark, path).pending(t.metadata)
+    def write(path):
+        store, first = stores.FeatureStore(t.spark, path), t.metadata.where(F.col("dataset") == "train_dataset_1")
+        store.fill(first, t.rearrangements, lambda rows: _counts(t, rows))
+
+    return stores.FeatureStore(t.spark, _layout(t, "store", write)).pending(t.metadata)
 
 
 @query("feature_cache", """SELECT dataset, repertoire_id, 'v_' || upper(split_part(split_part(v_call, '*', 1), '-', 1)) AS feature, count(*)::DOUBLE AS value
 FROM rearrangements WHERE v_call IS NOT NULL GROUP BY ALL""")
 def _(t):
-    path = _once(t, "cache", lambda p: None)
+    path = _layout(t, "cache", lambda p: None)
     return stores.cached_table(t.spark, path, lambda: _counts(t))
 
 
@@ -178,10 +178,9 @@ def _(t):
     return rounded(e.select("vec_id", F.size("embedding").alias("width"), total.alias("total")))
 
 
-@query("feature_vocab", """WITH m AS (SELECT dataset, repertoire_id FROM metadata QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY repertoire_id) <= 10)
-SELECT DISTINCT 'v_' || upper(split_part(split_part(v_call, '*', 1), '-', 1)) AS feature FROM rearrangements JOIN m USING (dataset, repertoire_id) WHERE v_call IS NOT NULL""")
+@query("feature_vocab", """SELECT DISTINCT 'v_' || upper(split_part(split_part(v_call, '*', 1), '-', 1)) AS feature FROM rearrangements WHERE v_call IS NOT NULL""")
 def _(t):
-    return stores.feature_vocabulary(_counts(t), t.metadata, 10)
+    return stores.feature_vocabulary(_counts(t), t.metadata)
 
 
 # ---- scalar rules ------------------------------------------------------------------
@@ -255,18 +254,19 @@ def _(t):
     return x.select("vec_id", "pos", text.finite(broken).alias("value"))
 
 
-@query("meta_features", """WITH m AS (SELECT *, CAST(regexp_extract(dataset, '[0-9]+') AS INT) + 5 AS n FROM metadata)
+@query("meta_features", """WITH m AS (SELECT *, CAST(regexp_extract(dataset, '[0-9]+') AS INT) AS n FROM metadata)
 SELECT dataset, repertoire_id, 'meta_sex_male' AS feature, CASE WHEN upper(sex) IN ('M', 'MALE') THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM m
 UNION ALL SELECT dataset, repertoire_id, 'meta_race_white', CASE WHEN contains(lower(race), 'white') THEN 1.0 ELSE 0.0 END FROM m WHERE n = 7
 UNION ALL SELECT dataset, repertoire_id, 'meta_hla_A', CASE WHEN hla_a IS NOT NULL THEN 1.0 ELSE 0.0 END FROM m WHERE n = 8""")
 def _(t):
-    m = t.metadata.withColumn("n", text.dataset_id("dataset") + 5).withColumnRenamed("hla_a", "A")
+    m = t.metadata.withColumn("n", text.dataset_id("dataset")).withColumnRenamed("hla_a", "A")
     return text.metadata_features(m, "n").where(F.col("feature") != "meta_run_hash")
 
 
-@query("meta_features_run")
+@query("meta_features_run", """SELECT dataset, repertoire_id, 'meta_run_hash' AS feature, (('0x' || substr(md5(coalesce(sequencing_run_id, 'nan')), 1, 8))::BIGINT % 100) / 100.0::DOUBLE AS value
+FROM metadata WHERE dataset = 'train_dataset_7'""")
 def _(t):
-    m = t.metadata.withColumn("n", text.dataset_id("dataset") + 5)
+    m = t.metadata.withColumn("n", text.dataset_id("dataset"))
     return text.metadata_features(m, "n").where(F.col("feature") == "meta_run_hash")
 
 

@@ -8,6 +8,7 @@ Files split into tasks by size, so one huge repertoire is read by many tasks.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -93,43 +94,62 @@ def parsed_lines(lines: DataFrame, columns: list[str], *keep: Column) -> DataFra
     return rows.select(*[F.col(f"_f.`{c}`").alias(c) for c in columns], *[k for k in rows.columns if k != "_f"])
 
 
-def _read_one(spark: SparkSession, root: str, dataset: str) -> DataFrame | None:
-    """All repertoires of one dataset; a file with another header fails the scan."""
-    for folder in (f"{root}/{dataset}", f"{root}/dataset={dataset}"):
-        try:
-            lines = spark.read.option("pathGlobFilter", "*.tsv").option("recursiveFileLookup", "true").text(folder)
-        except AnalysisException:
-            continue
-        first = lines.first()
-        if first is None:
-            continue
-        header = first.value
-        columns = [c.strip('"') for c in header.split("\t")]
-        path = F.col("_metadata.file_path")
-        other = F.raise_error(F.concat(F.lit("header differs in "), path)).cast("boolean")
-        data = lines.where(F.when(F.col("value") == header, F.lit(False)).when(header_line(F.col("value")), other).otherwise(F.lit(True)))
-        raw = parsed_lines(data, columns, _repertoire_of(path).alias("_repertoire"))
-        names = {ALIASES.get(c, c): c for c in columns}
-        given = {w: missing_to_null(names[w]) for w in WANTED if w in names}
-        text = lambda w: given.get(w, F.lit("")).alias(w)
-        templates = coerce_templates(given["templates"]) if "templates" in given else F.lit(1.0)
-        extra = [given["d_call"].alias("d_call")] if "d_call" in given else []
-        return raw.select(F.lit(dataset).alias("dataset"), F.col("_repertoire").alias("repertoire_id"), text("junction_aa"),
-                          text("v_call"), text("j_call"), *extra, templates.alias("templates"))
-    return None
+def _lines(spark: SparkSession, paths) -> DataFrame | None:
+    try:
+        return spark.read.option("pathGlobFilter", "*.tsv").option("recursiveFileLookup", "true").text(paths)
+    except AnalysisException:
+        return None
+
+
+def file_headers(spark: SparkSession, root: str, datasets: list[str] | None = None) -> DataFrame:
+    """(path, dataset, repertoire_id, header) of every repertoire file; header is null where no line names the sequence column.
+
+    A file written in several parts may repeat its header; the parts are files of their own here.
+    """
+    path = F.col("_metadata.file_path")
+    lines = _lines(spark, root)
+    if lines is None:
+        return spark.createDataFrame([], "path string, dataset string, repertoire_id string, header string")
+    found = lines.select(path.alias("path"), F.when(header_line(F.col("value")), F.col("value")).alias("header"))
+    found = found.groupBy("path").agg(F.min("header").alias("header"))
+    found = found.select("path", _dataset_of(F.col("path")).alias("dataset"), _repertoire_of(F.col("path")).alias("repertoire_id"), "header")
+    return found if datasets is None else found.where(F.col("dataset").isin(list(datasets)))
+
+
+def unreadable_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files that give no rows because no line of theirs names the sequence column, empty ones among them."""
+    readable = file_headers(spark, root).where(F.col("header").isNotNull()).select(*REP).distinct()
+    return list_files(spark, root).select(*REP, "filename", "bytes").join(readable, REP, "left_anti")
+
+
+def _read_form(spark: SparkSession, paths: list[str], header: str) -> DataFrame:
+    """Rows of all files that have one header."""
+    columns = [c.strip('"') for c in header.split("\t")]
+    path = F.col("_metadata.file_path")
+    data = _lines(spark, paths).where(F.col("value") != header)
+    raw = parsed_lines(data, columns, _dataset_of(path).alias("_dataset"), _repertoire_of(path).alias("_repertoire"))
+    names = {ALIASES.get(c, c): c for c in columns}
+    given = {w: missing_to_null(names[w]) for w in WANTED if w in names}
+    text = lambda w: given.get(w, F.lit("")).alias(w)
+    templates = coerce_templates(given["templates"]) if "templates" in given else F.lit(1.0)
+    extra = [given["d_call"].alias("d_call")] if "d_call" in given else []
+    return raw.select(F.col("_dataset").alias("dataset"), F.col("_repertoire").alias("repertoire_id"), text("junction_aa"),
+                      text("v_call"), text("j_call"), *extra, templates.alias("templates"))
 
 
 def scan_repertoires(spark: SparkSession, root: str, datasets: list[str] | None = None) -> DataFrame:
-    """Rows of all repertoires of the datasets; absent columns are back-filled.
+    """Rows of all repertoires of the datasets; columns that a file lacks are back-filled.
 
-    One read per dataset, because each dataset has its own header.
+    Headers are found file by file in one job, then every different header is one read over its files. A file without
+    a header gives no rows; ``unreadable_files`` lists those. Paths and headers, one row per file, come to the driver,
+    which lists the files in any case.
     """
-    if datasets is None:
-        datasets = [r.dataset for r in list_datasets(list_files(spark, root)).collect()]
-    parts = [p for p in (_read_one(spark, root, d) for d in datasets) if p is not None]
-    if not parts:
+    forms: dict[str, list[str]] = {}
+    for r in file_headers(spark, root, datasets).where(F.col("header").isNotNull() & ~F.col("dataset").startswith(".")).collect():
+        forms.setdefault(r.header, []).append(unquote(r.path))
+    if not forms:
         return spark.createDataFrame([], "dataset string, repertoire_id string, junction_aa string, v_call string, j_call string, templates double")
-    return union_all(parts)
+    return union_all([_read_form(spark, sorted(paths), header) for header, paths in sorted(forms.items())])
 
 
 def scan_sequences(spark: SparkSession, path: str) -> DataFrame:

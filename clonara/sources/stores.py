@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clonara.constants import REP, SUBMISSION_COLUMNS
 from clonara.operators.align import union_all
+from clonara.session import materialize
 
 SUBMISSION_SCHEMA = ("ID string, dataset string, label_positive_probability double, junction_aa string, v_call string, j_call string")
 
@@ -59,16 +60,35 @@ class FeatureStore:
     def append(self, features: DataFrame) -> None:
         features.select(*REP, "feature", F.col("value").cast("double").alias("value")).write.mode("append").partitionBy("dataset").parquet(self.path)
 
+    def mark(self, repertoires: DataFrame) -> None:
+        """Note repertoires as finished, whether or not they have features."""
+        repertoires.select(*REP).write.mode("append").parquet(f"{self.path}-done")
+
     def done(self) -> DataFrame:
-        return self.read().select(*REP).distinct()
+        """Finished repertoires, from the list beside the store; the features are not read."""
+        try:
+            return self.spark.read.schema("dataset string, repertoire_id string").parquet(f"{self.path}-done").distinct()
+        except AnalysisException:
+            return self.spark.createDataFrame([], "dataset string, repertoire_id string")
 
     def pending(self, metadata: DataFrame) -> DataFrame:
-        """Repertoires still without features."""
+        """Repertoires that are not finished."""
         return metadata.select(*REP).join(self.done(), REP, "left_anti")
 
     def fill(self, metadata: DataFrame, rows: DataFrame, extract) -> None:
-        """Compute features of the pending repertoires only, and add them."""
-        self.append(extract(rows.join(self.pending(metadata), REP, "left_semi")))
+        """Compute features of the pending repertoires only, add them, then note all of these as finished.
+
+        Features left by a run that broke off before it noted them are replaced, not doubled.
+        """
+        pending = materialize(self.pending(metadata), "pending")
+        new = materialize(extract(rows.join(pending, REP, "left_semi")), "features")
+        left = materialize(self.read().where(F.col("dataset").isin([r.dataset for r in pending.select("dataset").distinct().collect()])), "stored")
+        broken = left.join(pending, REP, "left_semi")
+        if broken.take(1):
+            self.write(left.join(pending, REP, "left_anti").unionByName(new.select(*REP, "feature", "value")))
+        else:
+            self.append(new)
+        self.mark(pending)
 
 
 def cached_table(spark: SparkSession, path: str, build) -> DataFrame:
@@ -80,10 +100,12 @@ def cached_table(spark: SparkSession, path: str, build) -> DataFrame:
         return spark.read.parquet(path)
 
 
-def feature_vocabulary(features: DataFrame, metadata: DataFrame, n: int = 10) -> DataFrame:
-    """Sorted names of the features of the first ``n`` repertoires of each dataset."""
+def feature_vocabulary(features: DataFrame, metadata: DataFrame, n: int | None = None) -> DataFrame:
+    """Sorted names of the features, of all repertoires or the first ``n`` of each dataset."""
     from clonara.operators.sampling import first_repertoires
 
+    if n is None:
+        return features.select("feature").distinct().orderBy("feature")
     first = first_repertoires(metadata.select(*REP), n, by_label=False)
     return features.join(first, REP, "left_semi").select("feature").distinct().orderBy("feature")
 

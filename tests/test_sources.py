@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from clonara.session import shared_dir
 from clonara.sources import repertoires, stores
 from clonara.streaming.ingest import ingest_new
 
@@ -74,15 +75,19 @@ def test_empty_fields_are_a_row_and_blank_lines_are_not(spark, tmp_path):
     got = [tuple(r)[2:] for r in repertoires.scan_repertoires(spark, str(tmp_path)).orderBy("templates").collect()]
     assert got == [(None, None, None, 1.0), ("CASSF", "TRBV1", "TRBJ1", 2.0)]
     (d / "b.tsv").write_text("v_call\tjunction_aa\tj_call\ttemplates\nTRBV1\tCASSF\tTRBJ1\t2\n")
-    with pytest.raises(Exception, match="header differs"):
-        repertoires.scan_repertoires(spark, str(tmp_path)).collect()
+    (d / "c.tsv").write_text("cdr3_aa\tv_call\nCAWF\tTRBV2\n")
+    (d / "d.tsv").write_text("no header here\n1\t2\n")
+    (d / "e.tsv").write_text("")
+    got = {tuple(r)[1:] for r in repertoires.scan_repertoires(spark, str(tmp_path)).collect()}
+    assert got == {("a", None, None, None, 1.0), ("a", "CASSF", "TRBV1", "TRBJ1", 2.0), ("b", "CASSF", "TRBV1", "TRBJ1", 2.0), ("c", "CAWF", "TRBV2", "", 1.0)}
+    assert {r.repertoire_id for r in repertoires.unreadable_files(spark, str(tmp_path)).collect()} == {"d", "e"}
 
 
 def test_store_resumes(spark, rows, metadata, tmp_path):
     store = stores.FeatureStore(spark, str(tmp_path / "store"))
     assert store.pending(metadata).count() == 3
     feature = lambda df: df.groupBy("dataset", "repertoire_id").count().selectExpr("dataset", "repertoire_id", "'n' AS feature", "count AS value")
-    store.fill(metadata, rows.where("repertoire_id = 'r1'"), feature)
+    store.fill(metadata.where("repertoire_id = 'r1'"), rows, feature)
     assert {r.repertoire_id for r in store.pending(metadata).collect()} == {"r2", "r3"}
     store.fill(metadata, rows, feature)
     assert store.pending(metadata).count() == 0 and store.read().count() == 3
@@ -90,6 +95,28 @@ def test_store_resumes(spark, rows, metadata, tmp_path):
     assert store.read().count() == 2
 
 
+def test_store_notes_repertoires_without_features_and_mends_a_broken_run(spark, rows, metadata, tmp_path):
+    store = stores.FeatureStore(spark, str(tmp_path / "store"))
+    feature = lambda df: df.where("repertoire_id <> 'r2'").groupBy("dataset", "repertoire_id").count().selectExpr("dataset", "repertoire_id", "'n' AS feature", "count AS value")
+    store.append(feature(rows.where("repertoire_id = 'r1'")))  # a run that wrote features and stopped
+    assert store.pending(metadata).count() == 3
+    store.fill(metadata, rows, feature)
+    assert store.pending(metadata).count() == 0
+    assert sorted(r.repertoire_id for r in store.read().collect()) == ["r1", "r3"]
+
+
+def test_stages_need_a_shared_folder_outside_local_mode():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster())
+
+
 def test_cache_and_outputs(spark, tmp_path):
     path = str(tmp_path / "cache")
     assert stores.cached_table(spark, path, lambda: spark.range(3)).count() == 3
