@@ -25,9 +25,9 @@ from clonara.llm.common import WordHashes, chunks_of_groups, known_id, mixed, pa
 MIN_WORDS = 20
 GRAM = 5
 #: Words of documents that are settled against each other inside a task.
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 600_000
 #: Words whose hashes a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: An anchor counts as frequent when it has more than this share of all anchor places (at most 1 / share of them).
 FREQUENT_SHARE = 1 / 4096
 #: Places of an anchor in one chunk from which it is reported as possibly frequent.
