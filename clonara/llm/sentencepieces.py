@@ -14,6 +14,7 @@ import heapq
 import re
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,45 +172,54 @@ def codec(model_file: str) -> MergeCodec:
 
 
 class _Remembered:
-    """Ids of words and the same as text; the words that are new to a batch are encoded and checked together."""
+    """Ids of words as text, and decoded words; the words that are new to a batch are encoded and checked together."""
 
     def __init__(self, of: MergeCodec):
-        self.of, self.ids, self.texts = of, {}, {}
+        self.of, self.texts, self.decoded = of, {}, {}
+        self.numbers = [str(i) for i in range(of.library.get_piece_size())].__getitem__
 
     def learn(self, words: set[str]) -> list[str]:
         """Encode the unknown words; returns those to forget after the batch."""
-        new = words.difference(self.ids)
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids.clear()
+        new = words.difference(self.texts)
+        if len(self.texts) + len(new) > REMEMBERED:
             self.texts.clear()
+            self.decoded.clear()
             new = words
         new = list(new)
         ids = list(map(self.of.merge, new))
         self.of.check(new, ids)
-        self.ids.update(zip(new, ids))
-        self.texts.update((w, ",".join(map(str, i))) for w, i in zip(new, ids))
+        self.texts.update(zip(new, [",".join(map(self.numbers, i)) for i in ids]))
+        # decode() takes a mark off the first piece, which is only meant for the first word of a text
+        self.decoded.update(zip(new, [(" " if w[0] == MARK else "") + t for w, t in zip(new, self.of.library.decode(ids))]))
         return [w for w in new if len(w) > LONG]
 
     def forget(self, words: list[str]) -> None:
         for w in words:
-            del self.ids[w], self.texts[w]
+            del self.texts[w], self.decoded[w]
 
 
 _memories: dict[str, _Remembered] = {}
 
 
-def encoded(model_file: str, texts: list[str]) -> list[tuple[list[int], str]]:
-    """(ids, ids as text joined by commas) of every text."""
+def encoded(model_file: str, texts: list[str]) -> list[tuple[str, str]]:
+    """(ids joined by commas, decoded text) of every text.
+
+    Every character outside the vocabulary has all its bytes within one word, so decoded words can be joined.
+    """
     of = codec(model_file)
     memory = _memories.setdefault(model_file, _Remembered(of))
     split = [of.split(t) for t in texts]
     long = memory.learn(set(chain.from_iterable(split)))
-    ids, text = memory.ids.__getitem__, memory.texts.__getitem__
-    out = [(list(chain.from_iterable(map(ids, ws))), ",".join(map(text, ws))) for ws in split]
+    ids, decoded = memory.texts.__getitem__, memory.decoded.__getitem__
+    out = [(",".join(map(ids, ws)), "".join(map(decoded, ws))[1:]) for ws in split]
     memory.forget(long)
     return out
 
 
+def numbers(text: str) -> np.ndarray:
+    return np.array(text.split(","), np.int32) if text else np.empty(0, np.int32)
+
+
 def _groups(texts: list[str], chars: int = 2_000_000):
     group, n = [], 0
     for t in texts:
@@ -231,17 +241,16 @@ def tokenize(docs: DataFrame, model_file: str, keep_ids: bool = True) -> DataFra
     """
 
     def run(batches):
-        of = codec(model_file)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for batch in batches:
             ids, shas, decoded, counts = [], [], [], []
             for group in _groups([t or "" for t in batch.column(1).to_pylist()]):
-                rows = encoded(model_file, group)
-                counts += [len(r[0]) for r in rows]
-                shas += [sha(r[1]) for r in rows]
-                decoded += [sha(t) for t in of.library.decode([r[0] for r in rows])]
-                if keep_ids:
-                    ids += [r[0] for r in rows]
+                for text, back in encoded(model_file, group):
+                    counts.append(text.count(",") + 1 if text else 0)
+                    shas.append(sha(text))
+                    decoded.append(sha(back))
+                    if keep_ids:
+                        ids.append(numbers(text))
             columns = [batch.column(0), *([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else []), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(["ids"] if keep_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -23,7 +23,8 @@ def texts():
 def test_ids_are_the_librarys(of):
     for t in texts():
         assert of.encode(t) == of.library.encode(t), t
-        assert sentencepieces.encoded(piece_model(), [t])[0][0] == of.library.encode(t)
+        ids, back = sentencepieces.encoded(piece_model(), [t])[0]
+        assert sentencepieces.numbers(ids).tolist() == of.library.encode(t) and back == of.library.decode(of.library.encode(t))
 
 
 def test_list_and_heap_agendas_agree(of):
@@ -62,7 +63,9 @@ def test_whole_table_with_a_small_memory(spark, of, monkeypatch):
     docs = [t or "" for t in table(spark, "/root/testdata/sf0.001", "documents").toPandas()["text"].tolist()]
     for a in range(0, len(docs), 20):
         part = docs[a:a + 20]
-        assert [ids for ids, _ in sentencepieces.encoded(piece_model(), part)] == of.library.encode(part)
+        want = of.library.encode(part)
+        got = sentencepieces.encoded(piece_model(), part)
+        assert [sentencepieces.numbers(ids).tolist() for ids, _ in got] == want and [back for _, back in got] == of.library.decode(want)
 
 
 def test_empty(make_docs):
