@@ -117,7 +117,10 @@ def file_headers(spark: SparkSession, root: str, datasets: list[str] | None = No
 
 
 def unreadable_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files that give no rows because no line of theirs names the sequence column, empty ones among them."""
+    """Files that give no rows because no line of theirs names the sequence column.
+
+    Spark lists no files of zero bytes; ``missing_files`` finds those by the metadata.
+    """
     readable = file_headers(spark, root).where(F.col("header").isNotNull()).select(*REP).distinct()
     return list_files(spark, root).select(*REP, "filename", "bytes").join(readable, REP, "left_anti")
 

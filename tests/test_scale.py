@@ -76,6 +76,6 @@ def test_vocabulary_holds_names_of_every_repertoire(many):
 def test_column_index_is_the_sorted_place(spark):
     names = ["", "a", "aa", "ab", "b", "k3_AAA", "k3_AAC", "k4_AAAA", "k3_AA", "Z", "é"]
     rows = spark.createDataFrame([(n,) for n in names + names], "feature string")
-    got = {r.feature: r.index for r in kmers.column_index(rows).collect()}
+    got = {r["feature"]: r["index"] for r in kmers.column_index(rows).collect()}
     order = sorted(n for n in names if n != "é") + ["é"]
     assert got == {n: i for i, n in enumerate(order)}
