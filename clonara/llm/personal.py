@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -30,7 +32,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _CUE = re.compile(r"([^\W\d_]{2,24})[\"']?[ \t]{0,4}\Z")
 _BEHIND = re.compile(r"[ \t]{0,4}[\"'<(]?")
-_TOKEN = re.compile(r"[^\s\"'<>(),;]{4,64}")
+_TOKEN = re.compile(r"[^\s\"'<>(),;]{4,}+")
 
 FOUND = ("doc_id long, doc long, textkey long, n_email long, n_ip long, n_card long, n_phone long, base string, "
          "candidates array<struct<pattern:string, instance:long, kind:int, like:boolean, start:int, stop:int>>")
@@ -80,6 +82,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]):
         return
     starts = {a: (k, b) for k, a, b in reversed(base)}
     covered = sorted((a, b) for _, a, b in base)
+    begins, reach = [a for a, _ in covered], list(accumulate((b for _, b in covered), max))
     for m in re.finditer("[:=]", text):
         cue = _CUE.search(text, max(0, m.start() - 32), m.start())
         if not cue:
@@ -90,8 +93,10 @@ def candidates(text: str, base: list[tuple[int, int, int]]):
             kind, end = starts[at]
             yield pattern, text[at:end], kind, True, at, end
         elif token := _TOKEN.match(text, at):
-            end = at + len(token.group().rstrip(".:!?"))
-            if end - at >= 4 and not any(a < end and at < b for a, b in covered):
+            i = bisect_right(begins, at)
+            stop = min(token.end(), begins[i]) if i < len(begins) else token.end()
+            end = at + len(text[at:stop].rstrip(".:!?"))
+            if end - at >= 4 and not (i and at < reach[i - 1]):
                 word = text[at:end]
                 yield pattern, word, None, any(c.isdigit() or c == "@" for c in word), at, end
 

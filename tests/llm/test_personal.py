@@ -66,6 +66,18 @@ def test_masking_both_ways(make_docs):
     assert len(rows) == len(contexts()) - 1
 
 
+def test_long_identifiers_are_marked_and_masked_to_their_end(make_docs):
+    seeds = [(i, f"mail: user{i}@site.org, more") for i in range(40)]
+    long = {65: "h" * 64 + "7", 1000: "k9_" + "x" * 997, 90: "h" * 64 + "8" * 26}
+    docs = make_docs(seeds + [(100 + n, f"mail: {token} end") for n, token in long.items()] + [(2000, f"mail: {'j7' * 40}/a@b.co end")])
+    spans = {r.doc_id: r.spans for r in personal.find_personal(docs).collect()}
+    assert {n: spans[100 + n] for n in long} == {n: f"email:6:{6 + n}" for n in long}
+    texts = {r.doc_id: r.text for r in personal.mask_personal(docs).collect()}
+    assert {texts[100 + n] for n in long} == {"mail: [EMAIL] end"} and texts[2000] == "mail: [EMAIL][EMAIL] end"
+    words = [w for _, w, *_ in personal.candidates(f"id: {long[65]} id: {long[90]}", [])]
+    assert words == [long[65], long[90]]
+
+
 def test_overlapping_spans_are_masked_once():
     assert personal.masked("0123456789", [(2, 2, 6), (3, 4, 8), (0, 2, 4)]) == "01[CARD]89"
 
