@@ -54,14 +54,15 @@ def fingerprint(data: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) for every row; a null text has no words."""
+    """(doc_id, fp long, textkey long) for every row; a null text has no words."""
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "textkey"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("textkey"))
+    return rows.mapInArrow(run, "doc_id long, fp long, textkey long")
 
 
 def _linked(fps: np.ndarray, run_end: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,26 +136,48 @@ def near_links(distinct: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame
     return links
 
 
+def _classes(fps: DataFrame, pairs_up_to: int) -> DataFrame:
+    """(fp, component_id, leads): least doc_id of the group of each fingerprint, and whether the fingerprint stands for it.
+
+    A fingerprint is named by its least doc_id. Where an id is the least one of several, which is rare, pairs of id and
+    fingerprint are the nodes instead, so that different texts under one id are not linked by it.
+    """
+    distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter(F.col("rep").isNotNull()), "distinct")
+    if not distinct.groupBy("rep").count().filter("count > 1").take(1):
+        roots = components(near_links(distinct, pairs_up_to))
+        joined = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "rep").alias("component_id"))
+        return joined.select("fp", "component_id", (F.col("rep") == F.col("component_id")).alias("leads"))
+    node = F.struct("rep", "fp")
+    links = near_links(distinct.select("fp", F.col("fp").alias("rep")), pairs_up_to)
+    for end in ("a", "b"):
+        links = links.join(distinct.select(F.col("fp").alias(end), node.alias(f"_{end}")), end)
+    roots = components(links.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("node.fp").alias("fp"), "root")
+    root = F.coalesce("root", node)
+    return distinct.join(roots, "fp", "left").select("fp", root["rep"].alias("component_id"), (root["fp"] == F.col("fp")).alias("leads"))
+
+
 def near_duplicates(docs: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links of three bits).
 
     Null and wordless texts have fingerprint zero and are linked like any other. Repeated rows give repeated results.
-    Rows with a null doc_id get a fingerprint; they link nothing, and their component is that of their fingerprint,
-    null if no row with an id has it. Other columns are not read.
+    Different texts under one doc_id are linked by their fingerprints only. Rows with a null doc_id get a fingerprint;
+    they link nothing, and their component is that of their fingerprint, null if no row with an id has it. Other
+    columns are not read.
     """
     fps = stage(fingerprints(docs), "fingerprints")
-    distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter(F.col("rep").isNotNull()), "distinct")
-    roots = components(near_links(distinct, pairs_up_to))
-    classes = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(_classes(fps, pairs_up_to), "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     """Documents that stand for their group: the one with the least doc_id; all columns kept.
 
-    Repeated rows of that id are kept once. Rows with a null doc_id cannot be told apart from others; they stay.
+    Repeated rows of that id and text are kept once. Of different texts under one doc_id each is kept or dropped with
+    its own group. Rows with a null doc_id cannot be told apart from others; they stay.
     """
-    keep = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull())
-    kept = named.join(keep, named["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id"])
+    fps = stage(fingerprints(docs), "fingerprints")
+    leading = fps.join(_classes(fps, pairs_up_to).filter("leads"), "fp").filter(F.col("doc_id") == F.col("component_id"))
+    keep = leading.groupBy(F.col("doc_id").alias("_doc"), "fp").agg(F.min("textkey").alias("_key")).select("_doc", "_key")
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumn("_textkey", F.xxhash64("text"))
+    same = (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_textkey") == F.col("_key"))
+    kept = named.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_textkey"]).drop("_textkey")
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))

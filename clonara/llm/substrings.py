@@ -99,13 +99,17 @@ def frequent_anchors(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.anchor for r in rows], np.int64).view(np.uint64))
 
 
-def _later_places(order, same, doc, start):
-    """Of windows sorted by hash and place: which stand later than the first place of their hash, and which are first."""
+def _later_places(order, same, doc, key, start):
+    """Of windows sorted by hash and place: which stand later than the first place of their hash, and which are to be compared further.
+
+    The latter are the first place of every hash, once for each text that holds it.
+    """
     first = np.r_[True, ~same]
     head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
     d, s = doc[order], start[order]
     later = (d != d[head]) | (s != s[head])
-    return later, first
+    k = key[order]
+    return later, first | ~(later | np.r_[True, k[1:] == k[:-1]])
 
 
 def _merged(doc, key, start):
@@ -128,9 +132,9 @@ def _seeds(frequent: np.ndarray):
     def run(batches):
         for chunk in _chunks(batches):
             doc, key, start, wh, anchor = chunk.windows()
-            order = np.argsort(wh, kind="stable")
+            order = np.lexsort((key, start, doc, wh)) if key.any() else np.argsort(wh, kind="stable")
             s = wh[order]
-            later, first = _later_places(order, s[1:] == s[:-1], doc, start)
+            later, first = _later_places(order, s[1:] == s[:-1], doc, key, start)
             repeats = np.sort(order[later])
             d, k, body = _interval_rows(*_merged(doc[repeats], key[repeats], start[repeats]))
             yield _keyed(mixed(d.view(np.uint64)), d, k, np.zeros(len(d), np.int32), 1, body)
@@ -140,7 +144,7 @@ def _seeds(frequent: np.ndarray):
             yield _keyed(wh[alone], doc[alone], key[alone], start[alone], 0, packed(wh[alone], np.arange(len(alone) + 1)))
             own = own[~hot]
             if len(own):
-                cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1] + 1) | (doc[own][1:] != doc[own][:-1]) | (anchor[own][1:] != anchor[own][:-1])])
+                cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1] + 1) | (doc[own][1:] != doc[own][:-1]) | (key[own][1:] != key[own][:-1]) | (anchor[own][1:] != anchor[own][:-1])])
                 at = own[cut]
                 yield _keyed(anchor[at], doc[at], key[at], start[at], 0, packed(wh[own], np.r_[cut, len(own)]))
 
@@ -177,7 +181,7 @@ def _compared(batches):
         shard = rest["shard"].to_numpy()[row]
         order = np.lexsort((start, doc, wh, shard))
         s, w = shard[order], wh[order]
-        later, _ = _later_places(order, (w[1:] == w[:-1]) & (s[1:] == s[:-1]), doc, start)
+        later, _ = _later_places(order, (w[1:] == w[:-1]) & (s[1:] == s[:-1]), doc, key, start)
         hit = order[later]
         hit = hit[np.lexsort((start[hit], key[hit], doc[hit]))]
         d, k, body = _interval_rows(*_merged(doc[hit], key[hit], start[hit]))

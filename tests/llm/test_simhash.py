@@ -75,6 +75,16 @@ def test_null_ids_repeats_and_kept_rows(make_docs):
     assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, text), (-1, "else where"), (3, text), (9, "another text of words")]
 
 
+def test_different_texts_under_one_id_are_kept_or_dropped_by_their_own_groups(make_docs):
+    first, other, third = "a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z 1 2 3 4"
+    docs = make_docs([(3, first), (5, first), (5, other), (5, other), (7, other), (9, third), (9, third + " 5 6 7 8 9"), (9, third.upper())])
+    for bound in (simhash.PAIRS_UP_TO, 0):
+        kept = sorted((r.doc_id, r.text.lower()) for r in simhash.one_of_each(docs, bound).collect())
+        assert kept == [(3, first), (5, other), (9, third), (9, third + " 5 6 7 8 9")]
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(3, 3), (5, 3), (5, 5), (5, 5), (7, 5), (9, 9), (9, 9), (9, 9)]
+
+
 def test_empty(make_docs):
     assert simhash.near_duplicates(make_docs([])).count() == 0
 

@@ -63,5 +63,29 @@ def test_kept_text_null_ids_and_repeated_rows(make_docs):
     assert [r.n_removed for r in substrings.remove_repeats(again).collect()] == [0, 0]
 
 
+def test_texts_under_one_id_are_each_compared_with_other_chunks(make_docs, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(20))
+    docs = [(3, passage), (5, passage + " tail one"), (5, passage + " tail two"), (6, "x y " + passage), (6, passage)]
+    for words in (10, 600_000):
+        monkeypatch.setattr(substrings, "CHUNK_WORDS", words)
+        rows = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.remove_repeats(make_docs(docs, 1)).collect())
+        assert rows == [(3, 20, 0), (5, 22, 20), (5, 22, 20), (6, 20, 20), (6, 22, 20)]
+    for parts in (1, 2, 5):
+        rows = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.remove_repeats(make_docs(docs[1:], parts)).collect())
+        assert rows == [(5, 22, 0), (5, 22, 0), (6, 20, 20), (6, 22, 20)]
+
+
+def test_one_chunk_with_two_texts_under_an_id():
+    passage = [f"p{i}" for i in range(20)]
+    chunk, hashes = substrings._Chunk(), substrings.WordHashes()
+    for key, words in ((1, passage), (2, passage), (2, passage), (3, ["x"] + passage)):
+        chunk.add(5, key, hashes.array(words))
+    doc, key, start, wh, _ = chunk.windows()
+    order = np.lexsort((key, start, doc, wh))
+    later, first = substrings._later_places(order, wh[order][1:] == wh[order][:-1], doc, key, start)
+    assert sorted(zip(key[order][later].tolist(), start[order][later].tolist())) == [(3, 1)]
+    assert sorted(key[order][first].tolist()) == [1, 2, 3]
+
+
 def test_empty(make_docs):
     assert substrings.remove_repeats(make_docs([])).count() == 0
