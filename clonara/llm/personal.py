@@ -1,17 +1,19 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts.
 
 Seeds are the base spans. A lexical pattern is the word before a colon or equals sign ("mail:", "ip ="); its instances
-are whatever stands behind that sign. Spark scores the graph of patterns and instances in turns: a pattern by the share
-of its instances that are known or believed to be of a kind, an instance by the patterns it stands in. Patterns of high
-confidence mark further instances that look like identifiers; base spans always stay.
+are whatever stands behind that sign. Further patterns hold only what has the shape of one kind (a run of digits like a
+local phone number, a written-out at sign): behind such a word, behind a plain word ("call"), or before one ("mobile").
+Spark scores the graph of patterns and instances in turns: a pattern by the share of its instances that are known or
+believed to be of a kind, an instance by the patterns it stands in. Patterns of high confidence mark further instances
+that look like identifiers; base spans always stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
-from itertools import accumulate
+from bisect import bisect_left, bisect_right
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import xxhash
@@ -24,6 +26,8 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 #: Least score of a pattern, least number of its different believed instances, least belief that counts for that number.
 LEAST_SCORE, LEAST_INSTANCES, LEAST_BELIEF = 0.8, 5, 0.8
+#: Least score of the instances of one shape behind a colon or equals sign: other words behind it are not counted there.
+LEAST_SHAPED = 0.5
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -34,6 +38,13 @@ _CUE = re.compile(r"([^\W\d_]{2,24})[\"']?[ \t]{0,4}\Z")
 _BEHIND = re.compile(r"[ \t]{0,4}[\"'<(]?")
 _TOKEN = re.compile(r"[^\s\"'<>(),;]{4,}+")
 
+_LEFT_CUE = re.compile(r"([^\W\d_]{2,24})[\"']?[ \t]{0,4}([:=])[ \t]{0,4}[\"'<(]?\Z")
+_LEFT_WORD = re.compile(r"(?<![^\W\d_])([^\W\d_]{2,24})[ \t]{1,4}[\"'<(]?\Z")
+_RIGHT_WORD = re.compile(r"[\"'>)]?[ \t]{1,4}([^\W\d_]{2,24})(?![^\W_])")
+_DIGITS_LIKE = re.compile(r"(?<![\w.+-])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,18}(?![\w-]|\.[0-9])")
+_IP_LIKE = re.compile(r"(?<![\w.])[0-9]{1,4}(?:\.[0-9xX*]{1,4}){3}(?![\w]|\.[0-9])")
+_MAIL_LIKE = re.compile(r"(?<![\w.])[A-Za-z0-9_][A-Za-z0-9._%+-]{0,63}(?:@| ?[(\[{]at[)\]}] ?)[A-Za-z0-9-]+(?:(?:\.| ?[(\[{]dot[)\]}] ?)[A-Za-z0-9-]+)*")
+
 FOUND = ("doc_id long, doc long, textkey long, n_email long, n_ip long, n_card long, n_phone long, base string, "
          "candidates array<struct<pattern:string, instance:long, kind:int, like:boolean, start:int, stop:int>>")
 
@@ -101,6 +112,38 @@ def candidates(text: str, base: list[tuple[int, int, int]]):
                 yield pattern, word, None, any(c.isdigit() or c == "@" for c in word), at, end
 
 
+def _like_spans(text: str):
+    """(kind number, start, end) of what has the shape of a kind without being a base span of it."""
+    for m in _DIGITS_LIKE.finditer(text):
+        n = len(_digits(m.group()))
+        if n <= 15:
+            yield 3, m.start(), m.end()
+        if n >= 13:
+            yield 2, m.start(), m.end()
+    for m in _IP_LIKE.finditer(text):
+        yield 1, m.start(), m.end()
+    for m in _MAIL_LIKE.finditer(text):
+        yield 0, m.start(), m.end()
+
+
+def shaped(text: str, base: list[tuple[int, int, int]]):
+    """As ``candidates``, for base spans and what has the shape of a kind, by the words on both sides."""
+    covered = sorted((a, b) for _, a, b in base)
+    begins, reach = [a for a, _ in covered], list(accumulate((b for _, b in covered), max))
+    unseen = [(k, a, b) for k, a, b in _like_spans(text) if not (i := bisect_left(begins, b)) or reach[i - 1] <= a]
+    for known, spans in ((True, base), (False, unseen)):
+        for kind, a, b in spans:
+            before = text[max(0, a - 40):a]
+            if cue := _LEFT_CUE.search(before):
+                sides = [cue.group(1).lower() + cue.group(2)]
+            else:
+                sides = [w.group(1).lower() + "_"] if (w := _LEFT_WORD.search(before)) else []
+            if w := _RIGHT_WORD.match(text, b):
+                sides.append("_" + w.group(1).lower())
+            for side in sides:
+                yield f"{side}#{KINDS[kind]}", "#" + text[a:b], kind if known else None, True, a, b
+
+
 def written(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
@@ -116,7 +159,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 counts.append([sum(k == kind for k, _, _ in spans) for kind in range(4)])
                 base.append(written(spans))
                 cands.append([{"pattern": p, "instance": xxhash.xxh64_intdigest(w) - 2**63, "kind": k, "like": like, "start": a, "stop": b}
-                              for p, w, k, like, a, b in candidates(text or "", spans)])
+                              for p, w, k, like, a, b in chain(candidates(text or "", spans), shaped(text or "", spans))])
             kind = pa.list_(pa.struct([("pattern", pa.string()), ("instance", pa.int64()), ("kind", pa.int32()), ("like", pa.bool_()), ("start", pa.int32()), ("stop", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(4)], pa.array(base, pa.string()), pa.array(cands, kind)],
@@ -131,7 +174,7 @@ def score_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     A pattern's score for a kind is the sum of its different instances' beliefs over their number plus one. A seed's
     belief is one for its kind; other instances that look like identifiers are believed by noisy-or over the other
-    patterns they stand in, so that no pattern confirms itself.
+    patterns they stand in, so that no pattern confirms itself. Patterns of one shape have instances of their own.
     """
     flat = found.select(F.explode("candidates").alias("c")).select("c.pattern", "c.instance", "c.kind", "c.like")
     edges = stage(flat.groupBy("pattern", "instance").agg(F.min("kind").alias("kind"), F.max("like").alias("like")), "edges")
@@ -149,7 +192,8 @@ def score_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         thought = unseen.join(doubts, "instance").join(good, ["pattern", "kind"], "left").select(
             "pattern", "instance", "kind", (1 - F.exp(F.col("doubts") - F.coalesce("doubt", F.lit(0.0)))).alias("belief"))
         beliefs = stage(seeds.unionByName(thought), "beliefs")
-    return scores.filter((F.col("score") >= LEAST_SCORE) & (F.col("believed") >= LEAST_INSTANCES)).groupBy("pattern").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("found_kind"))
+    least = F.when(F.col("pattern").rlike("[:=]#"), LEAST_SHAPED).otherwise(LEAST_SCORE)
+    return scores.filter((F.col("score") >= least) & (F.col("believed") >= LEAST_INSTANCES)).groupBy("pattern").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("found_kind"))
 
 
 def discovered(found: DataFrame) -> DataFrame | None:

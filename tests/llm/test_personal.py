@@ -78,6 +78,18 @@ def test_long_identifiers_are_marked_and_masked_to_their_end(make_docs):
     assert words == [long[65], long[90]]
 
 
+def test_shaped_identifiers_are_found_on_mixed_cues_and_without_signs(make_docs):
+    docs = [(i, f"tel: +1 555 010 {1000 + i}") for i in range(70)] + [(100 + i, f"tel: 555 123 {4000 + i}.") for i in range(30)]
+    docs += [(200 + i, f"tel: none{i}") for i in range(40)]
+    docs += [(300 + i, f"please call +44 20 7946 {1000 + i} now") for i in range(40)] + [(400, "please call 555 123 4567 now"), (401, "in 2019-05-03 we sold 1234567 units")]
+    docs += [(500 + i, f"see: +1 555 020 {1000 + i}") for i in range(6)] + [(600 + i, f"see: 2019 05 {1000 + i}") for i in range(12)]
+    rows = {r.doc_id: r.spans for r in personal.find_personal(make_docs(docs)).collect()}
+    assert {rows[100 + i] for i in range(30)} == {"phone:5:17"} and rows[400] == "phone:12:24"
+    assert {rows[200 + i] for i in range(40)} | {rows[600 + i] for i in range(12)} | {rows[401]} == {""}
+    texts = {r.doc_id: r.text for r in personal.mask_personal(make_docs(docs)).collect()}
+    assert texts[100] == "tel: [PHONE]." and texts[400] == "please call [PHONE] now"
+
+
 def test_overlapping_spans_are_masked_once():
     assert personal.masked("0123456789", [(2, 2, 6), (3, 4, 8), (0, 2, 4)]) == "01[CARD]89"
 
