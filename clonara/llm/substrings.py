@@ -1,9 +1,9 @@
 """Substring deduplication: runs of words that already stand earlier are removed.
 
 Seed: every window of ``MIN_WORDS`` words is filed under its anchor, the least hash of the five-word grams in it, so
-equal windows share an anchor and neighbouring windows mostly have the same one. Extend: the windows of an anchor are
-compared both ways around it, as hashes of their whole word sequence, and windows that match an earlier place are
-merged to maximal repeats, which cover all words to remove.
+equal windows share an anchor and neighbouring windows mostly have the same one. The anchor only deals windows out: those
+of an anchor are compared by hashes of their whole word sequence, without extending a seed word by word, and windows that
+match an earlier place are merged to maximal repeats, which cover all words to remove.
 
 A task first settles repeats among the documents it reads; for each window only the first place it has seen travels
 on. So a passage that a third of all documents share is shuffled once per piece of input, not once per document.
