@@ -232,7 +232,7 @@ def _(t):
 @query("ridge_stack")
 def _(t):
     data, _ = training(t)
-    return _scores(ensemble.RidgeStack(rounds=5).fit(data).predict(data))
+    return _scores(ensemble.RidgeStack().fit(data).predict(data))
 
 
 @query("hill_climb")
@@ -251,7 +251,7 @@ def _(t):
 @query("best_model")
 def _(t):
     data, space = training(t)
-    chosen, scores, _, _ = model.best_model(data, len(space.names), folds=2, rounds=15)
+    chosen, scores, _, _ = model.best_model(data, len(space.names))
     rows = [(k, v, k == chosen) for k, v in scores.items()]
     return rounded(t.spark.createDataFrame(rows, "model string, auc double, chosen boolean"))
 
@@ -260,7 +260,7 @@ def _(t):
 def _(t):
     data, space = training(t)
     rows, _ = model.scaled(data)
-    return _scores(model.probability(model.multilayer_perceptron(len(space.names), (16,), rounds=20).fit(rows).transform(rows)))
+    return _scores(model.probability(model.multilayer_perceptron(len(space.names)).fit(rows).transform(rows)))
 
 
 @query("predictor")

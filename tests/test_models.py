@@ -77,3 +77,21 @@ def test_predictor_writes_a_full_submission(spark, tables):
     assert out.where("label_positive_probability = -999").count() == 2000 * n
     bad = out.where(F.col("junction_aa").isNull() | F.col("v_call").isNull())
     assert bad.count() == 0
+
+
+@pytest.mark.parametrize("name,module,maker,given", [("fit_mlp", model, "multilayer_perceptron", (60,)), ("best_model", model, "best_model", (None, 60)), ("ridge_stack", ensemble, "RidgeStack", ())])
+def test_fits_are_registered_with_the_settings_of_their_operator(spark, monkeypatch, name, module, maker, given):
+    from clonara.plans import model_queries
+
+    class Called(Exception):
+        pass
+
+    def made(*args, **settings):
+        raise Called(args, settings)
+
+    monkeypatch.setattr(model_queries, "training", lambda t: (None, model.FeatureSpace(["f"] * 60)))
+    monkeypatch.setattr(model, "scaled", lambda data: (data, None))
+    monkeypatch.setattr(module, maker, made)
+    with pytest.raises(Called) as seen:
+        QUERIES[name](spark, SF)
+    assert seen.value.args == (given, {})
