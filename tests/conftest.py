@@ -7,8 +7,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from clonara.session import local_session  # noqa: E402
-
-SF = "/root/testdata/sf0.001"
+from support import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -9,7 +9,7 @@ from clonara.operators import ensemble, evaluate, model
 from clonara.plans.catalogue import QUERIES
 from clonara.plans.model_queries import training
 from clonara.session import materialize
-from conftest import SF
+from support import SF
 
 
 def test_vectors_hold_the_features(tables):
