@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonara.llm import chats, decontaminate, language, neighbours, personal, secrets, sentencepieces, simhash, substrings, warc
+from clonara.llm import bytepairs, chats, decontaminate, language, neighbours, personal, secrets, sentencepieces, simhash, substrings, warc
 from clonara.llm.common import table
 
 
@@ -16,6 +16,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_ranks() -> tuple[str, str]:
+    """Place of the byte-level vocabulary, and the pattern that splits text for it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,8 +66,12 @@ def op10_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.render(table(spark, sf_dir, "conversations"))
 
 
+def op11_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.tokenize(table(spark, sf_dir, "documents"), *byte_ranks(), keep_ids=False)
+
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_simhash, op4_substrings, op5_language, op6_neighbours,
-                                   op7_sentencepiece, op8_personal, op9_secrets, op10_chats)}
+                                   op7_sentencepiece, op8_personal, op9_secrets, op10_chats, op11_bytepairs)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
