@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonara.llm import bytepairs, chats, decontaminate, language, neighbours, personal, secrets, sentencepieces, simhash, substrings, warc
+from clonara.llm import bytepairs, chats, decontaminate, language, neighbours, periods, personal, secrets, sentencepieces, simhash, substrings, warc
 from clonara.llm.common import table
 
 
@@ -70,8 +70,34 @@ def op11_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepairs.tokenize(table(spark, sf_dir, "documents"), *byte_ranks(), keep_ids=False)
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where the words of one document in ten repeat with a short period from some word on, as op12 asks.
+
+    Words and periods are a matter of the id's hash. Rows without an id or without a word stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr("crc32(cast(cast(doc_id AS string) AS binary)) div 10").alias("g"), words.alias("words"))
+    rows = rows.withColumn("n", F.size("words")).withColumn("a", F.expr("CASE WHEN n > 0 THEN cast(g % n AS int) END"))
+    rows = rows.withColumn("p", F.expr("CASE WHEN n > 0 THEN cast(1 + (n - a) div (3 + g % 8) AS int) END"))
+    planted = F.expr("array_join(concat(slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), cast((n - a) div p + 1 AS int))), 1, n - a)), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.collapse_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    none = F.expr("cast(null AS struct<start: long, length: long, period: long>)")
+    best = F.aggregate("runs", none, lambda top, r: F.when(top.isNull() | (r["length"] * top["period"] > top["length"] * r["period"]), r).otherwise(top))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    ).select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+             "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_simhash, op4_substrings, op5_language, op6_neighbours,
-                                   op7_sentencepiece, op8_personal, op9_secrets, op10_chats, op11_bytepairs)}
+                                   op7_sentencepiece, op8_personal, op9_secrets, op10_chats, op11_bytepairs, op12_periods)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
