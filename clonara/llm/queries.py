@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonara.llm import bytepairs, chats, decontaminate, language, neighbours, periods, personal, secrets, sentencepieces, simhash, substrings, warc
+from clonara.llm import bytepairs, chats, decontaminate, language, neighbours, periods, personal, secrets, sentencepieces, simhash, substrings, warc, whitening
 from clonara.llm.common import table
 
 
@@ -96,8 +96,12 @@ def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
              "runs_sha256", "collapsed_sha256")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_simhash, op4_substrings, op5_language, op6_neighbours,
-                                   op7_sentencepiece, op8_personal, op9_secrets, op10_chats, op11_bytepairs, op12_periods)}
+                                   op7_sentencepiece, op8_personal, op9_secrets, op10_chats, op11_bytepairs, op12_periods, op13_whitening)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
