@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from clonara.llm.common import mixed
 
-#: Matches and pieces of text that a task remembers at most when a group of texts begins; matches longer than LONG
-#: characters and pieces of more than three matches are forgotten after their group.
-REMEMBERED = 800_000
+#: Matches and pieces of text that a task remembers, about; matches longer than LONG characters and pieces of more than
+#: three matches are forgotten after their group of texts.
+REMEMBERED = 1_000_000
 LONG = 64
 #: What the patterns of rank files call white space.
 WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0                　")
@@ -108,7 +108,10 @@ class ByteCodec:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         if any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError("every byte must be a token")
-        #: Rank of the union of two bytes.
+        self.alone = [self.ranks[bytes([b])] for b in range(256)].__getitem__
+        #: Rank of the union of two tokens, and of two bytes.
+        self.unions = {a << 32 | b: r for t, r in self.ranks.items() for k in range(1, len(t))
+                       if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None}.get
         self.pairs = {tuple(token): rank for token, rank in self.ranks.items() if len(token) == 2}.get
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         if len(self.tokens) < len(self.ranks):
@@ -125,10 +128,11 @@ class ByteCodec:
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of a pre-token that is no token, by a heap over linked bytes."""
-        rank, n = self.ranks.get, len(data)
+        union, n = self.unions, len(data)
         shift = n.bit_length()
         low = (1 << shift) - 1
-        after, before = list(range(1, n + 2)), list(range(-1, n))
+        ids = list(map(self.alone, data))
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         #: Rank of the union of the symbols at a place and after it, none where it is no token.
         joined = list(map(self.pairs, zip(data, data[1:])))
         joined.append(None)
@@ -136,30 +140,26 @@ class ByteCodec:
         heapify(heap)
         while heap:
             top = heappop(heap)
-            i = top & low
-            if joined[i] != top >> shift:
+            i, best = top & low, top >> shift
+            if joined[i] != best:
                 continue
+            ids[i] = best
             gone = after[i]
-            joined[gone] = None
+            joined[gone] = ids[gone] = None
             after[i] = right = after[gone]
             if right < n:
                 before[right] = i
-                joined[i] = r = rank(data[i:after[right]])
+                joined[i] = r = union(best << 32 | ids[right])
                 if r is not None:
                     heappush(heap, r << shift | i)
             else:
                 joined[i] = None
             left = before[i]
             if left >= 0:
-                joined[left] = r = rank(data[left:right])
+                joined[left] = r = union(ids[left] << 32 | best)
                 if r is not None:
                     heappush(heap, r << shift | left)
-        ids, i = [], 0
-        while i < n:
-            j = after[i]
-            ids.append(self.ranks[data[i:j]])
-            i = j
-        return ids
+        return [i for i in ids if i is not None]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of every pre-token: by the perfect hash where it is a token, merged where not."""
@@ -173,21 +173,38 @@ class ByteCodec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+class _Known(dict):
+    """What the last groups of texts held; what was not asked for since the memory was last full is forgotten."""
+
+    def __init__(self):
+        super().__init__()
+        self.before: dict = {}
+
+    def age(self) -> None:
+        if len(self) > REMEMBERED // 2:
+            self.before = dict(self)
+            self.clear()
+
+    def missing(self, keys: set[str]) -> set[str]:
+        new = keys.difference(self)
+        back = new.intersection(self.before)
+        self.update((k, self.before[k]) for k in back)
+        return new - back
+
+
 class _Remembered:
-    """Ids as text and decoded bytes, of matches and of pieces after a space."""
+    """Ids as text and decoded bytes: of pieces after a space, and of matches that begin without one."""
 
     def __init__(self, of: ByteCodec):
         self.of = of
-        self.ids: dict[str, str] = {}
-        self.bytes: dict[str, bytes] = {}
-        self.spaced_ids: dict[str, str] = {}
-        self.spaced_bytes: dict[str, bytes] = {}
+        self.spaced, self.plain = _Known(), _Known()
 
     def _learn(self, words: set[str]) -> None:
-        new = list(words.difference(self.ids))
-        ids = self.of.encode_words(new)
-        self.ids.update(zip(new, [str(i)[1:-1].replace(" ", "") for i in ids]))
-        self.bytes.update(zip(new, map(self.of.decode_bytes, ids)))
+        """Take up matches that are not known yet."""
+        new = [*(" " + w for w in self.spaced.missing({w[1:] for w in words if w[0] == " "})), *self.plain.missing({w for w in words if w[0] != " "})]
+        for w, ids in zip(new, self.of.encode_words(new)):
+            known, key = (self.spaced, w[1:]) if w[0] == " " else (self.plain, w)
+            known[key] = (str(ids)[1:-1].replace(" ", ""), self.of.decode_bytes(ids))
 
     def _matches(self, pieces: list[str]) -> list[list[str]]:
         """Matches of every piece after a space; all pieces are read at once, as a match with a space starts one."""
@@ -199,10 +216,12 @@ class _Remembered:
                 split[-1].append(word)
         return split
 
+    def _parts(self, words: list[str]) -> list[tuple[str, bytes]]:
+        return [self.spaced[w[1:]] if w[0] == " " else self.plain[w] for w in words]
+
     def encoded(self, texts: list[str]) -> list[tuple[str, bytes]]:
-        if len(self.ids) + len(self.spaced_ids) > REMEMBERED:
-            for known in (self.ids, self.bytes, self.spaced_ids, self.spaced_bytes):
-                known.clear()
+        self.spaced.age()
+        self.plain.age()
         cut = [t.split(" ") for t in texts]
         pieces = set(chain.from_iterable(cut))
         odd = {p for p in pieces if not p or p[0] in WHITE}
@@ -213,29 +232,32 @@ class _Remembered:
                 pieces.update(c)
             first.append(c[0])
             del c[0]
-        new = pieces.difference(self.spaced_ids, odd)
+        new = self.spaced.missing(pieces - odd)
         whole = [p for p in new if " " in p or p[-1] in WHITE]
         new = [*new.difference(whole), *whole]
         split = self._matches(new[:len(new) - len(whole)])
         split.extend(self.of.matches(" " + p) for p in whole)
         start = list(map(self.of.matches, first))
-        self._learn(set(chain.from_iterable(chain(split, start))))
-        ids, parts = self.ids.__getitem__, self.bytes.__getitem__
-        self.spaced_ids.update(zip(new, [ids(w[0]) if len(w) == 1 else ",".join(map(ids, w)) for w in split]))
-        self.spaced_bytes.update(zip(new, [parts(w[0]) if len(w) == 1 else b"".join(map(parts, w)) for w in split]))
-        spaced_ids, spaced_bytes = self.spaced_ids.__getitem__, self.spaced_bytes.__getitem__
-        out = [(",".join(chain(map(ids, words), map(spaced_ids, rest))), b"".join(chain(map(parts, words), map(spaced_bytes, rest))))
-               for words, rest in zip(start, cut)]
-        for p, words in zip(new, split):
-            if len(words) > 3 or len(p) > LONG:
-                del self.spaced_ids[p], self.spaced_bytes[p]
-        for w in chain.from_iterable(s for s in chain(split, start) if any(len(w) > LONG for w in s)):
-            if len(w) > LONG:
-                self.ids.pop(w, None)
-                self.bytes.pop(w, None)
+        words = set(chain.from_iterable(chain(split, start)))
+        self._learn(words)
+        for p, match in zip(new, split):
+            if len(match) > 1:
+                self.spaced[p] = _joined(self._parts(match))
+        spaced = self.spaced.__getitem__
+        out = [_joined([*self._parts(match), *map(spaced, rest)]) for match, rest in zip(start, cut)]
+        for p, match in zip(new, split):
+            if len(match) > 3 or len(p) > LONG:
+                self.spaced.pop(p, None)
+        for w in [w for w in words if len(w) > LONG]:
+            self.spaced.pop(w[1:], None)
+            self.plain.pop(w, None)
         return out
 
 
+def _joined(parts: list[tuple[str, bytes]]) -> tuple[str, bytes]:
+    return ",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+
+
 def _rejoined(cut: list[str], odd: set[str]) -> list[str]:
     """Pieces, those that start with white space or are empty put to the piece before."""
     out = [[cut[0]]]
