@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
 from itertools import chain
 
 import numpy as np
@@ -23,8 +24,9 @@ MARK = "▁"
 #: Encoded words that a task remembers; longer ones than LONG characters are not remembered.
 REMEMBERED = 500_000
 LONG = 64
-#: Characters up to which a word's agenda is a plain list.
+#: Characters up to which a word's agenda is a plain list or a row of an array.
 SHORT = 40
+_NEVER = 2**31 - 1
 
 
 class MergeCodec:
@@ -49,6 +51,81 @@ class MergeCodec:
         alone = "\n" if not any("\n" in p for p in self.pieces) else ""
         self.words = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + ("|\n" if alone else ""))
         self.names = {i: p for p, i in self.pieces.items()}
+        self._tables()
+
+    def _tables(self) -> None:
+        """Arrays for agendas of many words: pieces of one character, and for pairs of pieces the place of their union by cost."""
+        by_cost = sorted((p for p in self.pieces if len(p) > 1 and p.strip(MARK)), key=self.costs.__getitem__)
+        # one piece per cost, so a place names a piece; runs of marks may share one, words with doubled marks go alone
+        self.plain = len({self.costs[p] for p in by_cost}) == len(by_cost)
+        place = {p: k for k, p in enumerate(by_cost)}
+        self.by_cost = np.array([self.pieces[p] for p in by_cost], np.int32)
+        self.letters = np.full(sys.maxunicode + 1, -1, np.int32)
+        for p, i in self.pieces.items():
+            if len(p) == 1:
+                self.letters[ord(p)] = i
+        pairs = [(a << 32 | b, place[p]) for p in by_cost for k in range(1, len(p))
+                 if (a := self.pieces.get(p[:k])) is not None and (b := self.pieces.get(p[k:])) is not None]
+        pairs.sort()
+        self.pairs = np.array([k for k, _ in pairs] + [2**63 - 1], np.int64)
+        self.unions = np.array([v for _, v in pairs] + [_NEVER], np.int32)
+
+    def _places(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Place by cost of the union of two pieces, _NEVER where it is none."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.unions[at], _NEVER)
+
+    def merge_all(self, words: list[str]) -> list[list[int]]:
+        """Ids of every word; short words of known characters go through their agendas together, one pair of each at a time."""
+        out: list[list[int] | None] = [None] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(k)
+        for n, at in by_length.items():
+            at = [k for k in at if MARK + MARK not in words[k]]
+            if n > SHORT or not self.plain or not at:
+                continue
+            points = np.frombuffer("".join([words[k] for k in at]).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            ids = self.letters[points]
+            known = (ids >= 0).all(1)
+            at = np.array(at)[known]
+            for k, word in zip(at.tolist(), self._agendas(ids[known])):
+                out[k] = word
+        return [self.merge(words[k]) if ids is None else ids for k, ids in enumerate(out)]
+
+    def _agendas(self, ids: np.ndarray) -> list[list[int]]:
+        """Words of equal length, a row each: the cheapest pair of every row is joined until a row has none."""
+        out: list[list[int]] = [[]] * len(ids)
+        rows = np.arange(len(ids))
+        agenda = self._places(ids[:, :-1], ids[:, 1:])
+        while len(rows):
+            m, n = ids.shape
+            if n == 1:
+                going = np.zeros(m, bool)
+            else:
+                best = agenda.argmin(1)
+                least = agenda[np.arange(m), best]
+                going = least < _NEVER
+            for k, word in zip(rows[~going].tolist(), ids[~going].tolist()):
+                out[k] = word
+            if not going.any():
+                break
+            if not going.all():
+                rows, ids, agenda, best, least = rows[going], ids[going], agenda[going], best[going], least[going]
+            every = np.arange(len(rows))
+            ids[every, best] = self.by_cost[least]
+            keep = np.ones(ids.shape, bool)
+            keep[every, best + 1] = False
+            ids = ids[keep].reshape(len(rows), n - 1)
+            keep = np.ones(agenda.shape, bool)
+            keep[every, best] = False
+            agenda = agenda[keep].reshape(len(rows), n - 2)
+            if n > 2:
+                for side, some in ((best - 1, best > 0), (best, best < n - 2)):
+                    r, c = every[some], side[some]
+                    agenda[r, c] = self._places(ids[r, c], ids[r, c + 1])
+        return out
 
     def merge(self, word: str) -> list[int]:
         """Ids of a word by the agenda: a list by position for short words, a heap for long ones."""
@@ -186,11 +263,11 @@ class _Remembered:
             self.decoded.clear()
             new = words
         new = list(new)
-        ids = list(map(self.of.merge, new))
+        ids = self.of.merge_all(new)
         self.of.check(new, ids)
         self.texts.update(zip(new, [",".join(map(self.numbers, i)) for i in ids]))
         # decode() takes a mark off the first piece, which is only meant for the first word of a text
-        self.decoded.update(zip(new, [(" " if w[0] == MARK else "") + t for w, t in zip(new, self.of.library.decode(ids))]))
+        self.decoded.update(zip(new, [(" " if w[0] == MARK else "") + t for w, t in zip(new, self.of.library.decode(ids, num_threads=1))]))
         return [w for w in new if len(w) > LONG]
 
     def forget(self, words: list[str]) -> None:
