@@ -44,14 +44,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/clonara/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", by: str | None = None, row_group_mb: int | None = None) -> DataFrame:
     """Write a stage as Parquet to the shared folder and read it back.
 
     Used where a result feeds several jobs (model fitting, folds): the lineage is cut
     and the stage survives the loss of executors. ``by`` names a column to partition on,
-    so later reads of one value skip the rest.
+    so later reads of one value skip the rest. ``row_group_mb`` bounds what a task holds of wide rows before it writes.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    if row_group_mb:
+        writer = writer.option("parquet.block.size", row_group_mb << 20)
+    writer.parquet(path)
     return spark.read.parquet(path)
