@@ -26,9 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Megabytes of texts that a writing task gathers before it writes them.
+ROW_GROUP_MB = 16
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """A result that several jobs read, as a table in the shared folder."""
-    return materialize(df, name)
+    return materialize(df, name, row_group_mb=ROW_GROUP_MB)
 
 
 def known_id(column: str) -> Column:

@@ -179,5 +179,11 @@ def one_of_each(docs: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     keep = leading.groupBy(F.col("doc_id").alias("_doc"), "fp").agg(F.min("textkey").alias("_key")).select("_doc", "_key")
     named = docs.filter(F.col("doc_id").isNotNull()).withColumn("_textkey", F.xxhash64("text"))
     same = (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_textkey") == F.col("_key"))
-    kept = named.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_textkey"]).drop("_textkey")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    # texts are neither sorted nor aggregated: keys alone tell which rows are repeated, and only those are looked at again
+    repeated = fps.groupBy(F.col("doc_id").alias("_doc"), F.col("textkey").alias("_key")).count().filter("count > 1").drop("count")
+    repeats = bool(repeated.take(1))
+    once = keep.join(repeated, ["_doc", "_key"], "left_anti") if repeats else keep
+    kept = named.join(once.hint("shuffle_hash"), same, "left_semi")
+    if repeats:
+        kept = kept.unionByName(named.join(keep.join(repeated, ["_doc", "_key"], "left_semi"), same, "left_semi").dropDuplicates(["doc_id", "_textkey"]))
+    return kept.drop("_textkey").unionByName(docs.filter(F.col("doc_id").isNull()))
