@@ -16,7 +16,7 @@ from clonara.constants import (MINE_ENRICH, MINE_ENRICH_DEFAULT, MINE_MIN_FREQ,
 from clonara.functions.fisher import with_fisher
 from clonara.functions.text import alpha_seq, dataset_id
 from clonara.operators.ranks import top_k
-from clonara.operators.sampling import first_repertoires
+from clonara.operators.sampling import first_repertoires, order_columns
 from clonara.session import materialize
 
 SEQ = ["dataset", "junction_aa"]
@@ -104,7 +104,7 @@ def class_counts(df: DataFrame, metadata: DataFrame, max_files: int | None = Non
     """
     if exclude_fold is not None:
         metadata = metadata.join(exclude_fold.select(*REP), REP, "left_anti")
-    chosen = first_repertoires(metadata.select(*REP, "label_positive"), max_files)
+    chosen = first_repertoires(metadata.select(*REP, "label_positive", *order_columns(metadata)), max_files).drop("file_order")
     sizes = chosen.groupBy("dataset").agg(F.count_if("label_positive").alias("n_pos"), F.count_if(~F.col("label_positive")).alias("n_neg"))
     present = df.select(*REP, "junction_aa").where(F.col("junction_aa").isNotNull()).join(chosen, REP).distinct()
     return _per_sequence(present).join(sizes, "dataset")
@@ -139,6 +139,34 @@ def mine_enriched(df: DataFrame, metadata: DataFrame, max_files: int | None = No
     return ranked.where(F.col("_r") <= _by_dataset(widths, top_n)).drop("_r")
 
 
+def fold_counts(df: DataFrame, folds: DataFrame) -> DataFrame:
+    """Class counts of every sequence and class sizes with each ``fold`` of its dataset left out in turn.
+
+    ``folds`` holds dataset, repertoire_id, label_positive and fold. Presence is shuffled and counted once, per fold; what
+    remains without a fold is the total less that fold's share. A sequence has one row per fold of its dataset.
+    """
+    chosen = folds.select(*REP, "label_positive", "fold")
+    y = F.col("label_positive")
+    count = lambda c: F.count_if(c).cast("long")
+    per = chosen.groupBy("dataset", "fold").agg(count(y).alias("p"), count(~y).alias("q"))
+    sizes = per.groupBy("dataset").agg(F.sum("p").alias("P"), F.sum("q").alias("Q"), F.collect_list(F.struct("fold", "p", "q")).alias("_f"))
+    sizes = sizes.select("dataset", F.transform("_f", lambda f: F.struct(f["fold"].alias("fold"), (F.col("P") - f["p"]).alias("n_pos"), (F.col("Q") - f["q"]).alias("n_neg"))).alias("_sizes"))
+    present = df.select(*REP, "junction_aa").where(F.col("junction_aa").isNotNull()).join(chosen, REP).distinct()
+    seen = present.groupBy(*SEQ, "fold").agg(count(y).alias("p"), count(~y).alias("q"))
+    total = seen.groupBy(*SEQ).agg(F.sum("p").alias("P"), F.sum("q").alias("Q"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("p", "q")))).alias("_by"))
+    rows = total.join(sizes, "dataset").select(*SEQ, "P", "Q", "_by", F.explode("_sizes").alias("s"))
+    own = F.try_element_at("_by", F.col("s.fold"))
+    less = lambda all_, c: (F.col(all_) - F.coalesce(own[c], F.lit(0))).alias({"p": "pos", "q": "neg"}[c])
+    return rows.select(*SEQ, "s.fold", less("P", "p"), less("Q", "q"), "s.n_pos", "s.n_neg")
+
+
+def mine_by_fold(df: DataFrame, folds: DataFrame, min_freq: float = 0.15, enrichment: float = 5.0) -> DataFrame:
+    """Enriched sequences for every fold, mined without its repertoires; the list of a fold never saw it."""
+    pf, nf = F.col("pos_freq"), F.col("neg_freq")
+    return (_with_frequencies(fold_counts(df, folds)).where((F.col("pos") > 0) & (pf >= min_freq) & (pf > nf * enrichment))
+            .select(*SEQ, "fold", _log_ratio().alias("score"), "pos_freq", "neg_freq"))
+
+
 def _by_dataset(values: dict[int, float], default: float) -> Column:
     table = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
     return F.coalesce(F.get(F.array(F.try_element_at(table, dataset_id("dataset"))), F.lit(0)), F.lit(default))

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from clonara.constants import IMPORTANCE_WEIGHTS
 from clonara.operators.evaluate import log_loss, roc_auc
-from clonara.operators.model import (FeatureSpace, out_of_fold, probability, scaled, stratified_folds, stratified_holdout)
+from clonara.operators.align import union_all
+from clonara.operators.fits import compact, run_fits
+from clonara.operators.model import (FeatureSpace, fold_values, probability, scaled, stratified_folds, stratified_holdout)
 from clonara.session import materialize
 
 
@@ -42,12 +44,18 @@ class Stacking:
         classes = [r.label for r in data.select("label").distinct().limit(3).collect()]
         if len(classes) != 2:
             raise ValueError("only binary labels are supported")
-        rows = materialize(stratified_folds(data, self.folds, self.seed), "folds")
-        stacked = rows
-        for name, learner in self.learners.items():
-            oof, models = out_of_fold(learner, stacked, name)
-            stacked = materialize(oof, "oof")
-            self.fold_models[name] = [models[f] for f in sorted(models)]
+        rows = compact(materialize(stratified_folds(data, self.folds, self.seed), "folds"))
+        folds = fold_values(rows)
+        fitted = run_fits(data.sparkSession, {(name, f): lambda e=e, f=f: e.fit(rows.where(F.col("fold") != f)) for name, e in self.learners.items() for f in folds})
+        self.fold_models = {name: [fitted[name, f] for f in folds] for name in self.learners}
+        parts = []
+        for i, f in enumerate(folds):
+            part = rows.where(F.col("fold") == f)
+            for name, models in self.fold_models.items():
+                part = probability(models[i].transform(part), name)
+            parts.append(part)
+        stacked = compact(materialize(union_all(parts), "oof"))
+        for name in self.learners:
             self.cv_scores[name] = roc_auc(stacked.withColumn("p", F.col(name)), ["fold"]).agg(F.avg("auc")).first()[0]
         n = stacked.count()
         meta = self.meta or LogisticRegression(family="binomial", regParam=1.0 / max(n, 1), standardization=False, maxIter=1000)
@@ -108,8 +116,9 @@ class RidgeStack:
                 "logreg": LogisticRegression(family="binomial", elasticNetParam=1.0, regParam=1.0 / (0.1 * max(n, 1)), standardization=False, maxIter=1000)}
 
     def _fit_bases(self, data: DataFrame):
+        data = compact(data)
         flat, scaler = scaled(data)
-        return {k: e.fit(flat if k == "logreg" else data) for k, e in self._learners(data.count()).items()}, scaler
+        return run_fits(data.sparkSession, {k: lambda k=k, e=e: e.fit(flat if k == "logreg" else data) for k, e in self._learners(data.count()).items()}), scaler
 
     def _base_predictions(self, data: DataFrame, bases, scaler) -> DataFrame:
         out = data

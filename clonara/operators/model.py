@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clonara.constants import CLASS_WEIGHT, CLASS_WEIGHT_DEFAULT, REP
 from clonara.functions.text import dataset_id
+from clonara.operators.fits import best_round, boost_until_flat, compact, run_fits
+from clonara.operators.align import union_all
 from clonara.operators.evaluate import balanced_accuracy, roc_auc
 from clonara.operators.kmers import sparse_rows
 from clonara.operators.ranks import dense_numbers, densify
@@ -60,12 +62,18 @@ def number_features(selected: DataFrame) -> DataFrame:
 def assemble(features: DataFrame, vocabulary: DataFrame, repertoires: DataFrame, size: int) -> DataFrame:
     """One vector per repertoire over an indexed vocabulary; absent features are zero.
 
-    ``size`` is that of a selected list, so each vector is an array filled by position.
+    ``size`` is that of a selected list. The sorted positions of a repertoire's features and the zeros between them are
+    laid side by side, so the work is that of the vector's length.
     """
     rows = sparse_rows(features, vocabulary)
-    at = lambda i: F.array_position("indices", i)
-    value = lambda i: F.when(at(i) > 0, F.get("values", at(i).cast("int") - 1)).otherwise(F.lit(0.0))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value) if size else F.array().cast("array<double>")
+    n = F.size("indices")
+    # each entry brings itself and the zeros up to the next one; the first brings those before it, too
+    at = lambda i: F.get("indices", i).cast("int")
+    upto = lambda i: F.coalesce(at(i + 1), F.lit(size))
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k.cast("int"))
+    own = lambda i: F.when((i > 0) & (at(i) == at(i - 1)), F.array().cast("array<double>")).otherwise(F.array(F.get("values", i)))
+    runs = F.transform("indices", lambda _, i: F.concat(own(i), zeros(upto(i) - at(i) - 1)))
+    filled = F.concat(zeros(F.when(n > 0, at(F.lit(0))).otherwise(size)), F.flatten(runs))
     none = F.array_repeat(F.lit(0.0), size)
     return (repertoires.join(rows, REP, "left").withColumn("features", array_to_vector(F.when(F.col("indices").isNull(), none).otherwise(filled)))
             .drop("indices", "values"))
@@ -151,15 +159,15 @@ def fold_values(df: DataFrame) -> list[int]:
 
 
 def out_of_fold(estimator: Estimator, df: DataFrame, name: str = "p") -> tuple[DataFrame, dict[int, Model]]:
-    """Each row predicted by the model that did not see its fold, and the models."""
-    parts, models = [], {}
-    for f in fold_values(df):
-        models[f] = estimator.fit(df.where(F.col("fold") != f))
-        parts.append(probability(models[f].transform(df.where(F.col("fold") == f)), name))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, models
+    """Each row predicted by the model that did not see its fold, and the models; folds are fitted at the same time."""
+    models = fold_models(estimator, df)
+    parts = [probability(m.transform(df.where(F.col("fold") == f)), name) for f, m in models.items()]
+    return union_all(parts), models
+
+
+def fold_models(estimator: Estimator, df: DataFrame) -> dict[int, Model]:
+    """The model of each fold, fitted on the rows of all others."""
+    return run_fits(df.sparkSession, {f: lambda f=f: estimator.fit(df.where(F.col("fold") != f)) for f in fold_values(df)})
 
 
 def mean_fold_score(predicted: DataFrame, metric: str = "roc_auc") -> float:
@@ -190,7 +198,7 @@ def blend_weights(coefficients: DataFrame, group: list[str] = ()) -> DataFrame:
 
 def select_gain(data: DataFrame, space: FeatureSpace, top: int = 500, rounds: int = 30, depth: int = 4) -> DataFrame:
     """Features ranked by importance in shallow boosted trees, filled up in name order."""
-    model = GBTClassifier(maxDepth=depth, maxIter=rounds, stepSize=0.1, seed=42).fit(data)
+    model = GBTClassifier(maxDepth=depth, maxIter=rounds, stepSize=0.1, seed=42).fit(compact(data))
     gains = model.featureImportances
     scored = sorted(((float(gains[i]), n) for i, n in enumerate(space.names)), key=lambda g: (-g[0], g[1]))
     rows = [(n, g, i + 1) for i, (g, n) in enumerate(scored[:top])]
@@ -231,7 +239,7 @@ class SparseLogistic:
         split = materialize(stratified_holdout(data, self.holdout, self.seed), "holdout")
         train = split.where(~F.col("holdout")).drop("holdout")
         train, self.scaler = scaled(train)
-        train = materialize(stratified_folds(train, self.folds, self.seed), "folds")
+        train = compact(materialize(stratified_folds(train, self.folds, self.seed), "folds"))
         count = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
         n, k = sum(count.values()), len(fold_values(train))
         lr = LogisticRegression(family="binomial", elasticNetParam=1.0, standardization=False, maxIter=1000, tol=1e-4)
@@ -250,7 +258,7 @@ class SparseLogistic:
             evaluator = MulticlassClassificationEvaluator(metricName="weightedRecall", weightCol="_balance")
             share = count
             train = train.withColumn("_balance", F.when(F.col("label") == 1.0, F.lit(1.0 / share.get(1.0, 1))).otherwise(F.lit(1.0 / share.get(0.0, 1))))
-        cv = CrossValidator(estimator=lr, estimatorParamMaps=maps, evaluator=evaluator, numFolds=k, foldCol="fold", parallelism=2).fit(train)
+        cv = CrossValidator(estimator=lr, estimatorParamMaps=maps, evaluator=evaluator, numFolds=k, foldCol="fold", parallelism=8).fit(train)
         best = max(range(len(maps)), key=lambda i: cv.avgMetrics[i])
         self.best_c, self.cv_score = self.c_values[best], cv.avgMetrics[best]
         self.model = lr.copy({lr.regParam: 1.0 / (self.best_c * n)}).fit(train)
@@ -272,46 +280,65 @@ class SparseLogistic:
 
 @dataclass
 class BoostedEnsemble:
-    """Two boosted-tree variants averaged over seeds, with the number of rounds found by cross-validation."""
+    """Two boosted-tree variants averaged over seeds, with the number of rounds found by cross-validation.
+
+    Every fold's fit runs until ``patience`` rounds bring no lesser loss on the held fold, ``max_rounds`` at most, and
+    predicts with the trees up to its best round. The final fits have the mean best round plus ``extra_rounds``.
+    """
 
     seeds: tuple[int, ...] = (42, 123, 456)
     folds: int = 5
-    max_rounds: int = 100
+    max_rounds: int = 1000
+    patience: int = 100
     min_rounds: int = 100
     extra_rounds: int = 50
     variants: tuple[dict, ...] = ({"maxDepth": 6, "stepSize": 0.03, "subsamplingRate": 0.8, "minInstancesPerNode": 15, "featureSubsetStrategy": "0.8"},
                                   {"maxDepth": 5, "stepSize": 0.02, "minInstancesPerNode": 20})
     models: dict = field(default_factory=dict, repr=False)
     cv_scores: dict = field(default_factory=dict)
+    curves: dict = field(default_factory=dict, repr=False)
+    rounds: dict = field(default_factory=dict)
     weights: list[float] | None = None
 
-    def _trees(self, variant: int, seed: int, rounds: int, validated: bool) -> GBTClassifier:
-        gbt = GBTClassifier(maxIter=rounds, seed=seed, weightCol="weight", **self.variants[variant])
-        return gbt.setValidationIndicatorCol("_valid") if validated else gbt
+    def _trees(self, variant: int, seed: int, rounds: int = 1) -> GBTClassifier:
+        return GBTClassifier(maxIter=rounds, seed=seed, weightCol="weight", **self.variants[variant])
 
     def fit(self, data: DataFrame, learn_weights: bool = False) -> "BoostedEnsemble":
-        """``data`` holds features, label, label_positive and weight."""
+        """``data`` holds features, label, label_positive and weight; the fits of all seeds, folds and variants share a pool."""
+        spark, variants = data.sparkSession, range(len(self.variants))
+        data = compact(data)
+        rows = {seed: compact(materialize(stratified_folds(data, self.folds, seed), "folds")) for seed in self.seeds}
+        held = lambda seed, f: rows[seed].where(F.col("fold") == f)
+        keys = [(seed, f, i) for seed in self.seeds for f in fold_values(rows[seed]) for i in variants]
+        found = run_fits(spark, {(seed, f, i): lambda seed=seed, f=f, i=i: boost_until_flat(
+            self._trees(i, seed), rows[seed].where(F.col("fold") != f), held(seed, f), self.max_rounds, self.patience) for seed, f, i in keys})
+        self.curves = {k: losses for k, (_, losses) in found.items()}
+        names = [f"p{i}" for i in variants]
         for seed in self.seeds:
-            rows = materialize(stratified_folds(data, self.folds, seed), "folds")
-            oof, best = None, []
-            for f in fold_values(rows):
-                marked = rows.withColumn("_valid", F.col("fold") == f)
-                held = rows.where(F.col("fold") == f)
-                for i in range(len(self.variants)):
-                    m = self._trees(i, seed, self.max_rounds, True).fit(marked)
-                    best.append(m.getNumTrees)
-                    held = probability(m.transform(held), f"p{i}")
-                oof = held if oof is None else oof.unionByName(held)
-            oof = materialize(oof, "oof")
-            names = [f"p{i}" for i in range(len(self.variants))]
+            parts, best = [], []
+            for f in fold_values(rows[seed]):
+                part = held(seed, f)
+                for i in variants:
+                    model = found[seed, f, i][0]
+                    best.append(model.getNumTrees)
+                    part = probability(model.transform(part), names[i])
+                parts.append(part)
+            oof = materialize(union_all(parts), "oof")
             mean = sum(F.col(n) for n in names) / len(names)
             self.cv_scores[seed] = roc_auc(oof.select("label_positive", mean.alias("p"), F.lit(1).alias("_all")), ["_all"]).first()["auc"]
             if learn_weights and self.weights is None:
                 self.weights = stacked_weights(oof, names)
-            rounds = max(int(sum(best) / len(best)) + self.extra_rounds, self.min_rounds)
-            self.models[seed] = [self._trees(i, seed, rounds, False).fit(data) for i in range(len(self.variants))]
+            self.rounds[seed] = max(int(sum(best) / len(best)) + self.extra_rounds, self.min_rounds)
+        last = run_fits(spark, {(seed, i): lambda seed=seed, i=i: self._trees(i, seed, self.rounds[seed]).fit(data) for seed in self.seeds for i in variants})
+        self.models = {seed: [last[seed, i] for i in variants] for seed in self.seeds}
         return self
 
+    def curve(self, spark) -> DataFrame:
+        """(seed, fold, variant, round, loss, chosen) of the validation curves."""
+        rows = [(seed, f, i, r, float(loss), r == best_round(losses, self.patience)[0])
+                for (seed, f, i), losses in self.curves.items() for r, loss in enumerate(losses, 1)]
+        return spark.createDataFrame(rows, "seed int, fold int, variant int, round int, loss double, chosen boolean")
+
     def predict(self, data: DataFrame, name: str = "p") -> DataFrame:
         """Weighted mean within a seed, plain mean over seeds."""
         weights = self.weights or [1.0 / len(self.variants)] * len(self.variants)
@@ -348,19 +375,42 @@ def multilayer_perceptron(size: int, hidden: tuple[int, ...] = (64, 16), rounds:
 def best_model(data: DataFrame, size: int, folds: int = 5, rounds: int = 100, seed: int = 42):
     """Logistic, L1 logistic or perceptron, whichever has the best mean fold AUC; refit on all rows."""
     rows, scaler = scaled(data)
-    rows = materialize(stratified_folds(rows, folds, seed), "folds")
+    rows = compact(materialize(stratified_folds(rows, folds, seed), "folds"))
     n = rows.count()
     options = {"logistic": LogisticRegression(family="binomial", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=2000),
                "logistic_l1": LogisticRegression(family="binomial", regParam=1.0 / (0.1 * n), elasticNetParam=1.0, standardization=False, maxIter=2000),
                "perceptron": multilayer_perceptron(size, rounds=rounds, seed=seed)}
-    scores = {name: mean_fold_score(out_of_fold(e, rows)[0]) for name, e in options.items()}
+    fitted = run_fits(data.sparkSession, {(name, f): lambda e=e, f=f: e.fit(rows.where(F.col("fold") != f)) for name, e in options.items() for f in fold_values(rows)})
+    predicted = {name: [probability(m.transform(rows.where(F.col("fold") == f))) for (of, f), m in fitted.items() if of == name] for name in options}
+    scores = {name: mean_fold_score(union_all(parts)) for name, parts in predicted.items()}
     chosen = max(scores, key=lambda k: scores[k] if scores[k] is not None else -1.0)
     return chosen, scores, options[chosen].fit(rows), scaler
 
 
+INTERCEPT = "(intercept)"
+
+
 def leave_one_dataset_out(estimator: Estimator, data: DataFrame) -> DataFrame:
     """AUC of each dataset under a model of the others, with mean and deviation."""
     from clonara.operators.reports import cv_summary
 
-    oof, _ = out_of_fold(estimator, dataset_folds(data))
+    oof, _ = out_of_fold(estimator, compact(dataset_folds(data)))
     return cv_summary(roc_auc(oof, ["dataset"]))
+
+
+def fold_coefficients(models: dict[int, Model], space: FeatureSpace, spark) -> DataFrame:
+    """(fold, feature, coefficient) of linear models by the fold they never saw, the intercept among them; stored."""
+    rows = [(f, n, float(c)) for f, m in models.items() for n, c in zip([*space.names, INTERCEPT], [*m.coefficients.toArray(), m.intercept])]
+    return materialize(spark.createDataFrame(rows, "fold int, feature string, coefficient double"), "coefficients")
+
+
+def routed_scores(features: DataFrame, repertoires: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """Each repertoire scored by the model of its ``fold``, so one that never saw its dataset, in one pass over the features.
+
+    Absent features are zero; a repertoire whose fold has no model gets no row.
+    """
+    known = repertoires.select(*REP, "fold").join(coefficients.where(F.col("feature") == INTERCEPT).select("fold", F.col("coefficient").alias("_start")), "fold")
+    terms = (features.select(*REP, "feature", "value").join(known, REP).join(coefficients, ["fold", "feature"])
+             .groupBy(*REP).agg(F.sum(F.col("coefficient") * F.col("value")).alias("_sum")))
+    z = F.col("_start") + F.coalesce("_sum", F.lit(0.0))
+    return known.join(terms, REP, "left").select(*REP, "fold", (1 / (1 + F.exp(-z))).alias("p"))

@@ -14,7 +14,7 @@ from clonara.functions.text import STRICT, alpha_seq, default_j, default_v, sent
 from clonara.operators.align import submission_rows
 from clonara.operators.kmers import BROADCAST_ROWS, explode_kmers, windows
 from clonara.operators.ranks import top_k
-from clonara.operators.sampling import first_repertoires, uniform
+from clonara.operators.sampling import first_repertoires, order_columns, uniform
 from clonara.session import materialize
 
 SEQ = ["dataset", "junction_aa"]
@@ -24,10 +24,10 @@ _SALTS = 16
 
 def _rows_of(df: DataFrame, metadata: DataFrame, positive: bool | None, n: int | None) -> DataFrame:
     """Rows of the repertoires (of one class), or of the first ``n`` of them."""
-    m = metadata.select(*REP, "label_positive")
+    m = metadata.select(*REP, "label_positive", *order_columns(metadata))
     if positive is not None:
         m = m.where(F.col("label_positive") == positive)
-    return df.drop("label_positive").join(first_repertoires(m, n, by_label=positive is not None), REP)
+    return df.drop("label_positive").join(first_repertoires(m, n, by_label=positive is not None).drop("file_order"), REP)
 
 
 def _ranked(scored: DataFrame, k: int, *ties: str) -> DataFrame:
@@ -211,8 +211,8 @@ def rank_attention(weights: DataFrame, k: int = 50000) -> DataFrame:
 
 def vj_lookup(seqs: DataFrame, df: DataFrame, metadata: DataFrame, pos_files: int | None = None, any_files: int | None = None) -> DataFrame:
     """First (V, J) with a known V per sequence: positive repertoires first, then the others."""
-    pos = first_repertoires(metadata.where("label_positive").select(*REP), pos_files, by_label=False).withColumn("late", F.lit(0))
-    some = first_repertoires(metadata.select(*REP), any_files, by_label=False).withColumn("late", F.lit(1))
+    pos = first_repertoires(metadata.where("label_positive").select(*REP, *order_columns(metadata)), pos_files, by_label=False).drop("file_order").withColumn("late", F.lit(0))
+    some = first_repertoires(metadata.select(*REP, *order_columns(metadata)), any_files, by_label=False).drop("file_order").withColumn("late", F.lit(1))
     files = pos.unionByName(some).groupBy(*REP).agg(F.min("late").alias("late"))
     rows = df.where((F.col("v_call") != "") & F.col("junction_aa").isNotNull()).select(*TRIPLE, "repertoire_id", "row_order").join(files, REP)
     # fold to one row per sequence before the join, so a frequent sequence stays spread out

@@ -33,10 +33,16 @@ def uniform_sample(df: DataFrame, n: int, key: list[str], seed: int = 42) -> Dat
     return top_k(rows, REP, [F.asc("_u"), *[F.asc(k) for k in key]], n, salt_on=[*REP, *key]).drop("_u")
 
 
-def first_repertoires(metadata: DataFrame, n: int | None, order: str = "repertoire_id", by_label: bool = True) -> DataFrame:
-    """The first ``n`` repertoires of each dataset (and class) in file order."""
+def order_columns(metadata: DataFrame) -> list[str]:
+    """The column of file order, where there is one."""
+    return [c for c in metadata.columns if c == "file_order"]
+
+
+def first_repertoires(metadata: DataFrame, n: int | None, order: str | None = None, by_label: bool = True) -> DataFrame:
+    """The first ``n`` repertoires of each dataset (and class) by ``order``: file order where the metadata has it, else the id."""
     group = ["dataset", "label_positive"] if by_label else ["dataset"]
-    return metadata if n is None else top_k(metadata, group, [F.asc(order)], n)
+    order = order or ("file_order" if "file_order" in metadata.columns else "repertoire_id")
+    return metadata if n is None else top_k(metadata, group, [F.asc(order), F.asc("repertoire_id")], n)
 
 
 def top_rows(df: DataFrame, k: int, order: list[Column]) -> DataFrame:

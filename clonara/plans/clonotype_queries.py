@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from clonara.constants import REP
 from clonara.operators import clonotypes, sampling
+from clonara.operators.model import stratified_folds
 from clonara.plans.profile_queries import rounded
 from clonara.plans.registry import query
 
@@ -96,6 +97,22 @@ def _(t):
     return rounded(clonotypes.mine_enriched(t.rearrangements, t.metadata))
 
 
+FOLD_IDS = """h AS (SELECT dataset, repertoire_id, label_positive, ('0x' || substr(md5(concat_ws('|', '42', dataset, repertoire_id)), 1, 12))::BIGINT AS h FROM metadata),
+n AS (SELECT dataset, least(5, greatest(2, least(count(*) FILTER (label_positive), count(*) FILTER (NOT label_positive)))) AS n FROM metadata GROUP BY ALL),
+folds AS (SELECT dataset, repertoire_id, label_positive, ((row_number() OVER (PARTITION BY dataset, label_positive ORDER BY h, repertoire_id) - 1) % n)::INT AS fold FROM h JOIN n USING (dataset))"""
+
+
+@query("mine_by_fold", f"""WITH {FOLD_IDS}, held AS (SELECT DISTINCT dataset, fold FROM folds),
+seen AS (SELECT h.dataset, h.fold, f.repertoire_id, f.label_positive FROM held h JOIN folds f ON f.dataset = h.dataset WHERE f.fold <> h.fold),
+sizes AS (SELECT dataset, fold, count(*) FILTER (label_positive) AS n_pos, count(*) FILTER (NOT label_positive) AS n_neg FROM seen GROUP BY ALL),
+p AS (SELECT DISTINCT dataset, repertoire_id, junction_aa FROM rearrangements WHERE junction_aa IS NOT NULL),
+c AS (SELECT dataset, fold, junction_aa, count(*) FILTER (label_positive) AS a, count(*) FILTER (NOT label_positive) AS b FROM p JOIN seen USING (dataset, repertoire_id) GROUP BY ALL),
+r AS (SELECT dataset, fold, junction_aa, a, a::DOUBLE / greatest(n_pos, 1) AS pf, b::DOUBLE / greatest(n_neg, 1) AS nf FROM c JOIN sizes USING (dataset, fold))
+SELECT dataset, fold, junction_aa, round(ln((pf + 1e-6) / (nf + 1e-6)), 6) AS score, round(pf, 6) AS pos_freq, round(nf, 6) AS neg_freq FROM r WHERE a > 0 AND pf >= 0.15 AND pf > nf * 5.0::DOUBLE""")
+def _(t):
+    return rounded(clonotypes.mine_by_fold(t.rearrangements, stratified_folds(t.metadata, 5, 42, ["dataset"])))
+
+
 @query("mine_enriched_all", f"WITH {_enriched()} SELECT dataset, junction_aa, round(score, 6) AS score, round(pos_freq, 6) AS pos_freq, round(neg_freq, 6) AS neg_freq FROM mined")
 def _(t):
     return rounded(clonotypes.mine_enriched(t.rearrangements, t.metadata))
@@ -247,12 +264,6 @@ def _(t):
     return sampling.uniform_sample(t.rearrangements, 200, _KEY).groupBy(*REP).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("first_n_reps", """SELECT dataset, repertoire_id, label_positive FROM metadata
-QUALIFY row_number() OVER (PARTITION BY dataset, label_positive ORDER BY repertoire_id) <= 10""")
-def _(t):
-    return sampling.first_repertoires(t.metadata, 10).select(*REP, "label_positive")
-
-
 @query("topk", """SELECT junction_aa, count(*) AS n FROM rearrangements WHERE junction_aa IS NOT NULL GROUP BY ALL
 ORDER BY n DESC, junction_aa LIMIT 100""")
 def _(t):

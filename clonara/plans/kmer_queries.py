@@ -101,9 +101,12 @@ def _(t):
     return kmers.learn_vocabulary(t.word_bags, (3, 4), 500)
 
 
-@query("kmer_index", f"""WITH w AS ({_union(_once, (3, 4))}), {_VOCAB.format(n=200)}
+KMER_INDEX = f"""WITH w AS ({_union(_once, (3, 4))}), {_VOCAB.format(n=200)}
 SELECT 'kmer_' || k || '_' || kmer AS feature, k, kmer,
-  (rank - 1 + CASE k WHEN 3 THEN 0 ELSE (SELECT count(*) FROM v WHERE k = 3) END)::BIGINT AS index FROM v""")
+  (rank - 1 + CASE k WHEN 3 THEN 0 ELSE (SELECT count(*) FROM v WHERE k = 3) END)::BIGINT AS index FROM v"""
+
+
+@query("kmer_index", KMER_INDEX)
 def _(t):
     return kmers.index_vocabulary(kmers.learn_vocabulary(t.rearrangements, (3, 4), 200))
 

@@ -6,14 +6,17 @@ from pyspark.sql import functions as F
 from clonara.constants import REP
 from clonara.operators import clonotypes, diversity, ensemble, evaluate, genes, kmers, lengths, model
 from clonara.operators.align import union_all
+from clonara.operators.fits import compact
+from clonara.plans import bundle
 from clonara.plans.features import extract_features, long_table
+from clonara.plans.kmer_queries import KMER_INDEX
 from clonara.plans.predictor import RepertoirePredictor, run_all
 from clonara.plans.profile_queries import rounded
 from clonara.plans.clonotype_queries import hits_by_dataset
 from clonara.plans.registry import ORACLES, oracle_text, query
 from clonara.plans.report_queries import both_models
 from clonara.plans import source_queries  # noqa: F401  registers twins that are read below
-from clonara.session import materialize
+from clonara.session import materialize, shared_path
 from clonara.sources import repertoires
 
 def _features(t):
@@ -215,6 +218,14 @@ def _(t):
     return _scores(fitted.predict(data))
 
 
+@query("boost_curve")
+def _(t):
+    data, _ = training(t)
+    settings = {"maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 5}
+    fitted = model.BoostedEnsemble(seeds=(42,), folds=2, min_rounds=1, extra_rounds=0, variants=(settings,)).fit(data)
+    return rounded(fitted.curve(t.spark))
+
+
 @query("oof_predict")
 def _(t):
     data, _ = training(t)
@@ -248,6 +259,16 @@ def _(t):
     return rounded(model.leave_one_dataset_out(LogisticRegression(regParam=0.01), data))
 
 
+@query("lodo_predict")
+def _(t):
+    features = materialize(_features(t), "features")
+    space = model.FeatureSpace.of(model.select_variance(features, t.metadata, 60))
+    folds = model.dataset_folds(t.metadata.select(*REP, "label_positive"))
+    data = compact(materialize(model.labelled(space.vectors(features, folds)), "training"))
+    coefficients = model.fold_coefficients(model.fold_models(LogisticRegression(regParam=0.01), data), space, t.spark)
+    return rounded(model.routed_scores(features, folds, coefficients))
+
+
 @query("best_model")
 def _(t):
     data, space = training(t)
@@ -263,6 +284,22 @@ def _(t):
     return _scores(model.probability(model.multilayer_perceptron(len(space.names)).fit(rows).transform(rows)))
 
 
+@query("bundle_kmers", KMER_INDEX)
+def _(t):
+    path = shared_path(t.spark, "bundle")
+    bundle.save(kmers.KmerFeaturizer(k_range=(3, 4), per_k=200).fit(t.rearrangements), path, t.spark)
+    return bundle.load(t.spark, path).feature_names()
+
+
+@query("bundle_scores")
+def _(t):
+    data, _ = training(t)
+    path, fitted = shared_path(t.spark, "bundle"), model.SparseLogistic(c_values=(0.1,), folds=3).fit(data)
+    bundle.save(fitted, path, t.spark)
+    after = bundle.load(t.spark, path).predict(data).select(*REP, F.col("p").alias("p_loaded"))
+    return rounded(fitted.predict(data).select(*REP, "p").join(after, REP).withColumn("same", F.abs(F.col("p") - F.col("p_loaded")) < 1e-9))
+
+
 @query("predictor")
 def _(t):
     rows, m = t.rearrangements, t.metadata

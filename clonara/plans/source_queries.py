@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clonara.constants import AMINO_ACIDS, REP
 from clonara.functions import text
-from clonara.operators import align
+from clonara.operators import align, sampling
 from clonara.plans.profile_queries import rounded
 from clonara.plans.registry import query
 from clonara.session import shared_path
@@ -63,7 +63,16 @@ def _(t):
 
 @query("scan_metadata", """SELECT dataset, repertoire_id, filename, label_positive, sex, age::DOUBLE AS age, race, sequencing_run_id, hla_a FROM metadata""")
 def _(t):
-    return repertoires.scan_metadata(t.spark, metadata_root(t))
+    return repertoires.scan_metadata(t.spark, metadata_root(t)).drop("file_order")
+
+
+@query("first_n_reps", """SELECT dataset, repertoire_id, label_positive FROM metadata
+QUALIFY row_number() OVER (PARTITION BY dataset, label_positive ORDER BY md5(repertoire_id), repertoire_id) <= 10""")
+def _(t):
+    # files whose order is not that of the ids
+    rows = t.metadata.withColumn("_o", F.md5(F.col("repertoire_id").cast("binary"))).repartition("dataset").sortWithinPartitions("dataset", "_o", "repertoire_id").drop("_o")
+    root = _layout(t, "ordered", lambda p: rows.write.option("header", True).partitionBy("dataset").csv(p))
+    return sampling.first_repertoires(repertoires.scan_metadata(t.spark, root), 10).select(*REP, "label_positive")
 
 
 @query("scan_sequences", """SELECT dataset, repertoire_id, junction_aa, v_call FROM rearrangements WHERE junction_aa IS NOT NULL""")

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clonara.constants import REP
 from clonara.functions.text import coerce_templates, dataset_id, missing_to_null
@@ -164,12 +164,25 @@ def scan_sequences(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", separators[suffix]).option("header", True).csv(path)
 
 
+def in_file_order(scan: DataFrame) -> DataFrame:
+    """Rows of a file scan with ``file_order``, their place from 0 by file name and line, also where files are split.
+
+    Rows of a split come in order within their task; what the earlier splits and files hold is added. That list has a row
+    per split.
+    """
+    place = scan.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    splits = place.groupBy("_path", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("_path", "_block", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return place.join(starts, ["_path", "_block"]).withColumn("file_order", F.col("_at") + F.col("_shift")).drop("_path", "_block", "_at", "_shift")
+
+
 def scan_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata with a boolean label and a numeric age; a missing file gives no rows."""
+    """Metadata with a boolean label, a numeric age and ``file_order``; a missing file gives no rows."""
     try:
         raw = spark.read.option("header", True).csv(path)
     except AnalysisException:
-        return spark.createDataFrame([], METADATA_SCHEMA)
+        return spark.createDataFrame([], METADATA_SCHEMA + ", file_order long")
     columns = []
     for c in raw.columns:
         value = missing_to_null(F.col(f"`{c}`"))
@@ -178,7 +191,7 @@ def scan_metadata(spark: SparkSession, path: str) -> DataFrame:
         elif c == "age":
             value = value.try_cast("double")
         columns.append(value.alias(c))
-    return raw.select(*columns)
+    return in_file_order(raw).select(*columns, "file_order")
 
 
 @dataclass

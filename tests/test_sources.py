@@ -98,11 +98,50 @@ def test_store_resumes(spark, rows, metadata, tmp_path):
 def test_store_notes_repertoires_without_features_and_mends_a_broken_run(spark, rows, metadata, tmp_path):
     store = stores.FeatureStore(spark, str(tmp_path / "store"))
     feature = lambda df: df.where("repertoire_id <> 'r2'").groupBy("dataset", "repertoire_id").count().selectExpr("dataset", "repertoire_id", "'n' AS feature", "count AS value")
-    store.append(feature(rows.where("repertoire_id = 'r1'")))  # a run that wrote features and stopped
-    assert store.pending(metadata).count() == 3
+    left = store.stage(feature(rows.where("repertoire_id = 'r1'")), metadata.where("repertoire_id = 'r1'"))  # a run that stopped before its commitment
+    assert store.pending(metadata).count() == 3 and store.read().count() == 0
     store.fill(metadata, rows, feature)
     assert store.pending(metadata).count() == 0
     assert sorted(r.repertoire_id for r in store.read().collect()) == ["r1", "r3"]
+    assert store.discard_staged() == [left] and store.read().count() == 2
+    store.fill(metadata, rows, lambda df: 1 / 0)  # nothing is pending, nothing is computed
+
+
+def test_a_resume_writes_new_rows_only(spark, rows, metadata, tmp_path):
+    store = stores.FeatureStore(spark, str(tmp_path / "store"))
+    feature = lambda df: df.groupBy("dataset", "repertoire_id").count().selectExpr("dataset", "repertoire_id", "'n' AS feature", "count AS value")
+    store.fill(metadata.where("repertoire_id = 'r1'"), rows, feature)
+    (first, _), = store.batches()
+    before = sorted(p.name for p in tmp_path.glob(f"store/features/batch={first}/**/*.parquet"))
+    store.fill(metadata, rows, feature)
+    (again, _), (second, _) = store.batches()
+    assert again == first and sorted(p.name for p in tmp_path.glob(f"store/features/batch={first}/**/*.parquet")) == before
+    new = spark.read.parquet(str(tmp_path / f"store/features/batch={second}"))
+    assert {r.repertoire_id for r in new.collect()} == {"r2", "r3"}
+
+
+def test_replaced_datasets_are_read_from_the_last_batch(spark, tmp_path):
+    store = stores.FeatureStore(spark, str(tmp_path / "store"))
+    make = lambda *rows: spark.createDataFrame([(d, r, "n", v) for d, r, v in rows], "dataset string, repertoire_id string, feature string, value double")
+    store.append(make(("a", "1", 1.0), ("b", "2", 2.0)))
+    store.write(make(("a", "1", 3.0), ("a", "3", 4.0)))
+    store.append(make(("a", "5", 5.0)))
+    got = sorted((r.dataset, r.repertoire_id, r.value) for r in store.read().collect())
+    assert got == [("a", "1", 3.0), ("a", "3", 4.0), ("a", "5", 5.0), ("b", "2", 2.0)]
+
+
+def test_file_order_of_split_files(spark, tmp_path):
+    ids = [f"r{(i * 7919) % 1000:04d}" for i in range(1000)]
+    for name, some in (("a.csv", ids[:600]), ("b.csv", ids[600:])):
+        (tmp_path / name).write_text("repertoire_id,filename,label_positive\n" + "".join(f"{i},{i}.tsv,{'True' if k % 3 else 'False'}\n\n" for k, i in enumerate(some)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = repertoires.scan_metadata(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 5
+        assert [r.repertoire_id for r in got.orderBy("file_order").collect()] == ids
+        assert sorted(r.file_order for r in got.collect()) == list(range(1000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_stages_need_a_shared_folder_outside_local_mode():
