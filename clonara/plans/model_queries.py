@@ -193,14 +193,14 @@ def _(t):
 
 @query("select_gain")
 def _(t):
-    data, space = training(t)
-    return model.select_gain(data, space, top=40, rounds=10, depth=3)
+    data, space = training(t, 2000)
+    return model.select_gain(data, space)
 
 
 @query("fit_logreg_l1")
 def _(t):
     data, _ = training(t)
-    fitted = model.SparseLogistic(c_values=(1.0, 0.1), folds=3).fit(data)
+    fitted = model.SparseLogistic().fit(data)
     return _scores(fitted.predict(data))
 
 
@@ -305,5 +305,5 @@ def _(t):
     rows, m = t.rearrangements, t.metadata
     test = lambda df: df.withColumn("dataset", F.replace("dataset", F.lit("train"), F.lit("test")))
     names = m.select("dataset").distinct()
-    make = lambda: RepertoirePredictor(learner=model.SparseLogistic(c_values=(0.1,), folds=2), max_features=60, candidates=100, gain_rounds=3, ks=(3,))
-    return rounded(run_all(rows, m, test(rows).drop("label_positive"), test(m), repertoires.route_tests(names, test(names)), make, k=2000))
+    make = lambda: RepertoirePredictor(learner=model.SparseLogistic())
+    return rounded(run_all(rows, m, test(rows).drop("label_positive"), test(m), repertoires.route_tests(names, test(names)), make))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from clonara.constants import MODEL_TOP_N, MODEL_TOP_N_DEFAULT, REP
 from clonara.operators import align, clonotypes, model, ranking
+from clonara.operators.fits import run_fits
 from clonara.operators.reports import default_score
 from clonara.plans.features import extract_features
 from clonara.session import materialize
@@ -94,7 +95,7 @@ def run_all(rows: DataFrame, metadata: DataFrame, test_rows: DataFrame, test_rep
     """Fit every train dataset, score its test datasets, rank its sequences: one submission.
 
     ``routes`` holds (test, train); ``make()`` gives a fresh predictor. Mining, features and
-    ranking run once over all datasets, as everything is keyed by dataset. Only the fits loop.
+    ranking run once over all datasets, as everything is keyed by dataset. The fits of the datasets run side by side.
     """
     needed = ["dataset", "repertoire_id", "junction_aa", "v_call", "j_call", "templates"]
     rows = materialize(rows.select(*needed, "row_order"), "rows", "dataset")
@@ -106,10 +107,11 @@ def run_all(rows: DataFrame, metadata: DataFrame, test_rows: DataFrame, test_rep
     train_features = materialize(extract_features(rows, mined, metadata, settings.ks, settings.feature_set), "features", "dataset")
     test_features = materialize(extract_features(test_rows, routed, None, settings.ks, settings.feature_set), "test_features", "dataset")
     predictions, weights = [], []
+    part = lambda table, name: table.where(F.col("dataset") == name)
+    names = sorted(r.dataset for r in metadata.select("dataset").distinct().collect())
+    fitted = run_fits(rows.sparkSession, {name: lambda name=name: make().fit_features(part(train_features, name), part(metadata, name)) for name in names}, width=4)
     pairs = [(r.test, r.train) for r in known.select("test", F.col("dataset").alias("train")).collect()]
-    for name in sorted(r.dataset for r in metadata.select("dataset").distinct().collect()):
-        mine = F.col("dataset") == name
-        predictor = make().fit_features(train_features.where(mine), metadata.where(mine))
+    for name, predictor in fitted.items():
         weights.append(predictor.kmer_weights().withColumn("dataset", F.lit(name)))
         of = F.col("dataset").isin([t for t, train in pairs if train == name])
         predictions.append(predictor.predict_features(test_features.where(of), test_repertoires.where(of)))

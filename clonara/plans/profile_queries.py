@@ -43,9 +43,9 @@ _PAIR = f"{_V} || '_' || {_J}"
 @query("vj_usage", f"""WITH g AS (SELECT dataset, repertoire_id, {_PAIR} AS pair FROM rearrangements),
 c AS (SELECT dataset, repertoire_id, pair, count(*) AS n FROM g WHERE NOT contains(pair, 'UNKNOWN') GROUP BY ALL),
 k AS (SELECT *, row_number() OVER ({_P} ORDER BY n DESC, pair) AS rn FROM c)
-SELECT dataset, repertoire_id, pair, round(n / sum(n) OVER ({_P}), 6) AS value FROM k WHERE rn <= 20""")
+SELECT dataset, repertoire_id, pair, round(n / sum(n) OVER ({_P}), 6) AS value FROM k WHERE rn <= 50""")
 def _(t):
-    return rounded(genes.pair_usage(t.rearrangements, keep=20))
+    return rounded(genes.pair_usage(t.rearrangements))
 
 
 _GV = f"""g AS (SELECT dataset, repertoire_id, 'v' AS kind, {_V} AS gene FROM rearrangements

@@ -242,7 +242,7 @@ def _(t):
 
 
 @query("sequence_rows", f"""WITH {fisher_cte()}, {_LOOK}, k AS (SELECT dataset, junction_aa, row_number() OVER (PARTITION BY dataset ORDER BY {_ORDER})::INT AS rank FROM mined),
-g AS (SELECT dataset, unnest(range(1, 101))::INT AS rank FROM (SELECT DISTINCT dataset FROM metadata)),
+g AS (SELECT dataset, unnest(range(1, 50001))::INT AS rank FROM (SELECT DISTINCT dataset FROM metadata)),
 row_ AS (SELECT g.dataset, g.rank, k.junction_aa, v_call, j_call FROM g LEFT JOIN k USING (dataset, rank) LEFT JOIN vj ON vj.dataset = k.dataset AND vj.junction_aa = k.junction_aa)
 SELECT dataset || '_seq_top_' || rank AS ID, dataset, -999.0::DOUBLE AS label_positive_probability, coalesce(junction_aa, 'CASSXXXXF') AS junction_aa,
 coalesce(nullif(v_call, ''), '-999.0') AS v_call, coalesce(nullif(j_call, ''), '-999.0') AS j_call FROM row_""")
@@ -250,4 +250,4 @@ def _(t):
     r, m = t.rearrangements, t.metadata
     mined = clonotypes.mine_fisher(r, m)
     ranked = ranking._ranked(mined.select("dataset", "junction_aa", "score"), 50000)
-    return ranking.sequence_rows(ranked, ranking.vj_lookup(mined, r, m), m, k=100)
+    return ranking.sequence_rows(ranked, ranking.vj_lookup(mined, r, m), m, k=50000)

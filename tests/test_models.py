@@ -74,7 +74,7 @@ def test_predictor_writes_a_full_submission(spark, tables):
     out = materialize(QUERIES["predictor"](spark, SF))
     n = tables.metadata.select("dataset").distinct().count()
     assert out.where("label_positive_probability <> -999").count() == tables.metadata.count()
-    assert out.where("label_positive_probability = -999").count() == 2000 * n
+    assert out.where("label_positive_probability = -999").count() == 50000 * n
     bad = out.where(F.col("junction_aa").isNull() | F.col("v_call").isNull())
     assert bad.count() == 0
 
