@@ -4,18 +4,21 @@ Everything is a built-in column expression. A regular expression sets marks arou
 the marks, and running lengths of the pieces are the places. Tokens of 20 or more characters outside the base spans
 get an encoding, the smallest usual alphabet they fit in, and p values of four tests of the hypothesis that their
 characters were drawn evenly from it: chi-squared on characters and on character classes, runs about the middle of the
-alphabet, and correlation of neighbours. The least p value, times the number of tests, decides.
-
-Random tokens have even p values, text has tiny ones. In every class of lengths the share of random tokens is estimated
-from the p values over one half, and the bound is the least p value at which no more than ``FALSE_SHARE`` of the tokens
-above it are expected to be text: the tests are weak on short tokens, so these need a higher bound or get none.
+alphabet, and correlation of neighbours. The least p value decides, as the chance that the least of four is so small.
+
+Text has tiny p values. Those of random tokens are nearly even, but not quite: the tests depend on each other and short
+tokens have few different counts. So the same battery runs on tokens drawn evenly from every encoding at every class of
+lengths (``null_bins``). In each class of lengths the number of random tokens is estimated, per encoding, from the p
+values over a quarter and the share that drawn tokens have there, and the bound is the least p value at which no more
+than ``FALSE_SHARE`` of the tokens above it are expected to be text: the tests are weak on short tokens, so these need
+a higher bound or get none.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonara.llm.common import stage
@@ -32,6 +35,10 @@ KINDS = ("assign", "access", "hex", "random")
 LENGTHS = (20, 24, 32, 48, 96)
 FALSE_SHARE = 0.1
 BINS = 100
+#: Number of random tokens is estimated from this bin on.
+ESTIMATE_FROM = 25
+#: Tokens drawn for each encoding and class of lengths; longest token drawn.
+DRAWN, LONGEST_DRAWN = 1500, 160
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Name, alphabet and the pattern of tokens that fit, smallest alphabet first.
@@ -95,7 +102,7 @@ def encoding_of(body: Column) -> Column:
     """The first encoding that a token without its closing equals signs fits in, as a struct; null if none."""
     found = []
     for name, alphabet, fits in ENCODINGS:
-        shares = [F.lit(sum(c in group for c in alphabet) / len(alphabet)).alias(f"share{k}") for k, group in enumerate((_DIGITS, _UPPER, _LOWER))]
+        shares = [F.lit(sum(c in group for c in alphabet) / len(alphabet)).alias(k) for k, group in (("upper", _UPPER), ("lower", _LOWER))]
         found.append(F.when(body.rlike(fits), F.struct(F.lit(name).alias("name"), F.lit(alphabet).alias("alphabet"), F.lit(float(len(alphabet))).alias("m"), *shares)))
     return F.coalesce(*found)
 
@@ -107,9 +114,13 @@ def _characters_even(body: Column, n: Column, m: Column) -> Column:
     return (squares * m / n - n - (m - 1)) / F.sqrt(2 * (m - 1) * (n - 1) / n)
 
 
-def _class_even(body: Column, n: Column, share: Column, group: str) -> Column:
-    have = F.length(F.regexp_replace(body, f"[^{group}]", "")).cast("double")
-    return F.when((share > 0) & (share < 1), F.abs(have - n * share) / F.sqrt(n * share * (1 - share))).otherwise(F.lit(0.0))
+def _classes_even(body: Column, n: Column, code: Column) -> Column:
+    """p value of chi-squared on the counts of upper case, lower case and all else."""
+    upper, lower = (F.length(F.regexp_replace(body, f"[^{group}]", "")).cast("double") for group in (_UPPER, _LOWER))
+    parts = ((upper, code["upper"]), (lower, code["lower"]), (n - upper - lower, 1 - code["upper"] - code["lower"]))
+    squares = reduce(lambda a, b: a + b, [F.when(share > 0, F.pow(have - n * share, F.lit(2.0)) / (n * share)).otherwise(F.lit(0.0)) for have, share in parts])
+    both = (code["upper"] > 0) & (code["lower"] > 0)
+    return _let(squares, lambda x: F.when(both, F.exp(-x / 2)).otherwise(_two_sided(F.sqrt(x))))
 
 
 def _runs(x: Column, n: Column, m: Column) -> Column:
@@ -138,19 +149,24 @@ def _serial(x: Column, n: Column) -> Column:
     return _let(mean, lambda mu: _let(F.transform(x, lambda v: v - mu), test))
 
 
-def battery(token: Column) -> Column:
-    """p value of a token under even drawing from its alphabet; zero if it fits no alphabet."""
+def judged(token: Column) -> Column:
+    """Struct (p, code): p value of a token under even drawing from its alphabet, zero if it fits none, and its encoding."""
     def tests(t: Column) -> Column:
         body, code, n = t["body"], t["code"], t["n"]
-        classes = [_class_even(body, n, code[f"share{k}"], group) for k, group in enumerate((_DIGITS, _UPPER, _LOWER))]
         places = F.transform(F.split(body, "(?<=.)(?=.)"), lambda c: F.position(c, code["alphabet"]).cast("double") - 1.0)
-        least = _let(places, lambda x: F.least(_two_sided(_characters_even(body, n, code["m"])), _two_sided(F.greatest(*classes)), _two_sided(_runs(x, n, code["m"])), _two_sided(_serial(x, n))))
-        return F.when(code.isNull(), F.lit(0.0)).otherwise(F.least(F.lit(1.0), 4.0 * least))
+        least = _let(places, lambda x: F.least(_two_sided(_characters_even(body, n, code["m"])), _classes_even(body, n, code), _two_sided(_runs(x, n, code["m"])), _two_sided(_serial(x, n))))
+        p = F.when(code.isNull(), F.lit(0.0)).otherwise(1 - F.pow(1 - least, F.lit(4.0)))
+        return F.struct(p.alias("p"), code["name"].alias("code"))
 
     whole = lambda body: F.struct(body.alias("body"), encoding_of(body).alias("code"), F.length(body).cast("double").alias("n"))
     return _let(F.regexp_replace(token, "=+$", ""), lambda body: _let(whole(body), tests))
 
 
+def battery(token: Column) -> Column:
+    """p value of a token under even drawing from its alphabet; zero if it fits no alphabet."""
+    return judged(token)["p"]
+
+
 def _length_class(token: Column) -> Column:
     return reduce(lambda a, low: F.when(F.length(token) >= low, F.lit(low)).otherwise(a), LENGTHS, F.lit(0))
 
@@ -167,25 +183,52 @@ def scan(docs: DataFrame) -> DataFrame:
     listed = F.concat(*[F.transform(n, of_kind(k)) for k, n in enumerate(KINDS[:3])])
     rows = rows.withColumn("base", F.array_sort(listed))
     free = F.filter("random", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    others = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), battery(s["value"]).alias("p"), _length_class(s["value"]).alias("length")))
+    others = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), judged(s["value"]).alias("j"), _length_class(s["value"]).alias("length")))
+    others = F.transform(others, lambda o: F.struct(o["start"].alias("start"), o["stop"].alias("stop"), o["j"]["p"].alias("p"), o["j"]["code"].alias("code"), o["length"].alias("length")))
     return rows.select("doc_id", "base", others.alias("others"))
 
 
+def _binned(rows: DataFrame, *keys: str) -> dict[tuple, list[int]]:
+    """Number of rows by bin of their p value, for each of the keys; the keys have few values."""
+    binned = rows.select(*keys, F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    counts: dict[tuple, list[int]] = {}
+    for r in binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(tuple(r[k] for k in keys), [0] * BINS)[r.bin] = r.n
+    return counts
+
+
+def null_bins(spark: SparkSession, drawn: int = DRAWN) -> dict[tuple, list[int]]:
+    """Bins of the p values of tokens drawn evenly, by (class of lengths, encoding); the draws are hashes of their number."""
+    ends = [*LENGTHS[1:], LONGEST_DRAWN + 1]
+    spans = F.array(*[F.struct(F.lit(low).alias("low"), F.lit(end - low).alias("wide")) for low, end in zip(LENGTHS, ends)])
+    codes = F.array(*[F.struct(F.lit(alphabet).alias("alphabet"), F.lit(len(alphabet)).alias("m")) for _, alphabet, _ in ENCODINGS])
+    rows = spark.range(drawn * len(ENCODINGS), numPartitions=16).withColumn("code", F.element_at(codes, (F.col("id") % len(ENCODINGS)).cast("int") + 1))
+    rows = rows.select("id", "code", F.explode(spans).alias("span"))
+    size = (F.col("span.low") + F.pmod(F.xxhash64("id", "span.low"), F.col("span.wide"))).cast("int")
+    letter = lambda i: F.substr(F.col("code.alphabet"), (F.pmod(F.xxhash64("id", "span.low", i), F.col("code.m")) + 1).cast("int"), F.lit(1))
+    tokens = rows.select(F.array_join(F.transform(F.sequence(F.lit(1), size), letter), "").alias("value"))
+    return _binned(tokens.select(_length_class(F.col("value")).alias("length"), judged(F.col("value")).alias("j")).select("length", "j.code", "j.p"), "length", "code")
+
+
 def bounds(found: DataFrame) -> dict[int, float]:
     """For each class of lengths, the p value above which tokens count as random; classes without one are left out.
 
-    At most ``BINS`` counts for each of the classes come to the driver.
+    At most ``BINS`` counts for each of the classes and encodings come to the driver.
     """
-    flat = found.select(F.explode("others").alias("o")).select("o.length", F.least(F.floor(F.col("o.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
-    counts: dict[int, list[int]] = {}
-    for r in flat.groupBy("length", "bin").agg(F.count(F.lit(1)).alias("n")).collect():
-        counts.setdefault(r.length, [0] * BINS)[r.bin] = r.n
+    others = found.select(F.explode("others").alias("o")).select("o.length", "o.code", "o.p")
+    counts = _binned(others, "length", "code")
+    if not any(sum(n[ESTIMATE_FROM:]) for n in counts.values()):
+        return {}
+    null = null_bins(found.sparkSession)
     found_bounds = {}
-    for length, n in counts.items():
-        random = min(sum(n), 2 * sum(n[BINS // 2:]))
+    for length in sorted({length for length, _ in counts}):
+        here = [(n, null[length, code]) for (other, code), n in counts.items() if other == length and (length, code) in null]
+        random = [(sum(n[ESTIMATE_FROM:]) * sum(even) / max(1, sum(even[ESTIMATE_FROM:])), even) for n, even in here]
+        most = min(1.0, sum(sum(n) for n, _ in here) / max(1.0, sum(r for r, _ in random)))
         for b in range(1, BINS // 2 + 1):
-            above = sum(n[b:])
-            if above and 1 - random * (1 - b / BINS) / above <= FALSE_SHARE:
+            above = sum(sum(n[b:]) for n, _ in here)
+            expected = most * sum(r * sum(even[b:]) / sum(even) for r, even in random)
+            if above and 1 - expected / above <= FALSE_SHARE:
                 found_bounds[length] = b / BINS
                 break
     return found_bounds

@@ -62,6 +62,44 @@ def test_random_tokens_are_found_and_words_are_not(make_docs):
     assert all(got[100 + i] == "" for i in range(60))
 
 
+def mixture(n, share, seed):
+    """(token, whether drawn): keys in three encodings and lengths, and names, paths and numbered words of like lengths."""
+    rng = random.Random(seed)
+    syllables = "ta ri mon del or en vis pla cor est ium al ber gan tro qui se lum pa no".split()
+    out = []
+    for i in range(n):
+        if rng.random() < share:
+            size = rng.choice([20, 24, 30, 40, 64, 100])
+            out.append(("".join(rng.choices(secrets.ENCODINGS[rng.choice([3, 5, 6])][1], k=size)), True))
+        else:
+            word = lambda: "".join(rng.choices(syllables, k=rng.randint(2, 4)))
+            made = rng.choice(["_", "-", "/", ""]).join(word().title() if rng.random() < 0.5 else word() for _ in range(rng.randint(4, 12)))
+            out.append((made + str(rng.randint(0, 99999)) if rng.random() < 0.5 else made, False))
+    return [(t, drawn) for t, drawn in out if len(t) >= 20]
+
+
+def test_tokens_drawn_evenly_have_nearly_even_values(spark):
+    for (length, code), n in secrets.null_bins(spark, 400).items():
+        if sum(n) >= 300:
+            assert 0.4 < sum(n[50:]) / sum(n) < 0.6 and sum(n[:5]) / sum(n) < 0.12, (length, code)
+
+
+@pytest.mark.parametrize("share", [0.8, 0.4, 0.1])
+def test_realised_share_of_text_among_declared_tokens(make_docs, share):
+    tokens = mixture(4000, share, 11)
+    docs = make_docs([(i, f"see {t} here") for i, (t, _) in enumerate(tokens)])
+    marked = {r.doc_id for r in secrets.find_secrets(docs).collect() if "random:" in r.spans}
+    drawn = {i for i, (_, d) in enumerate(tokens) if d}
+    assert len(marked - drawn) <= (secrets.FALSE_SHARE + 0.02) * len(marked)
+    assert len(marked & drawn) >= 0.6 * len(drawn)
+
+
+def test_text_alone_gives_no_random_tokens(make_docs):
+    tokens = mixture(2000, 0, 12)
+    marked = [r for r in secrets.find_secrets(make_docs([(i, t) for i, (t, _) in enumerate(tokens)])).collect() if "random:" in r.spans]
+    assert len(marked) <= 5
+
+
 def test_native_plan(spark):
     plan = secrets.scan(table(spark, "/root/testdata/sf0.001", "documents"))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
