@@ -41,7 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/clonara/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the driver ends.
+
+    A result reads its stages lazily, so they cannot go before. A driver that is killed leaves them.
+    """
+    path = f"{shared_dir(spark)}/clonara/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(folder.getParent())
+    system.deleteOnExit(folder)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "stage", by: str | None = None, row_group_mb: int | None = None) -> DataFrame:
