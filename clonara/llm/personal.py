@@ -4,7 +4,9 @@ Seeds are the base spans. A lexical pattern is the word before a colon or equals
 are whatever stands behind that sign. Further patterns hold only what has the shape of one kind (a run of digits like a
 local phone number, a written-out at sign): behind such a word, behind a plain word ("call"), or before one ("mobile").
 Spark scores the graph of patterns and instances in turns: a pattern by the share of its instances that are known or
-believed to be of a kind, an instance by the patterns it stands in. Patterns of high confidence mark further instances
+believed to be of a kind, an instance by the patterns it stands in. A pattern counts only if its word is specific: it
+stands beside seeds of the kind far more often than among all words, or a good part of all its places are beside them.
+So "the" is no cue, however many of the numbers behind it are known. Patterns of high confidence mark further instances
 that look like identifiers; base spans always stay.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from itertools import accumulate, chain
 
 import pyarrow as pa
@@ -28,7 +31,13 @@ ROUNDS = 3
 LEAST_SCORE, LEAST_INSTANCES, LEAST_BELIEF = 0.8, 5, 0.8
 #: Least score of the instances of one shape behind a colon or equals sign: other words behind it are not counted there.
 LEAST_SHAPED = 0.5
+#: A word is specific to a kind if its rate beside base spans is this many times its rate among all words (log-odds of
+#: ln 10), or if this share of all its places is beside them.
+LEAST_LIFT, LEAST_PLACES = 10.0, 0.25
+#: Different words that a task counts before it passes them on.
+WORDS_HELD = 200_000
 
+_WORD = re.compile(r"[^\W\d_]{2,24}")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -169,9 +178,38 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, FOUND)
 
 
-def score_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) over all texts: lower-cased runs of letters; of runs over 24 letters each piece of that length."""
+
+    def run(batches):
+        held: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                held.update(_WORD.findall((text.as_py() or "").lower()))
+                if len(held) >= WORDS_HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+                    held = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def specific_patterns(found: DataFrame, words: DataFrame) -> DataFrame:
+    """(pattern, kind) whose word belongs to the kind, by places beside base spans against all places of the word."""
+    places = found.select(F.explode("candidates").alias("c")).filter("c.kind is not null").groupBy("c.pattern", "c.kind").agg(F.count(F.lit(1)).alias("at"))
+    counted = found.agg(*[F.sum(f"n_{k}").alias(k) for k in KINDS]).select(F.posexplode(F.array(*KINDS)).alias("kind", "spans"))
+    total = words.agg(F.sum("n").alias("words"))
+    rated = places.withColumn("word", F.regexp_extract("pattern", r"^_?([^:=_#]+)", 1)).join(words, "word", "left").join(F.broadcast(counted), "kind").join(F.broadcast(total))
+    everywhere = F.greatest(F.coalesce("n", F.lit(0)), "at")
+    lift = (F.col("at") / F.col("spans")) / (everywhere / F.greatest("words", everywhere))
+    return rated.filter((lift >= LEAST_LIFT) | (F.col("at") / everywhere >= LEAST_PLACES)).select("pattern", "kind")
+
+
+def score_patterns(found: DataFrame, specific: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, kind) of high confidence, by alternating scores on the graph of patterns and instances.
 
+    Only ``specific`` patterns take part as cues of a kind.
+
     A pattern's score for a kind is the sum of its different instances' beliefs over their number plus one. A seed's
     belief is one for its kind; other instances that look like identifiers are believed by noisy-or over the other
     patterns they stand in, so that no pattern confirms itself. Patterns of one shape have instances of their own.
@@ -184,7 +222,7 @@ def score_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     beliefs, scores = seeds, None
     for last in [False] * (rounds - 1) + [True]:
         summed = beliefs.groupBy("pattern", "kind").agg(F.sum("belief").alias("sum"), F.sum(F.when(F.col("belief") >= LEAST_BELIEF, 1).otherwise(0)).alias("believed"))
-        scores = stage(summed.join(sizes, "pattern").select("pattern", "kind", (F.col("sum") / (F.col("n") + 1)).alias("score"), "believed"), "scores")
+        scores = stage(summed.join(specific, ["pattern", "kind"], "left_semi").join(sizes, "pattern").select("pattern", "kind", (F.col("sum") / (F.col("n") + 1)).alias("score"), "believed"), "scores")
         good = scores.filter((F.col("score") >= LEAST_SCORE / 2) & (F.col("believed") >= LEAST_INSTANCES)).select("pattern", "kind", F.log(1 - F.least("score", F.lit(0.99))).alias("doubt"))
         if last or not good.take(1):
             break
@@ -196,9 +234,10 @@ def score_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return scores.filter((F.col("score") >= least) & (F.col("believed") >= LEAST_INSTANCES)).groupBy("pattern").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("found_kind"))
 
 
-def discovered(found: DataFrame) -> DataFrame | None:
+def discovered(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(doc, textkey, more: array of (kind, start, stop)) for documents with spans beyond the base ones; None if none."""
-    patterns = stage(score_patterns(found), "patterns")
+    specific = stage(specific_patterns(found, stage(word_counts(docs), "words")), "specific")
+    patterns = stage(score_patterns(found, specific), "patterns")
     if not patterns.take(1):
         return None
     flat = found.select("doc", "textkey", F.explode("candidates").alias("c")).filter("c.kind is null and c.like").select("doc", "textkey", "c.pattern", "c.start", "c.stop")
@@ -218,7 +257,7 @@ def find_personal(docs: DataFrame) -> DataFrame:
     a pattern takes the kind listed first. Other columns are not read.
     """
     found = stage(scan(docs), "found")
-    more = discovered(found)
+    more = discovered(found, docs)
     joined = found.join(more, ["doc", "textkey"], "left") if more is not None else found.withColumn("more", F.lit(None).cast("array<struct<kind:int, start:int, stop:int>>"))
     item = lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))
     parts = F.filter(F.split("base", ","), lambda s: s != "")
@@ -247,7 +286,7 @@ def mask_personal(docs: DataFrame) -> DataFrame:
 
     Null texts stay null. Rows are masked by the spans of their own doc_id and text.
     """
-    more = discovered(stage(scan(docs), "found"))
+    more = discovered(stage(scan(docs), "found"), docs)
     names = docs.columns
     keyed = docs.withColumn("_doc", known_id("doc_id")).withColumn("_textkey", F.xxhash64("text"))
     if more is None:

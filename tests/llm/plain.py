@@ -132,3 +132,58 @@ def chats(rows):
             safe = lambda s: s.replace("<|", "< |")
             out[c] = (len(body), len(equal), "".join(f"<|im_start|>{safe(r)}\n{safe(t)}<|im_end|>\n" for r, t in body))
     return out
+
+
+def patterns(texts, personal):
+    """Specific (pattern, kind) and the trusted ones, by plain loops over the candidates of every text."""
+    import math
+
+    edges, places, spans, background = {}, defaultdict(int), defaultdict(int), defaultdict(int)
+    for text in texts:
+        base = personal.base_spans(text)
+        for kind, _, _ in base:
+            spans[kind] += 1
+        for word in re.findall(r"[^\W\d_]{2,24}", text.lower()):
+            background[word] += 1
+        for pattern, instance, kind, like, _, _ in [*personal.candidates(text, base), *personal.shaped(text, base)]:
+            old = edges.get((pattern, instance), (None, False))
+            kinds = [k for k in (old[0], kind) if k is not None]
+            edges[pattern, instance] = (min(kinds) if kinds else None, old[1] or like)
+            if kind is not None:
+                places[pattern, kind] += 1
+    total = sum(background.values())
+    specific = set()
+    for (pattern, kind), at in places.items():
+        n = max(background[re.match(r"_?([^:=_#]+)", pattern).group(1)], at)
+        if (at / spans[kind]) / (n / total) >= personal.LEAST_LIFT or at / n >= personal.LEAST_PLACES:
+            specific.add((pattern, kind))
+    sizes = defaultdict(int)
+    for pattern, _ in edges:
+        sizes[pattern] += 1
+    beliefs = {(p, i, k): 1.0 for (p, i), (k, _) in edges.items() if k is not None}
+    unseen = [(p, i) for (p, i), (k, like) in edges.items() if k is None and like]
+    for step in range(personal.ROUNDS):
+        scores = {}
+        for (p, _, k), b in beliefs.items():
+            if (p, k) in specific:
+                s, n = scores.get((p, k), (0.0, 0))
+                scores[p, k] = (s + b, n + (b >= personal.LEAST_BELIEF))
+        scores = {(p, k): (s / (sizes[p] + 1), n) for (p, k), (s, n) in scores.items()}
+        good = {key: s for key, (s, n) in scores.items() if s >= personal.LEAST_SCORE / 2 and n >= personal.LEAST_INSTANCES}
+        if step == personal.ROUNDS - 1 or not good:
+            break
+        beliefs = {key: b for key, b in beliefs.items() if b == 1.0 and edges[key[:2]][0] is not None}
+        of = defaultdict(list)
+        for p, i in unseen:
+            of[i].append(p)
+        for p, i in unseen:
+            for k in range(4):
+                if any((q, k) in good for q in of[i]):
+                    doubt = sum(math.log(1 - min(good[q, k], 0.99)) for q in of[i] if q != p and (q, k) in good)
+                    beliefs[p, i, k] = 1 - math.exp(doubt)
+    least = lambda p: personal.LEAST_SHAPED if re.search("[:=]#", p) else personal.LEAST_SCORE
+    best = {}
+    for (p, k), (s, n) in scores.items():
+        if s >= least(p) and n >= personal.LEAST_INSTANCES and (p not in best or (s, -k) > best[p]):
+            best[p] = (s, -k)
+    return specific, {(p, -k) for p, (_, k) in best.items()}

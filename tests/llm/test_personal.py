@@ -90,6 +90,37 @@ def test_shaped_identifiers_are_found_on_mixed_cues_and_without_signs(make_docs)
     assert texts[100] == "tel: [PHONE]." and texts[400] == "please call [PHONE] now"
 
 
+def test_function_words_before_numbers_gain_nothing_and_a_rare_cue_finds_unseen_ones(make_docs):
+    docs = [(i, f"we saw the +1 555 010 {1000 + i} and the house by the lake while the rain fell on the roof of the barn") for i in range(40)]
+    docs += [(100 + i, f"over the 555 123 {4000 + i} units the price of the goods fell") for i in range(5)]
+    docs += [(200 + i, f"a note with pager +44 20 7946 {1000 + i} at its end") for i in range(30)]
+    docs += [(300 + i, f"a note with pager 555 987 {1000 + i} at its end") for i in range(10)]
+    docs += [(400 + i, "the day was long and the night was short in the far north of the land") for i in range(200)]
+    got = {r.doc_id: r.spans for r in personal.find_personal(make_docs(docs)).collect()}
+    assert {got[100 + i] for i in range(5)} == {""}
+    assert {got[300 + i] for i in range(10)} == {"phone:18:30"}
+
+
+def test_patterns_equal_a_plain_scorer(make_docs):
+    rng = random.Random(9)
+    cues = ["mail", "the", "fax", "host", "id", "ask"]
+    docs = []
+    for i in range(600):
+        cue, sign = rng.choice(cues), rng.choice([": ", "= ", " "])
+        what = rng.choice([f"u{rng.randint(0, 60)}@site.org", f"+1 555 010 {rng.randint(1000, 1080)}", f"555 010 {rng.randint(1000, 1080)}", f"10.0.0.{rng.randint(0, 40)}", f"none{rng.randint(0, 9)}"])
+        if cue == "mail" and rng.random() < 0.9:
+            what = f"u{rng.randint(0, 200)}@site.org"
+        if cue == "fax" and rng.random() < 0.9:
+            what = f"+1 555 010 {rng.randint(1000, 1200)}"
+        docs.append((i, f"{rng.choice(['so', 'and', 'the', 'then'])} {cue}{sign}{what} now " + "the rain fell " * rng.randint(0, 6)))
+    table_ = make_docs(docs)
+    found = personal.stage(personal.scan(table_), "found")
+    specific = personal.specific_patterns(found, personal.word_counts(table_))
+    want_specific, want = plain.patterns([t for _, t in docs], personal)
+    assert {(r.pattern, r.kind) for r in specific.collect()} == want_specific
+    assert {(r.pattern, r.found_kind) for r in personal.score_patterns(found, specific).collect()} == want and len(want) > 1
+
+
 def test_overlapping_spans_are_masked_once():
     assert personal.masked("0123456789", [(2, 2, 6), (3, 4, 8), (0, 2, 4)]) == "01[CARD]89"
 
