@@ -177,10 +177,18 @@ def one_of_each(docs: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     fps = stage(fingerprints(docs), "fingerprints")
     leading = fps.join(_classes(fps, pairs_up_to).filter("leads"), "fp").filter(F.col("doc_id") == F.col("component_id"))
     keep = leading.groupBy(F.col("doc_id").alias("_doc"), "fp").agg(F.min("textkey").alias("_key")).select("_doc", "_key")
+    return keep_rows(docs, fps.select("doc_id", "textkey"), keep)
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame, keep: DataFrame) -> DataFrame:
+    """Rows of the document ids and text hashes in ``keep`` (_doc, _key), repeated ones once, and all with a null doc_id.
+
+    ``keys`` has doc_id and textkey of every row with an id.
+    """
     named = docs.filter(F.col("doc_id").isNotNull()).withColumn("_textkey", F.xxhash64("text"))
     same = (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_textkey") == F.col("_key"))
     # texts are neither sorted nor aggregated: keys alone tell which rows are repeated, and only those are looked at again
-    repeated = fps.groupBy(F.col("doc_id").alias("_doc"), F.col("textkey").alias("_key")).count().filter("count > 1").drop("count")
+    repeated = keys.groupBy(F.col("doc_id").alias("_doc"), F.col("textkey").alias("_key")).count().filter("count > 1").drop("count")
     repeats = bool(repeated.take(1))
     once = keep.join(repeated, ["_doc", "_key"], "left_anti") if repeats else keep
     kept = named.join(once.hint("shuffle_hash"), same, "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonara.llm import decontaminate, language, personal, sentencepieces, simhash
+from clonara.llm import decontaminate, language, near_copies, personal, sentencepieces
 from clonara.llm.common import stage, table
 from clonara.llm.queries import piece_model
 
@@ -16,8 +16,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of every group of near-duplicates, that of the least doc_id."""
-    return simhash.one_of_each(docs)
+    """Keep one document of every group of near copies (five-word shingles, similarity 0.8), that of the least doc_id."""
+    return near_copies.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -187,3 +187,49 @@ def patterns(texts, personal):
         if s >= least(p) and n >= personal.LEAST_INSTANCES and (p not in best or (s, -k) > best[p]):
             best[p] = (s, -k)
     return specific, {(p, -k) for p, (_, k) in best.items()}
+
+
+def classes_of(names, links):
+    """Least name connected to each name."""
+    parent = {n: n for n in names}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in parent}
+
+
+def shingle_similarity(a, b, width=5):
+    """Jaccard similarity of the sets of word shingles."""
+    sets = []
+    for text in (a, b):
+        ws = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+        sets.append({tuple(ws[i:i + width]) for i in range(max(1, len(ws) - width + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def wide_fingerprint(text, width=5):
+    """512 majority bits of a text's different shingles, bit by bit."""
+    from clonara.llm.common import mixed, window_hashes
+
+    ws = [w.encode() for w in words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))]
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in ws], np.uint64)
+    shingles = sorted(set(window_hashes(hashes, min(width, len(ws))).tolist())) if ws else []
+    out = []
+    for turn in mixed(np.arange(1, 9, dtype=np.uint64)):
+        turned = mixed(np.array(shingles, np.uint64) ^ turn)
+        out.append(sum(1 << b for b in range(64) if 2 * int((turned >> np.uint64(b) & np.uint64(1)).sum()) > len(shingles)))
+    return np.array(out, np.uint64)
+
+
+def wide_classes(docs, bits=90):
+    """Least doc_id connected to each over wide fingerprints of at most so many different bits, by all pairs."""
+    ids = [d for d, _ in docs]
+    fps = np.array([wide_fingerprint(t) for _, t in docs])
+    links = [(ids[i], ids[j]) for i in range(len(ids)) for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]).sum(1) <= bits)]
+    return classes_of(ids, links)

@@ -33,8 +33,8 @@ def test_run_equals_plain_stages(spark):
     model = language.fit(docs)
     known = {r.doc_id for r in language.predict(docs, model).collect() if not r.rejected}
     rows = {r.doc_id: r.text for r in docs.collect() if r.doc_id in known}
-    classes = plain.near_classes(sorted(rows.items()))
-    rows = {d: t for d, t in rows.items() if classes[d][1] == d}
+    classes = plain.wide_classes(sorted(rows.items()))
+    rows = {d: t for d, t in rows.items() if classes[d] == d}
     leaked = {p[0] for p in plain.leaks(list(rows.items()), items)}
     rows = {d: t for d, t in rows.items() if d not in leaked}
     of = sentencepieces.codec(piece_model())
