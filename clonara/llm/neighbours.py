@@ -3,7 +3,8 @@
 Equal vectors are one point of the index, with the smallest ids that have it. Points are dealt to shards by a hash;
 each shard is one row of a table that holds its vectors, a hierarchical graph as flat neighbour arrays, and the ids.
 Inner products become distances by one more component that brings all vectors to the length of the longest, so the
-nearest point has the largest product. Every block of queries visits every shard, and the shards' results are merged.
+nearest point has the largest product. Blocks of queries go to every shard, whose graph moves once for several of them,
+and the shards' results are merged.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from clonara.llm.common import mixed, stage
 SHARD_ROWS = 8192
 #: Queries that travel to a shard together.
 BLOCK_QUERIES = 8192
+#: Blocks of queries that one task asks of a shard; the shard's graph moves once for so many.
+TASK_BLOCKS = 8
 #: Links of a point on the upper levels; twice as many on the lowest.
 LINKS = 16
 BUILD_WIDTH = 80
@@ -190,16 +193,21 @@ def _load(row) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _searched(k: int, width: int):
+    """A shard's rows come with its graph first, then the blocks of queries; blocks without a graph of their length find nothing."""
+
     def run(batches):
-        shard, held = None, None
+        at_hand, held = None, None
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                if row["shard"] != shard or held[1].shape[1] * 8 != row["length"]:
-                    shard, held = row["shard"], _load(row)
+                if row["kind"] == 0:
+                    at_hand, held = (row["shard"], row["length"]), _load(row)
+                    continue
+                if at_hand != (row["shard"], row["length"]):
+                    continue
                 graph, x, ids, at = held
-                queries = np.frombuffer(row["q_vectors"], np.float64).reshape(-1, x.shape[1])
+                queries = np.frombuffer(row["vectors"], np.float64).reshape(-1, x.shape[1])
                 out = []
-                for qid, q in zip(np.frombuffer(row["q_ids"], np.int64).tolist(), queries):
+                for qid, q in zip(np.frombuffer(row["ids"], np.int64).tolist(), queries):
                     nodes = np.array([n for _, n in graph.search(np.r_[q, 0].astype(np.float32), max(width, k + 1))])
                     scores = x[nodes] @ q
                     near = [(-s, int(i)) for s, n in zip(scores.tolist(), nodes.tolist()) for i in ids[at[n]:at[n + 1]].tolist() if i != qid]
@@ -214,8 +222,8 @@ def _query_blocks(batches):
         for length, same in pdf.groupby(pdf["embedding"].map(len)):
             for a in range(0, len(same), BLOCK_QUERIES):
                 part = same.iloc[a:a + BLOCK_QUERIES]
-                yield pd.DataFrame({"q_ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "length": [8 * length],
-                                    "q_vectors": [np.stack(part["embedding"]).astype(np.float64).tobytes()]})
+                yield pd.DataFrame({"length": [8 * length], "ids": [part["vec_id"].to_numpy(np.int64).tobytes()],
+                                    "vectors": [np.stack(part["embedding"]).astype(np.float64).tobytes()]})
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, width: int = SEARCH_WIDTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -226,13 +234,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, width: int = SE
     Vectors of another length than the query's are no candidates. Rows that repeat a vec_id and vector count once; a
     query row that repeats gives one set of ranks. Empty tables give no rows. Other columns are not read.
     """
-    index = build_index(vectors, k, shard_rows)
-    shards = index.select("shard", (F.octet_length("vectors") / F.col("size")).cast("int").alias("length"))
+    index = build_index(vectors, k, shard_rows).withColumn("length", (F.octet_length("vectors") / F.col("size")).cast("int"))
+    graphs, last = index.agg(F.count(F.lit(1)), F.coalesce(F.max("shard"), F.lit(0))).first()
     ask = usable(queries).dropDuplicates(["vec_id", "embedding"])
-    blocks = stage(ask.mapInPandas(_query_blocks, "q_ids binary, length int, q_vectors binary"), "queries")
-    visits = blocks.join(shards, "length")
-    work = visits.join(index.withColumnRenamed("shard", "s"), F.col("shard") == F.col("s")).filter(F.octet_length("vectors") == F.col("size") * F.col("length")).drop("s")
-    found = work.repartition(max(1, visits.count()), "shard", "q_ids").mapInPandas(_searched(k, width), "query_id long, vec_id long, score double")
+    blocks = stage(ask.mapInPandas(_query_blocks, "length int, ids binary, vectors binary"), "queries")
+    splits = max(1, math.ceil(blocks.count() / TASK_BLOCKS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = blocks.withColumn("split", F.pmod(F.xxhash64("ids"), F.lit(splits)).cast("int")).withColumn("shard", every(last + 1))
+    both = index.withColumn("kind", F.lit(0)).withColumn("split", every(splits)).unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    key = ["shard", "length", "split"]
+    sent = both.fillna(0, ["size", "entry"]).repartition(max(1, graphs * splits), *key).sortWithinPartitions(*key, "kind")
+    found = sent.mapInPandas(_searched(k, width), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import plain
 from clonara.llm import neighbours
 from clonara.llm.common import table
@@ -56,6 +57,33 @@ def test_many_shards(spark):
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
 
 
+def test_recall_over_full_shards(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    n, dims = 4 * neighbours.SHARD_ROWS, 64
+    x = rng.normal(size=(n, dims)).astype(np.float32)
+    pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}).to_parquet(tmp_path / "embeddings.parquet")
+    vectors = table(spark, str(tmp_path), "embeddings")
+    got = answers(neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0)))
+    asked = np.arange(0, n, 20)
+    scores = x[asked].astype(float) @ x.T.astype(float)
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argpartition(-scores, 20, axis=1)[:, :20]
+    hits = [len({i for i, _ in got[q]} & set(b.tolist())) / 20 for q, b in zip(asked.tolist(), best)]
+    print(f"recall {np.mean(hits):.4f}, least {np.min(hits):.2f}, {len(hits)} queries")
+    assert len(got) == len(asked) and np.mean(hits) >= 0.9
+
+
+def test_queries_in_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=6).astype(np.float32)]) for i in range(200)] + [(900 + i, [float(i), 1.0]) for i in range(3)]
+    want = plain.nearest(rows[:200], [i for i, _ in rows[:200]])
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 10)
+    monkeypatch.setattr(neighbours, "TASK_BLOCKS", 2)
+    got = answers(neighbours.nearest(frame(spark, rows), frame(spark, rows), shard_rows=50))
+    assert {q: [i for i, _ in got[q]] for q in want} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert [i for i, _ in got[900]] == [901, 902]
+
+
 def test_few_rows_and_none(spark):
     assert answers(neighbours.nearest(frame(spark, [(1, [1.0]), (2, [2.0])]), frame(spark, [(1, [1.0])]))) == {1: [(2, 2.0)]}
     assert neighbours.nearest(frame(spark, [(1, [1.0])]), frame(spark, [(1, [1.0])])).count() == 0
