@@ -107,3 +107,47 @@ def test_keeping_returns_the_rows_unchanged(make_docs, odd_rows):
     want = {r.doc_id for r in language.predict(docs, model).collect() if not r.rejected}
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want
     assert set(range(120)) <= want
+
+
+def last_drawn(spark, rows):
+    """Place of the learnable row whose hash comes last, which no draw in the order of the hashes reaches."""
+    from pyspark.sql import functions as F
+
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string").filter(~language.held_out())
+    last = known.orderBy(F.xxhash64("doc_id", "text").desc()).first()
+    return next(i for i, r in enumerate(rows) if r[0] == last.doc_id)
+
+
+def many():
+    return [(i, f"{t} {i}", lang) for i, t, lang in labelled(18_600)]
+
+
+def test_every_row_trains(spark, make_docs):
+    rows = many()
+    at = last_drawn(spark, rows)
+    other = rows[:at] + [(rows[at][0], rows[at][1], next(lang for lang in PROSE if lang != rows[at][2]))] + rows[at + 1:]
+    a, b = language.fit(make_docs(rows)), language.fit(make_docs(other))
+    assert not np.array_equal(a.vectors, b.vectors)
+
+
+def test_learners_see_each_different_row_once_in_any_order(make_docs, monkeypatch):
+    monkeypatch.setattr(language, "CELL_ROWS", 50)
+    monkeypatch.setattr(language, "LANG_ROWS", 4)
+    rows = labelled(900) + [(5000 + i, "una casa y un jardín tranquilo", "es") for i in range(5)]
+    a, b = language.fit(make_docs(rows)), language.fit(make_docs(rows[::-1] + rows[:200], partitions=7))
+    assert np.array_equal(a.vectors, b.vectors) and (a.temperature, a.reject_below) == (b.temperature, b.reject_below)
+    asked = [(9000 + i, t) for i, t in enumerate([*PROSE.values(), "una casa y un jardín tranquilo"])]
+    got = {r.doc_id: r.lang_pred for r in language.predict(make_docs(asked), a).collect()}
+    assert [got[9000 + i] for i in range(4)] == [*PROSE, "es"]
+
+
+def test_counts_of_joined_texts(odd_rows):
+    texts = [t for _, t in odd_rows] + ["Élan_2 été!", "a", "Σας"]
+    for t, got in zip(texts, language.shares(texts)):
+        n = np.bincount(language.subwords(t or ""), minlength=language.BUCKETS)
+        assert np.allclose(got, n / max(n.sum(), 1))
+
+
+def test_rows_of_one_half_set_no_bound(make_docs):
+    model = language.fit(make_docs([(1, "one row alone", "en")]))
+    assert model.languages == ["en"] and model.reject_below == 0
