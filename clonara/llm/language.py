@@ -364,7 +364,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Documents that are not rejected, all columns kept; the model is fitted on them unless given.
+    """Documents that are not rejected, all columns kept; the model is fitted on all labelled ones of them unless given.
 
     Texts without a letter are dropped. Where no document is labelled nothing is known of languages, and all texts with
     letters stay. Rows are tested one by one, so repeated rows and null ids are kept or dropped by their own text.

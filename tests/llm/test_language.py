@@ -151,3 +151,11 @@ def test_counts_of_joined_texts(odd_rows):
 def test_rows_of_one_half_set_no_bound(make_docs):
     model = language.fit(make_docs([(1, "one row alone", "en")]))
     assert model.languages == ["en"] and model.reject_below == 0
+
+
+def test_keeping_takes_its_bound_from_every_different_row(make_docs, monkeypatch):
+    rows, seen = many(), []
+    monkeypatch.setattr(language, "rejection_bound", lambda right, noise: seen.append((right.sum(), noise.sum())) or 0.0)
+    assert language.keep_identified(make_docs(rows + rows[:50])).count() == len(rows) + 50
+    learnable = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _, _ in rows)
+    assert seen[0][1] == learnable and 0.9 * learnable < seen[0][0] <= learnable
