@@ -8,6 +8,8 @@ import pytest
 
 from clonara.constants import REP
 from clonara.operators import kmers, windows
+from clonara.plans.catalogue import QUERIES
+from support import SF
 
 AA = "ACDEFGHIKLMNPQRSTVWY"
 ODD = ["CASSLAPGF", "CASSLAPGF", "CASSX*YF", "CA", "", None, "straße über", "日本語日本語日本", "CASSF\n", "cassyf", "😀😀😀😀😀", "AAAAAAAA", "CÁSS", "W" * 40]
@@ -104,3 +106,12 @@ def test_a_large_repertoire_is_spread(odd, monkeypatch):
 def test_kmer_freq_shuffles_no_windows(odd):
     df = kmers.kmer_frequencies(odd)
     assert shuffles(df) and not any("kmer" in by or "junction_aa" in by for by in shuffles(df))
+
+
+QUERIES_OF_WINDOWS = ["kmer_freq", "extract_hashed"]
+
+
+@pytest.mark.parametrize("name", QUERIES_OF_WINDOWS)
+def test_queries_shuffle_no_windows(spark, name):
+    by = shuffles(QUERIES[name](spark, SF))
+    assert not any("kmer" in b or "bucket" in b or "feature" in b for b in by)
