@@ -108,7 +108,8 @@ def test_kmer_freq_shuffles_no_windows(odd):
     assert shuffles(df) and not any("kmer" in by or "junction_aa" in by for by in shuffles(df))
 
 
-QUERIES_OF_WINDOWS = ["kmer_freq", "extract_hashed", "kmer_hashed", "extract_extended", "kmer_freq_raw", "extract_counts"]
+QUERIES_OF_WINDOWS = ["kmer_freq", "extract_hashed", "kmer_hashed", "extract_extended", "kmer_freq_raw", "extract_counts",
+                      "kmer_multiscale"]
 
 
 @pytest.mark.parametrize("name", QUERIES_OF_WINDOWS)
