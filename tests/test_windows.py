@@ -110,7 +110,7 @@ def test_kmer_freq_shuffles_no_windows(odd):
 
 QUERIES_OF_WINDOWS = ["kmer_freq", "extract_hashed", "kmer_hashed", "extract_extended", "kmer_freq_raw", "extract_counts",
                       "kmer_multiscale", "extract_stacked", "extract_pairs", "kmer_counts_words", "extract_significant",
-                      "extract_features", "kmer_presence", "extract_usage"]
+                      "extract_features", "kmer_presence", "extract_usage", "sparse_features"]
 
 
 @pytest.mark.parametrize("name", QUERIES_OF_WINDOWS)
