@@ -80,7 +80,9 @@ def fold_routing(test: DataFrame, folds: DataFrame) -> DataFrame:
 def header_line(line: Column) -> Column:
     """A line that names the sequence column is a header, not data."""
     names = F.split(F.replace(line, F.lit('"'), F.lit("")), "\t")
-    return F.array_contains(names, "junction_aa") | F.array_contains(names, "cdr3_aa")
+    # quotes may stand inside a name, so only a part of it is looked for before a line is split
+    likely = F.contains(line, F.lit("aa")) | F.contains(line, F.lit('"'))
+    return likely & (F.array_contains(names, "junction_aa") | F.array_contains(names, "cdr3_aa"))
 
 
 def parsed_lines(lines: DataFrame, columns: list[str], *keep: Column) -> DataFrame:
@@ -101,13 +103,14 @@ def _lines(spark: SparkSession, paths) -> DataFrame | None:
         return None
 
 
-def file_headers(spark: SparkSession, root: str, datasets: list[str] | None = None) -> DataFrame:
+def file_headers(spark: SparkSession, root: str, datasets: list[str] | None = None, lines: DataFrame | None = None) -> DataFrame:
     """(path, dataset, repertoire_id, header) of every repertoire file; header is null where no line names the sequence column.
 
-    A file written in several parts may repeat its header; the parts are files of their own here.
+    A file written in several parts may repeat its header; the parts are files of their own here. ``lines`` are those of
+    the root where they are at hand.
     """
     path = F.col("_metadata.file_path")
-    lines = _lines(spark, root)
+    lines = _lines(spark, root) if lines is None else lines
     if lines is None:
         return spark.createDataFrame([], "path string, dataset string, repertoire_id string, header string")
     found = lines.select(path.alias("path"), F.when(header_line(F.col("value")), F.col("value")).alias("header"))
@@ -125,11 +128,11 @@ def unreadable_files(spark: SparkSession, root: str) -> DataFrame:
     return list_files(spark, root).select(*REP, "filename", "bytes").join(readable, REP, "left_anti")
 
 
-def _read_form(spark: SparkSession, paths: list[str], header: str) -> DataFrame:
-    """Rows of all files that have one header."""
+def _read_form(lines: DataFrame, header: str) -> DataFrame:
+    """Rows of files that all have one header."""
     columns = [c.strip('"') for c in header.split("\t")]
     path = F.col("_metadata.file_path")
-    data = _lines(spark, paths).where(F.col("value") != header)
+    data = lines.where(F.col("value") != header)
     raw = parsed_lines(data, columns, _dataset_of(path).alias("_dataset"), _repertoire_of(path).alias("_repertoire"))
     names = {ALIASES.get(c, c): c for c in columns}
     given = {w: missing_to_null(names[w]) for w in WANTED if w in names}
@@ -143,16 +146,29 @@ def _read_form(spark: SparkSession, paths: list[str], header: str) -> DataFrame:
 def scan_repertoires(spark: SparkSession, root: str, datasets: list[str] | None = None) -> DataFrame:
     """Rows of all repertoires of the datasets; columns that a file lacks are back-filled.
 
-    Headers are found file by file in one job, then every different header is one read over its files. A file without
-    a header gives no rows; ``unreadable_files`` lists those. Paths and headers, one row per file, come to the driver,
-    which lists the files in any case.
+    Headers are found file by file in one job. The files of the most common header are then read as they were listed for
+    that, without the few others; each other header is one read over its files. A file without a header gives no rows;
+    ``unreadable_files`` lists those. Paths and headers, one row per file, come to the driver, which lists the files in
+    any case.
     """
-    forms: dict[str, list[str]] = {}
-    for r in file_headers(spark, root, datasets).where(F.col("header").isNotNull() & ~F.col("dataset").startswith(".")).collect():
-        forms.setdefault(r.header, []).append(unquote(r.path))
-    if not forms:
+    lines = _lines(spark, root)
+    forms: dict[str | None, list[str]] = {}
+    if lines is not None:
+        for r in file_headers(spark, root, datasets, lines).where(~F.col("dataset").startswith(".")).collect():
+            forms.setdefault(r.header, []).append(r.path)
+    headers = sorted(h for h in forms if h is not None)
+    if not headers:
         return spark.createDataFrame([], "dataset string, repertoire_id string, junction_aa string, v_call string, j_call string, templates double")
-    return union_all([_read_form(spark, sorted(paths), header) for header, paths in sorted(forms.items())])
+    common = max(headers, key=lambda h: len(forms[h]))
+    path = F.col("_metadata.file_path")
+    listed = lines.where(~_dataset_of(path).startswith("."))
+    if datasets is not None:
+        listed = listed.where(_dataset_of(path).isin(list(datasets)))
+    others = [(p,) for h, paths in forms.items() if h != common for p in paths]
+    if others:
+        listed = listed.join(F.broadcast(spark.createDataFrame(others, "_other string")), path == F.col("_other"), "left_anti")
+    read = lambda h: listed if h == common else _lines(spark, sorted(map(unquote, forms[h])))
+    return union_all([_read_form(read(h), h) for h in headers])
 
 
 def scan_sequences(spark: SparkSession, path: str) -> DataFrame:
