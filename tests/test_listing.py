@@ -1,6 +1,7 @@
 """Repertoire files are listed once, whatever headers they have."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from clonara.sources import repertoires
 
@@ -26,3 +27,10 @@ def test_other_headers_hidden_and_headless_files(spark, tmp_path, listings):
     assert [f[2:] for f in found] == [("CASSF", "V1"), ("CAAF", "V2"), ("CCCF", "V3")]
     assert listings.count(str(tmp_path)) == 1 and len(listings) == 2
     assert [r.v_call for r in repertoires.scan_repertoires(spark, str(tmp_path), ["d_2"]).collect()] == ["V3"]
+
+
+def test_unlabelled_rows_need_one_listing(spark, tmp_path, listings):
+    write(tmp_path, {f"d_1/r{i}.tsv": "junction_aa\tv_call\n" + "CASSF\tV1\n" * i + "\tV2\n" for i in range(4)})
+    rows = repertoires.labelled_rows(repertoires.scan_repertoires(spark, str(tmp_path)), None)
+    assert {r.ID: (r.n, r.n_seqs) for r in rows.groupBy("ID").agg(F.count(F.lit(1)).alias("n"), F.count("junction_aa").alias("n_seqs")).collect()} == {f"r{i}": (i + 1, i) for i in range(4)}
+    assert listings == [str(tmp_path)]
